@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.llm import boilerplate, confusables, encoding, mojibake
+from leafline.llm import sentences as sentence_ops
+from leafline.llm import splitting
 from leafline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,23 @@ def _records(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str
     return [("extract_page_lines", table(spark, sf_dir, "extract_page_lines"), "line_id", "text"), ("chunks", table(spark, sf_dir, "chunks"), "chunk_no", "text")]
 
 
+def _segmenter(spark: SparkSession, sf_dir: str) -> sentence_ops.Segmenter:
+    """Learned from the texts of all chunks."""
+    langs = sentence_ops.languages(table(spark, sf_dir, "common_words"))
+    return sentence_ops.Segmenter(sentence_ops.train(table(spark, sf_dir, "chunks").select("text"), langs), langs)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence ends of the chunks asked for."""
+    asked = table(spark, sf_dir, "chunks").join(table(spark, sf_dir, "sentence_sample").select("chunk_no").distinct(), "chunk_no", "left_semi")
+    return sentence_ops.sentence_ends(asked, _segmenter(spark, sf_dir))
+
+
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every chunk, each with its place."""
+    return sentence_ops.sentences(table(spark, sf_dir, "chunks"), _segmenter(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines at head or foot whose wording covers at least half of the source's files, and at least three."""
     return boilerplate.repeated_lines(table(spark, sf_dir, "extract_page_lines")).where("covers").select("line_id")
@@ -38,6 +57,16 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.groups(table(spark, sf_dir, "extract_page_lines"), "line_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks over the limit: those that the splitter cut."""
+    return p5_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_no")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the chunks over the limit."""
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"), _segmenter(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and chunks that hold a wrongly decoded passage."""
     return mojibake.restore(_records(spark, sf_dir)).select("record_table", "record_id")
