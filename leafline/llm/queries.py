@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import boilerplate, confusables, encoding, mojibake
+from leafline.llm import boilerplate, confusables, encoding, mojibake, quality
 from leafline.llm import sentences as sentence_ops
 from leafline.llm import splitting
 from leafline.session import table
@@ -25,6 +25,26 @@ def _segmenter(spark: SparkSession, sf_dir: str) -> sentence_ops.Segmenter:
     return sentence_ops.Segmenter(sentence_ops.train(table(spark, sf_dir, "chunks").select("text"), langs), langs)
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines, chunks = table(spark, sf_dir, "extract_page_lines"), table(spark, sf_dir, "chunks")
+    common = quality.common_set(table(spark, sf_dir, "common_words"))
+    shared = mojibake.share([lines.select("text"), chunks.select("text")], with_words=False)
+    return quality.page_statistics(lines, common, shared), quality.chunk_statistics(chunks, common, shared)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and chunks whose text is a list, a table or junk."""
+    pages, chunks = _quality(spark, sf_dir)
+    found = pages.where("not_prose").select(F.lit("parsed_pages").alias("record_table"), F.col("page_id").alias("record_id"))
+    return found.unionByName(chunks.where("not_prose").select(F.lit("chunks").alias("record_table"), F.col("chunk_no").alias("record_id")))
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every page and chunk."""
+    pages, chunks = _quality(spark, sf_dir)
+    return pages.withColumnRenamed("page_id", "record_id").withColumn("record_table", F.lit("parsed_pages")).unionByName(chunks.withColumnRenamed("chunk_no", "record_id").withColumn("record_table", F.lit("chunks")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence ends of the chunks asked for."""
     asked = table(spark, sf_dir, "chunks").join(table(spark, sf_dir, "sentence_sample").select("chunk_no").distinct(), "chunk_no", "left_semi")
