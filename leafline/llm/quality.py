@@ -21,7 +21,7 @@ from leafline.llm.confusables import prototypes
 
 BLOCK_LINES = 512
 BLOCK_CHARS = 1 << 16
-NOT_PROSE = 0.5  # share of list, table and junk characters from which a text is no prose
+NOT_PROSE = 0.65  # share of list, table and junk characters from which a text is no prose
 
 # Sums of one paragraph, all additive over its lines.
 LINES, CHARS, WORDS, WORD_CHARS, SYMBOLS, ENDED, COMMON, STOPS, MARKED, DASHED, QUOTED, CELLS, NUMBERS, RUNS, THAI, LEADERS, GLUED, REPEATED, LABELS, ROWS, INNER, SQUARES = range(22)

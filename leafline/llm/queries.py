@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import boilerplate, confusables, encoding, mojibake, quality
+from leafline.llm import boilerplate, confusables, encoding, mixing, mojibake, quality
 from leafline.llm import sentences as sentence_ops
-from leafline.llm import splitting
-from leafline.session import table
+from leafline.llm import splitting, truncation
+from leafline.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,38 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    sizes = cut(encoding.count_tokens(documents))
+    records = documents.select("doc_id", "source", "align_score").join(sizes, "doc_id")
+    return mixing.mix(records, targets, weight_col="align_score"), targets
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used, so that the sources have their shares of all tokens."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.truncated(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts per source."""
+    return truncation.cut_shares(truncation.truncated(table(spark, sf_dir, "documents")))
+
+
+def p9_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence for every document."""
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
