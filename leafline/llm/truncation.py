@@ -22,7 +22,8 @@ from leafline.session import cut
 
 #: Evidence in points; a text with CUT points is held to be cut.
 CUT = 3.0
-MARKED, MID_WORD, MID_SENTENCE, LONGER_COPY, AT_LIMIT, FINISHED_TARGET, UNFINISHED_TARGET, USUAL_END = 6.0, 4.0, 4.0, 3.0, 5.0, 3.0, -2.0, -1.0
+MARKED, MID_WORD, MID_SENTENCE, LONGER_COPY, AT_LIMIT, FINISHED_TARGET, UNFINISHED_TARGET, USUAL_END = 6.0, 4.0, 4.0, 2.0, 5.0, 2.0, -4.0, -1.0
+SHORT_FOR_TARGET, FULL_FOR_TARGET = 1.5, -1.0  # length against what the finished target lets expect
 LIMIT_WINDOW = 12  # a cut at a word or a whole character ends this much below the limit at most
 FLUSH = 200_000  # distinct contexts that a task holds before it writes its partial counts
 
@@ -31,7 +32,8 @@ _mark = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\((?:\.\.\.|…)\)|\.\.\.|
 _strong_mark = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|\((?:\.\.\.|…)\)|[^.]\.\.\.)$")
 _end = re.compile(r"[.!?。！？।॥؟…]['\"”’»“」』)）\]]*$")
 _pairs = {"(": ")", "（": "）", "«": "»", "„": "“”", "「": "」", "『": "』", "[": "]"}
-_word = re.compile(r"[^\W\d_][\w’'-]*$")
+_hanging = re.compile(r"[,;:،؛、，；：(（\[“„«「『–—-]$")
+_edges = ".,;:!?…»”“„«)('\"’‘。！？؟।،؛[]"
 
 
 def _open(text: str) -> bool:
@@ -61,16 +63,26 @@ def _runs_together(text: str) -> bool:
     return n * 2 > len(text)
 
 
+def _bare(token: str) -> str:
+    """A token without the marks around it."""
+    return token.strip(_edges)
+
+
+def _has_letters(token: str) -> bool:
+    return any(map(str.isalpha, token)) and not any(map(str.isdigit, token))
+
+
 def units(core: str) -> tuple[list[str], int, int]:
     """(units, reach of the short context, reach of the long one): words, or characters where words run together."""
     if _runs_together(core):
-        return list("".join(core.split())), 2, 4
+        return list("".join(core.split()).rstrip(_edges)), 2, 4
     return core.split(), 1, 2
 
 
 def contexts(parts: list[str], at: int, short: int, long: int) -> tuple[str, str]:
-    """The units up to a place, as the short and the long context."""
-    return "\x1f".join(parts[max(0, at - short + 1) : at + 1]), "\x1e" + "\x1f".join(parts[max(0, at - long + 1) : at + 1])
+    """The units up to a place, as the short and the long context; marks around the last unit are no part of it."""
+    last = _bare(parts[at]) if short == 1 else parts[at]
+    return "\x1f".join([*parts[max(0, at - short + 1) : at], last]), "\x1e" + "\x1f".join([*parts[max(0, at - long + 1) : at], last])
 
 
 def features(text: str, target: str | None) -> dict:
@@ -81,46 +93,51 @@ def features(text: str, target: str | None) -> dict:
     finished = bool(_end.search(core)) and not marked and not _open(core)
     parts, short, long = units(without)
     near, far = contexts(parts, len(parts) - 1, short, long) if parts else (None, None)
-    word = _word.search(without)
+    word = _bare(parts[-1]) if parts and short == 1 else ""
     side = _strip(target or "")
+    thai = sum("\u0e00" <= c < "\u0e80" for c in core) * 2 > len(core)  # has no full stop that could be missing
+    target_known = not thai and bool(side) and (not _runs_together(side) or bool(_end.search(side)))
     return {
         "n": len(text.rstrip()), "n_bytes": len(text.rstrip().encode("utf-8", "replace")), "marked": marked, "finished": finished, "soft_mark": core != without and not marked,
-        "near": near, "far": far, "last_word": word.group() if word and short == 1 else None, "split_char": without.endswith("�"), "target_finished": bool(_end.search(side)) and not _mark.sub("", side) == "" if side else None,
+        "near": near, "far": far, "last_word": word if word and _has_letters(word) else None, "hanging": bool(_hanging.search(without)), "split_char": without.endswith("�"), "target_finished": bool(_end.search(side)) if target_known else None, "n_target": len(side),
     }
 
 
-_FEATURES = "n int, n_bytes int, marked boolean, finished boolean, soft_mark boolean, near string, far string, last_word string, split_char boolean, target_finished boolean"
+_FEATURES = "n int, n_bytes int, marked boolean, finished boolean, soft_mark boolean, near string, far string, last_word string, split_char boolean, target_finished boolean, hanging boolean, n_target int"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n_on, n_end): how often each context goes on and ends; kind 1 counts words that something follows."""
+    """(kind, key, n_on, n_end, n_stop): how often each context goes on, ends a text, or goes on after a full stop; kind 1 counts words that something follows."""
     import xxhash
 
-    on: Counter = Counter()
-    end: Counter = Counter()
+    counts: dict[str, list[int]] = {}
     words: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        keys = list(on.keys() | end.keys())
-        kinds = [0] * len(keys) + [1] * len(words)
-        hashes = [str(xxhash.xxh64_intdigest(k)) for k in keys] + list(words)
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(hashes, pa.string()), pa.array([on[k] for k in keys] + list(words.values()), pa.int64()), pa.array([end[k] for k in keys] + [0] * len(words), pa.int64())], ["kind", "key", "n_on", "n_end"])
+        keys = [str(xxhash.xxh64_intdigest(k)) for k in counts] + list(words)
+        columns = list(zip(*counts.values())) or [(), (), ()]
+        zeros = (0,) * len(words)
+        arrays = [pa.array([0] * len(counts) + [1] * len(words), pa.int32()), pa.array(keys, pa.string()), pa.array(columns[0] + tuple(words.values()), pa.int64()), pa.array(columns[1] + zeros, pa.int64()), pa.array(columns[2] + zeros, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "key", "n_on", "n_end", "n_stop"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             parts, short, long = units(_mark.sub("", _strip(text)))
             last = len(parts) - 1
-            for i in range(len(parts)):
-                counts = on if i < last else end
+            for i, part in enumerate(parts):
+                kind = 1 if i == last else 2 if _end.search(part if short == 1 else parts[i + 1]) else 0
                 for c in contexts(parts, i, short, long):
-                    counts[c] += 1
+                    if c in counts:
+                        counts[c][kind] += 1
+                    else:
+                        counts[c] = [int(kind == k) for k in range(3)]
                 if short == 1 and i < last:
-                    w = _word.search(parts[i].rstrip(".,;:!?…»”“)\"'"))
-                    if w:
-                        words[w.group()] += 1
-        if len(on) + len(end) + len(words) > FLUSH:
+                    w = _bare(part)
+                    if w and _has_letters(w):
+                        words[w] += 1
+        if len(counts) + len(words) > FLUSH:
             yield flush()
-            on.clear(), end.clear(), words.clear()
+            counts.clear(), words.clear()
     yield flush()
 
 
@@ -176,20 +193,21 @@ def truncated(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t, o) for t, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            names = ["n", "n_bytes", "marked", "finished", "soft_mark", "near", "far", "last_word", "split_char", "target_finished"]
-            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+            names = ["n", "n_bytes", "marked", "finished", "soft_mark", "near", "far", "last_word", "split_char", "target_finished", "hanging", "n_target"]
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32()]
             import xxhash
 
             for r in rows:
                 for c in ("near", "far"):
                     r[c] = None if r[c] is None else str(xxhash.xxh64_intdigest(r[c]))
-            columns = [batch.column(i) for i in (0, 1, 2, 4)] + [pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "source", "text", "align_score", *names])
-
-    texts = documents.where(F.col("text").rlike("\\S")).select(id_col, "source", "text", "target_text", F.col("align_score").cast("double"))
-    rows = cut(texts.mapInArrow(run, f"`{id_col}` long, source string, text string, align_score double, {_FEATURES}"))
-    counted = cut(texts.select("text").mapInArrow(_count, "kind int, key string, n_on long, n_end long").groupBy("kind", "key").agg(F.sum("n_on").alias("n_on"), F.sum("n_end").alias("n_end")))
-    sequences = counted.where("kind = 0").select("key", "n_on", "n_end")
+            columns = [batch.column(i) for i in (0, 1, 2, 4, 5)] + [pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "source", "text", "align_score", "pair", *names])
+
+    code = lambda c: F.substring(F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))), 1, 2)
+    texts = documents.where(F.col("text").rlike("\\S")).select(id_col, "source", "text", "target_text", F.col("align_score").cast("double"), F.concat(code("lang"), F.lit(">"), code("target_lang")).alias("pair"))
+    rows = cut(texts.mapInArrow(run, f"`{id_col}` long, source string, text string, align_score double, pair string, {_FEATURES}"))
+    counted = cut(texts.select("text").mapInArrow(_count, "kind int, key string, n_on long, n_end long, n_stop long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_end", "n_stop")]))
+    sequences = counted.where("kind = 0").select("key", "n_on", "n_end", "n_stop")
     words = counted.where("kind = 1").select(F.col("key").alias("word"), F.col("n_on").alias("whole"))
 
     last = rows.where("last_word is not null").select("last_word").distinct()
@@ -208,21 +226,30 @@ def truncated(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shares = shares.select("of", active("chars").alias("chars_limit"), active("bytes").alias("bytes_limit"))
     placed = placed.join(shares, "of")
 
+    usual_length = rows.where(F.col("finished") & F.col("target_finished") & (F.col("align_score") >= 0.6)).groupBy("pair").agg(F.percentile_approx(F.col("n") / F.col("n_target"), 0.5).alias("usual_ratio"))
+    placed = placed.join(usual_length, "pair", "left")
     for c in ("near", "far"):
-        placed = placed.join(sequences.select(F.col("key").alias(c), F.col("n_on").alias(f"{c}_on"), F.col("n_end").alias(f"{c}_end")), c, "left")
+        placed = placed.join(sequences.select(F.col("key").alias(c), F.col("n_on").alias(f"{c}_on"), F.col("n_end").alias(f"{c}_end"), F.col("n_stop").alias(f"{c}_stop")), c, "left")
     placed = placed.join(word_evidence, "last_word", "left").join(longer_copies(texts.select("text")), "text", "left")
 
     unfinished = ~F.col("finished") | F.col("soft_mark")
     mid_word = F.coalesce((F.col("whole") == 0) & (F.col("longer_words") >= 2) & (F.col("near_end") <= 1 + 0.2 * F.col("longer_words")), F.lit(False))
-    goes_on = lambda c, least: F.coalesce((F.col(f"{c}_on") >= least) & (F.col(f"{c}_end") <= 0.12 * (F.col(f"{c}_on") + F.col(f"{c}_end"))), F.lit(False))
+    def goes_on(c: str):
+        """Hardly ever at the end of a text or sentence, this text's own end aside."""
+        on, end, stop = (F.col(f"{c}_{k}") for k in ("on", "end", "stop"))
+        return F.coalesce((on >= 30) & (end - 1 + stop <= 0.03 * (on + end + stop)), F.lit(False))
+
+    # Words such as abbreviations, after whose full stop the text always goes on.
+    short_form = F.coalesce((F.col("near_stop") >= 8) & (F.col("near_on") <= 0.1 * F.col("near_stop")) & (F.col("near_end") <= 0.03 * F.col("near_stop")), F.lit(False))
     usual = F.coalesce((F.col("far_end") >= 3) & (F.col("far_end") >= 0.4 * (F.col("far_on") + F.col("far_end"))), F.lit(False))
     copy = F.coalesce(F.col("next_char").rlike(r"[\p{L}\p{M}]"), F.lit(False)) & unfinished
     limit = ((F.col("near_chars") & F.col("chars_limit")) | (F.col("near_bytes") & F.col("bytes_limit"))) & unfinished
-    score = F.coalesce(F.col("align_score"), F.lit(0.5))
+    score = F.coalesce(F.col("align_score"), F.lit(0.6))
+    ratio = F.coalesce(F.col("n") / F.col("n_target") / F.col("usual_ratio"), F.lit(0.9))
     judged = placed.select(
-        id_col, "source", "marked", mid_word.alias("mid_word"), ((goes_on("near", 8) | goes_on("far", 5)) & ~usual).alias("mid_sentence"), copy.alias("longer_copy"), limit.alias("at_limit"), usual.alias("usual"),
+        id_col, "source", "marked", mid_word.alias("mid_word"), (F.when(unfinished, F.col("hanging") | short_form | ((goes_on("near") | goes_on("far")) & ~usual)).otherwise(short_form)).alias("mid_sentence"), copy.alias("longer_copy"), limit.alias("at_limit"), usual.alias("usual"),
         unfinished.alias("unfinished"), "split_char", "soft_mark",
-        F.when(F.col("target_finished") & ~F.col("finished") & (score >= 0.6), FINISHED_TARGET).when(F.col("target_finished") & ~F.col("finished") & (score >= 0.5), FINISHED_TARGET - 1).when(~F.col("target_finished"), UNFINISHED_TARGET).otherwise(0.0).alias("side"),
+        F.when(F.col("target_finished") & ~F.col("finished") & (score >= 0.6), FINISHED_TARGET + F.when(ratio < 0.85, SHORT_FOR_TARGET).when(ratio > 0.93, FULL_FOR_TARGET).otherwise(0.0)).when(~F.col("target_finished"), UNFINISHED_TARGET).otherwise(0.0).alias("side"),
     )
     value = lambda c, p: F.when(F.col(c), p).otherwise(0.0)
     points = value("marked", MARKED) + value("split_char", MARKED) + F.when(
