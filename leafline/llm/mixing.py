@@ -33,11 +33,11 @@ def plan(available: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
 
 def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", weight_col: str | None = None, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
-    """(id, source, n_tokens, repeats): how often each record is used; records used never have no row.
+    """(id, source, n_tokens, repeats): how often each record is used, 0 for a record that the mix leaves out.
 
     Every record of a source is used budget // tokens times; the remaining budget goes to the
-    records with the smallest keys while they fit in order. Records without tokens or with a source
-    outside the targets are left out; null or non-positive weights count as the least weight; equal
+    records with the smallest keys while they fit in order. Records without tokens, or of a source
+    without a budget, have no row; null or non-positive weights count as the least weight; equal
     keys are ordered by id. Keys depend on id and seed alone, so lost tasks repeat the same draw.
 
     The prefix sum of a source never runs in one task: keys fall into CELLS cells of equal
@@ -69,12 +69,12 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", size_col
     chosen = last.withColumn("upto", F.col("base") + F.sum("size").over(w)).where("upto <= rest").select("id", F.lit(True).alias("chosen"))
     graded = graded.join(chosen, "id", "left")
     extra = F.when(F.col("full") | (F.col("edge") & F.coalesce("fine_full", F.lit(False))) | F.coalesce("chosen", F.lit(False)), 1).otherwise(0)
-    return graded.select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + extra).cast("int").alias("repeats")).where("repeats > 0")
+    return graded.select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + extra).cast("int").alias("repeats"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, actual_share, most_repeats, n_records) of every source of the targets, used or not."""
-    used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"), F.count("*").alias("n_records"))
+    used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"), F.count_if(F.col("repeats") > 0).alias("n_records"))
     t = targets.groupBy("source").agg(F.sum("target_share").alias("target_share")).join(used, "source", "left").na.fill(0, ["tokens", "most_repeats", "n_records"])
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row per source of the targets
     return t.select("source", "target_share", "tokens", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("actual_share"), "most_repeats", "n_records")
