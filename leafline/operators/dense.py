@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from leafline.operators.retrieval import query_blocks
 from leafline.providers import Embedder, HashingEmbedder, OverlapReranker, Reranker
 
-QUERY_BLOCK = 1024  # questions that meet a batch of passages at once
 DENSE_K, CANDIDATES = 3, 20
 
 
@@ -31,54 +32,49 @@ def encode(df: DataFrame, id_col: str, text_col: str, prefix: str, embedder: Emb
 
 
 def nearest(passages: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query_id", vector_col: str = "vector", exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, similarity): the k passages with the greatest dot product of every question, exactly.
+    """(query_id, id, similarity, rank): the k passages with the greatest dot product of every question, exactly.
 
-    The stated questions meet all passages in blocks of QUERY_BLOCK: a task multiplies a batch of
-    passages with a block of questions and keeps the k best of each question, so what is shuffled is
-    k rows per question and batch. Products are summed in double precision; equal similarities (to 12
-    digits) are ordered by id; null vectors are left out, vectors that are not finite are an error.
+    The stated questions meet all passages in blocks: a task multiplies a batch of passages with a
+    block of questions and keeps the k best of each question, so what is shuffled is k rows per
+    question and batch. Products are summed in double precision; equal similarities (to 12 digits)
+    are ordered by id; null vectors are left out, vectors that are not finite are an error.
     """
     p_kind, q_kind = passages.schema[id_col].dataType, queries.schema[query_col].dataType
-    spark = passages.sparkSession
-    blocks = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col).alias("q"), F.col(vector_col).alias("v"))
-    blocks = blocks.groupBy(F.pmod(F.hash("q"), F.greatest(F.lit(1), F.lit(_blocks(queries)))).alias("b")).agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, qs, out = batch.column(0).to_pylist(), batch.column(2), []
-            vectors = np.asarray(batch.column(1).to_pylist(), np.float64)
-            if not np.isfinite(vectors).all():
-                raise ValueError("vectors must be finite")
-            numbers = batch.column(3).to_pylist()
-            for b in set(numbers):
-                rows = [i for i, x in enumerate(numbers) if x == b]
-                block = qs[rows[0]].as_py()
-                scores = np.round(vectors[rows] @ np.asarray([x["v"] for x in block], np.float64).T, 12)
-                own = [ids[i] for i in rows]
-                order = sorted(range(len(own)), key=lambda i: own[i])
-                scores, own = scores[order], [own[i] for i in order]
-                for j, x in enumerate(block):
+    p_type, q_type = to_arrow_type(p_kind), to_arrow_type(q_kind)
+    rows = passages.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col))
+    schema = f"`{query_col}` {q_kind.simpleString()}, `{id_col}` {p_kind.simpleString()}, similarity double"
+
+    def scan(asked: list):
+        names, matrix = [r[0] for r in asked], np.asarray([r[1] for r in asked], np.float64).T
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                if not ids:
+                    continue
+                vectors = np.asarray(batch.column(1).to_pylist(), np.float64)
+                if not np.isfinite(vectors).all():
+                    raise ValueError("vectors must be finite")
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                ids, scores = [ids[i] for i in order], np.round(vectors[order] @ matrix, 12)
+                out = []
+                for j, name in enumerate(names):
                     column = scores[:, j]
                     if exclude_self:
-                        column = np.where(np.asarray([o == x["q"] for o in own]), -np.inf, column)
-                    best = np.argsort(-column, kind="stable")[:k]
-                    out += [(x["q"], own[i], float(column[i])) for i in best if column[i] > -np.inf]
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], q_type), pa.array(columns[1], p_type), pa.array(columns[2], pa.float64())], [query_col, id_col, "similarity"])
+                        column = np.where(np.asarray([i == name for i in ids]), -np.inf, column)
+                    out += [(name, ids[i], float(column[i])) for i in np.argsort(-column, kind="stable")[:k] if column[i] > -np.inf]
+                columns = list(zip(*out)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], q_type), pa.array(columns[1], p_type), pa.array(columns[2], pa.float64())], [query_col, id_col, "similarity"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+        return run
 
-    q_type, p_type = to_arrow_type(q_kind), to_arrow_type(p_kind)
-    pairs = passages.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col)).crossJoin(blocks)  # a row per passage and block of stated questions
-    partial = pairs.select(id_col, vector_col, "qs", "b").mapInArrow(run, f"`{query_col}` {q_kind.simpleString()}, `{id_col}` {p_kind.simpleString()}, similarity double")
+    partial = passages.sparkSession.createDataFrame([], schema)
+    for asked in query_blocks(queries.where(F.col(vector_col).isNotNull()).select(query_col, vector_col), query_col):
+        partial = partial.unionByName(rows.mapInArrow(scan(asked), schema))
     order = Window.partitionBy(query_col).orderBy(F.col("similarity").desc(), id_col)
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> int:
-    return -(-queries.count() // QUERY_BLOCK)
-
-
 def candidates(passages: DataFrame, queries: DataFrame, candidate_k: int = CANDIDATES, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, base_rank, base_similarity): first stage, ranked by the raw similarity."""
     return nearest(passages, queries, candidate_k, id_col).select("query_id", id_col, F.col("rank").alias("base_rank"), F.col("similarity").alias("base_similarity"))

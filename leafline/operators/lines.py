@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import text as T
+from leafline.session import cut
 
 
 def latest_lines(lines: DataFrame) -> DataFrame:
@@ -64,19 +65,44 @@ def mark_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumns({"is_repeated": repeated, "is_low_information": low}).drop("repeats")
 
 
+def _both_texts(marked: DataFrame) -> DataFrame:
+    """(page_id, raw_text, text, counters): the texts of all lines and of the kept lines, in one pass over each page."""
+    order = Window.partitionBy("page_id").orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    page = Window.partitionBy("page_id")
+    kept = ~F.col("is_repeated") & ~F.col("is_low_information")
+    rows = marked.withColumn("kept", kept).withColumns({
+        "raw_step": F.col("top") - F.lag("top").over(order), "raw_first": F.row_number().over(order) == 1,
+        "step": F.when(F.col("kept"), F.col("top") - F.last(F.when(F.col("kept"), F.struct("top")), ignorenulls=True).over(before)["top"]), "first": F.col("kept") & (F.coalesce(F.count(F.when(F.col("kept"), 1)).over(before), F.lit(0)) == 0),
+    })
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    rows = rows.withColumns({"raw_typical": F.median(positive("raw_step")).over(page), "raw_n": F.count(positive("raw_step")).over(page), "typical": F.median(positive("step")).over(page), "n": F.count(positive("step")).over(page)})
+
+    def part(prefix: str):
+        gap = (F.col(f"{prefix}n") >= 2) & (F.col(f"{prefix}step") > F.col(f"{prefix}typical") * T.GAP_RATIO)
+        return F.concat(F.when(F.col(f"{prefix}first"), "").when(gap, "\n\n").otherwise("\n"), "text")
+
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["part"]), "")
+    return rows.groupBy("page_id").agg(
+        joined(F.struct("line_no", part("raw_").alias("part"))).alias("raw_text"), joined(F.when(F.col("kept"), F.struct("line_no", part("").alias("part")))).alias("text"),
+        F.count_if("is_repeated").alias("repeated_lines_removed"), F.count_if("is_low_information").alias("low_information_lines_removed"), F.sum("glyphs").alias("unmapped_glyphs_removed"),
+    )
+
+
 def clean_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """One record per page: text, counts, has_text, needs_ocr, removal counters, extraction error; pages without lines stay, empty."""
-    rows = latest_lines(lines)
+    """One record per page: text, counts, has_text, needs_ocr, removal counters, extraction error; pages without lines stay, empty.
+
+    The mapped lines are written to the checkpoint folder once; the document's statistics and the
+    page texts read them from there.
+    """
+    rows = cut(latest_lines(lines))
     known = latest_pages(pages).select("page_id", "file_id", "page_index", "page_number", "width", "height", "extraction_error")
-    marked = mark_lines(rows, known)
-    raw = page_texts(rows).select("page_id", (F.length(T.normalize_text(F.col("text"))) < T.MIN_TEXT_CHARS).alias("needs_ocr"))
-    kept = page_texts(marked.where("not is_repeated and not is_low_information")).select("page_id", T.normalize_text(F.col("text")).alias("text"))
-    counters = marked.groupBy("page_id").agg(F.count_if("is_repeated").alias("repeated_lines_removed"), F.count_if("is_low_information").alias("low_information_lines_removed"), F.sum("glyphs").alias("unmapped_glyphs_removed"))
-    out = known.join(raw, "page_id", "left").join(kept, "page_id", "left").join(counters, "page_id", "left")
-    text = F.coalesce("text", F.lit(""))
+    texts = _both_texts(mark_lines(rows, known)).select("page_id", (F.length(T.normalize_text(F.col("raw_text"))) < T.MIN_TEXT_CHARS).alias("needs_ocr"), T.normalize_text(F.col("text")).alias("text"), "repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")
+    out = known.join(texts, "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.col("text")
     return out.select(
         "page_id", "file_id", "page_index", "page_number", F.round("width", 2).alias("width"), F.round("height", 2).alias("height"), F.length(text).alias("char_count"), T.count_words(text).alias("word_count"), (text != "").alias("has_text"),
-        F.coalesce("needs_ocr", F.lit(True)).alias("needs_ocr"), text.alias("text"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")], "extraction_error",
+        F.coalesce("needs_ocr", F.lit(True)).alias("needs_ocr"), text, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")], "extraction_error",
     )
 
 

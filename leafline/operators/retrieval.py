@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import text as T
 from leafline.functions.tokens import tokenize
+from leafline.session import cut
 
 K1, B, PHRASE_BONUS, PHRASE_CHARS = 1.5, 0.75, 1.5, 3
 
@@ -40,66 +44,66 @@ def query_tokens(queries: DataFrame, id_col: str = "id", text_col: str = "query"
     return postings(queries, id_col, text_col).withColumnRenamed(id_col, "query_id")
 
 
-def asked_postings(chunks: DataFrame, queries: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of the chunks for tokens that some question has, and the questions' tokens. The pruning comes before the counts are shuffled."""
+def asked_postings(tokens: DataFrame, queries: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Postings for the tokens that some question has, from (id, tokens), and the questions' tokens. The pruning comes before the counts are shuffled."""
     asked = query_tokens(queries)
-    wanted = asked.select("token").distinct()
-    tokens = chunks.select(id_col, tokenize(F.col("text")).alias("tokens"))
-    rows = tokens.select(id_col, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
+    rows = tokens.select(id_col, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     return rows.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens")), asked
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(query_id, id, score, matched_terms) of every chunk that shares a token with the question or contains it as a phrase.
+    """(query_id, id, score) of every chunk that shares a token with the question or contains it as a phrase.
 
     Each distinct token of the question counts once. The phrase bonus holds for questions of three
-    characters or more and can alone admit a chunk; the test is made per question only against its
-    candidates and the chunks that contain the phrase.
+    characters or more and can alone admit a chunk. Null texts are empty texts, which count in the
+    number of chunks and in their average length.
     """
-    posted, asked = asked_postings(chunks, queries, id_col)
-    sizes = corpus_size(chunks)
+    tokens = cut(chunks.select(id_col, tokenize(F.col("text")).alias("tokens")))  # made once, read for the postings and the average length
+    posted, asked = asked_postings(tokens, queries, id_col)
+    sizes = tokens.agg(F.count("*").alias("n_texts"), F.greatest(F.coalesce(F.avg(F.size("tokens")), F.lit(1.0)), F.lit(1.0)).alias("avg_tokens"))
     weighted = posted.join(document_frequency(posted), "token").crossJoin(F.broadcast(sizes))  # one row
     idf = F.log(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    parts = weighted.select(id_col, "token", part.alias("part")).join(asked.select("query_id", "token"), "token")
-    scores = parts.groupBy("query_id", id_col).agg(F.sum("part").alias("score"), F.array_sort(F.collect_list("token")).alias("matched_terms"))
-    phrases = phrase_matches(chunks, queries, id_col)
-    both = scores.join(phrases.withColumn("bonus", F.lit(PHRASE_BONUS)), ["query_id", id_col], "full_outer")
-    total = F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-    return both.select("query_id", id_col, total.alias("score"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms")).where("score > 0")
+    parts = weighted.select(id_col, "token", part.alias("part")).join(asked.select("query_id", "token"), "token").select("query_id", id_col, "part")
+    bonus = phrase_matches(chunks, queries, id_col).withColumn("part", F.lit(PHRASE_BONUS))
+    return parts.unionByName(bonus).groupBy("query_id", id_col).agg(F.sum("part").alias("score")).where("score > 0")
+
+
+QUERY_BLOCK = 16384  # stated questions that one pass over the corpus answers; bounds what the driver and a task hold of them
+
+
+def query_blocks(queries: DataFrame, key: str, block: int = QUERY_BLOCK) -> list[list]:
+    """The stated questions in blocks of about the given size, each collected on its own; usually there is one."""
+    n = -(-queries.count() // block)
+    return [queries.where(F.pmod(F.hash(key), F.lit(n)) == i).collect() for i in range(n)]
 
 
 def phrase_matches(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id) where the compacted lower-case question is part of the chunk's text.
 
-    The questions go to the tasks in blocks of BLOCK; each task looks for all phrases of a block in
-    one pass over each text, so the cost is that of reading the chunks once per block.
+    All phrases of a block of questions are looked for in one pass over each text, so the cost is
+    that of reading the chunks once per block, and no pair is formed that does not match.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    phrase = queries.select(F.col("id").alias("query_id"), T.compact(F.lower("query")).alias("phrase")).where(F.length("phrase") >= PHRASE_CHARS)
-    block = phrase.groupBy(F.pmod(F.hash("query_id"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("phrase").alias("phrases"))
+    phrase = queries.where("query is not null").select(F.col("id").cast("string").alias("query_id"), T.compact(F.lower("query")).alias("phrase")).where(F.length("phrase") >= PHRASE_CHARS)
     texts = chunks.where("text is not null").select(F.col(id_col).cast("string").alias(id_col), T.compact(F.lower("text")).alias("low"))
+    out = chunks.sparkSession.createDataFrame([], f"query_id string, `{id_col}` string")
+    for rows in query_blocks(phrase, "query_id"):
+        out = out.unionByName(texts.mapInArrow(_search([r[0] for r in rows], [r[1] for r in rows], id_col), f"query_id string, `{id_col}` string"))
+    return out
+
 
+def _search(ids: list[str], phrases: list[str], id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, object] = {}
+        find = _finder(ids, phrases)
         for batch in batches:
             found_q, found_c = [], []
-            for key, low, number, ids, phrases in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if number not in known:
-                    known[number] = _finder(ids, phrases)
-                hits = known[number](low)
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = find(low)
                 found_q += hits
                 found_c += [key] * len(hits)
             yield pa.RecordBatch.from_arrays([pa.array(found_q, pa.string()), pa.array(found_c, pa.string())], ["query_id", id_col])
 
-    pairs = texts.crossJoin(block)  # every text against the stated questions, BLOCKS rows at most
-    return pairs.select(id_col, "low", "block", "ids", "phrases").mapInArrow(run, f"query_id string, `{id_col}` string")
-
-
-BLOCKS = 1
+    return run
 
 
 def _finder(ids: list[str], phrases: list[str]):
@@ -130,8 +134,10 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 3, snippet_chars
     scored = bm25_scores(corpus, queries).withColumn("score", F.round("score", 4))
     places = corpus.select("chunk_id", "file_id", "chunk_index", "page_range")
     best = top(scored.join(places, "chunk_id"), k, "score", "file_id", "chunk_index", "chunk_id")
+    # Terms and snippets are made for the ranked rows only.
     shown = best.join(corpus.select("chunk_id", "text"), "chunk_id").join(queries.select(F.col("id").alias("query_id"), "query", tokenize(F.col("query")).alias("tokens")), "query_id")
-    return shown.select("query_id", "rank", "chunk_id", "score", "matched_terms", "page_range", snippets(snippet_chars)("text", "query", "tokens").alias("snippet"))
+    terms = F.array_sort(F.array_intersect("tokens", tokenize(F.col("text"))))
+    return shown.select("query_id", "rank", "chunk_id", "score", terms.alias("matched_terms"), "page_range", snippets(snippet_chars)("text", "query", "tokens").alias("snippet"))
 
 
 def focused_snippet(text: str, query: str, tokens: list[str], n: int) -> str:
@@ -183,7 +189,7 @@ def norms(weights: DataFrame, id_col: str) -> DataFrame:
 
 def tfidf_vectors(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """Weights of the chunks and of the questions over the corpus's vocabulary."""
-    posted = postings(chunks, id_col)
+    posted = cut(postings(chunks, id_col))
     frequencies, n = document_frequency(posted), chunks.agg(F.count("*").alias("n_texts"))
     return tfidf_weights(posted, frequencies, n, id_col), tfidf_weights(query_tokens(queries), frequencies, n, "query_id")
 
@@ -191,6 +197,7 @@ def tfidf_vectors(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id
 def tfidf_similarities(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, similarity) of the pairs with a token in common; all others have similarity 0."""
     c, q = tfidf_vectors(chunks, queries, id_col)
+    c = cut(c)  # the weights serve the products and the norms
     dots = c.join(q.withColumnRenamed("weight", "q_weight"), "token").groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
     scored = dots.join(norms(c, id_col), id_col).join(norms(q, "query_id").withColumnRenamed("norm", "q_norm"), "query_id")
     return scored.select("query_id", id_col, F.when((F.col("norm") == 0) | (F.col("q_norm") == 0), 0.0).otherwise(F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
