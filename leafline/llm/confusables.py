@@ -120,7 +120,7 @@ def _wording_table() -> dict[int, str]:
         parent[b] = a
 
     for cp, p in prototypes().items():
-        if len(p) == 1:
+        if len(p) == 1 and p != " ":
             join(chr(cp), p)
     seen = set(parent) | {chr(c) for c in range(0x21, 0x2000)}
     for char in seen:
@@ -132,6 +132,8 @@ def _wording_table() -> dict[int, str]:
         root = find(char)
         if root != char:
             table[ord(char)] = root
+        else:
+            table.pop(ord(char), None)  # a root stands for itself
     for cp, p in list(table.items()):
         if len(p) > 1:
             table[cp] = "".join(find(c) if c in parent else c for c in p.lower())

@@ -79,7 +79,7 @@ def languages(common_words: DataFrame) -> Languages:
 
 _strip = "«»“”„‟\"'’‘()[]（）【】「」『』‹›¿¡,;:—–-"
 _WORD = r"([^\W\d_][^\s.,;:!?…»”“\"()\[\]،؛؟।]*)"
-_after_break = re.compile(r"(?:[!?…؟।]|[^\W\d_]{4,}\.)[»”“\")\]]*\s+[«“„\"(\[¿¡–—-]*\s*" + _WORD)
+_after_break = re.compile(r"(?:[!?…؟।]|[^\W\d_]{5,}\.)[»”“\")\]]*\s+[«“„\"(\[¿¡–—-]*\s*" + _WORD)
 _after_number = re.compile(r"(?<![.,\d])\d{1,4}\.\s+" + _WORD)
 _after_dot = re.compile(r"\.\s+" + _WORD)
 _KINDS = ("plain", "dotted", "starts", "follows", "lower", "after_dot")

@@ -221,8 +221,8 @@ def truncated(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     for name, length, most in (("chars", F.col("n"), F.col("max_n")), ("bytes", F.col("n_bytes"), F.col("max_bytes"))):
         placed = placed.withColumn(f"near_{name}", length > most - LIMIT_WINDOW)
     shares = placed.groupBy("of").agg(*[x for name in ("chars", "bytes") for x in (
-        F.sum(F.when(F.col(f"near_{name}"), 1).otherwise(0)).alias(f"{name}_n"), F.avg(F.when(F.col(f"near_{name}"), open_ended)).alias(f"{name}_near"), F.coalesce(F.avg(F.when(~F.col(f"near_{name}"), open_ended)), F.lit(0.0)).alias(f"{name}_else"))])
-    active = lambda name: (F.col(f"{name}_n") >= 5) & (F.col(f"{name}_near") >= 0.5) & (F.col(f"{name}_near") >= 2.5 * F.col(f"{name}_else"))
+        F.sum(F.when(F.col(f"near_{name}"), 1).otherwise(0)).alias(f"{name}_n"), F.count_if(~F.col(f"near_{name}")).alias(f"{name}_n_else"), F.avg(F.when(F.col(f"near_{name}"), open_ended)).alias(f"{name}_near"), F.coalesce(F.avg(F.when(~F.col(f"near_{name}"), open_ended)), F.lit(0.0)).alias(f"{name}_else"))])
+    active = lambda name: (F.col(f"{name}_n") >= 5) & (F.col(f"{name}_n_else") >= 5) & (F.col(f"{name}_near") >= 0.5) & (F.col(f"{name}_near") >= 2.5 * F.col(f"{name}_else"))
     shares = shares.select("of", active("chars").alias("chars_limit"), active("bytes").alias("bytes_limit"))
     placed = placed.join(shares, "of")
 
