@@ -140,5 +140,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that SQL can express over whole tables."""
-    return {}
+    """SQL for the queries that SQL can express over whole tables; the others are tested against brute force, round trips or known cases."""
+    return {"p5_found": r"SELECT chunk_no FROM chunks WHERE length(text) + len(regexp_extract_all(text, '[\x{3400}-\x{9fff}\x{f900}-\x{faff}]')) > 1100"}
