@@ -187,10 +187,27 @@ _stop = re.compile(f"[{re.escape(STOPS)}]+")
 _token_before = re.compile(r"[\w.’'-]*$")
 _bullet_line = re.compile(rf"\n[^\S\n]*(?=(?:[{re.escape(BULLETS)}]|\(\w{{1,3}}\))\s+(\S))")
 _blank = re.compile(r"\s+")
+_blanks = re.compile(r"\s*")
 _label = re.compile(rf"[\s\d.{re.escape(BULLETS)}]*")
 _next_word = re.compile(r"[^\W_][\w’-]*")
 
 
+REACH = 80  # characters that decide about a boundary on either side; longer tokens are no words
+
+
+def _head(text: str, at: int) -> str:
+    """The text from the next character that is no blank on, as far as decisions reach."""
+    start = _blanks.match(text, at).end()
+    return text[start : start + REACH]
+
+
+def _before(text: str, at: int) -> int:
+    """End of the text before a place, without the blanks there."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _enclosures(text: str) -> list[int]:
     """For each opening mark with a partner in the paragraph, the place of the partner; as a list (start, end) flattened per position."""
     stack: list[tuple[int, str]] = []
@@ -246,7 +263,8 @@ class Segmenter:
             candidates += [(m.start(), -2) for m in _blank.finditer(text)]
         quotes = {b: a for a, b in pairs if text[a] not in "(（[【"}
         for b in quotes:
-            if text[:b].rstrip()[-1:] in STOPS and b:
+            k = _before(text, b)
+            if k and text[k - 1] in STOPS:
                 candidates.append((b, -3))
         for place, end in sorted(candidates):
             if place < starts:
@@ -262,16 +280,17 @@ class Segmenter:
             if stop is not None:
                 ends.add(stop)
                 starts = stop
-        ends.add(len(text.rstrip()))
+        ends.add(_before(text, len(text)))
         previous = 0
         for e in sorted(ends):
-            if text[previous:e].strip():
-                out.append(offset + len(text[:e].rstrip()))
+            last = _before(text, e)
+            if last > previous and not text[previous:last].isspace():
+                out.append(offset + last)
                 previous = e
 
     @staticmethod
     def _thai(text: str, starts: int, place: int) -> bool:
-        before, after = text[starts:place], text[place:].lstrip()
+        before, after = text[starts:place], _head(text, place)
         return not _label.fullmatch(before) and bool(after) and after[0] not in "ๆฯ)”»,.%" and before[-1] not in "(“«," and not (before[-1].isascii() and after[0].isascii() and after[0].isdigit())
 
     def _after_quotation(self, text: str, starts: int, opened: int, closed: int, depth: list[int], lang: str) -> int | None:
@@ -281,7 +300,7 @@ class Segmenter:
         end = closed + 1
         while end < len(text) and text[end] in CLOSING and text[end] != "“":
             end += 1
-        rest = text[end:].lstrip()
+        rest = _head(text, end)
         if not rest:
             return end
         head = rest[0]
@@ -309,7 +328,7 @@ class Segmenter:
             if mark[-1] in FULL_STOPS:
                 return end
             return end if mark[-1] in "।॥؟" else None
-        rest = text[end:].lstrip().lstrip("«“„\"'‘(（[¿¡「『").lstrip()
+        rest = _head(text, end).lstrip("«“„\"'‘(（[¿¡「『").lstrip()
         bullet = rest[:1] and rest[0] in BULLETS
         rest = rest.lstrip(BULLETS).lstrip() if bullet else rest
         if not rest:
@@ -323,7 +342,7 @@ class Segmenter:
             return None
         if mark != ".":
             return end
-        token = _token_before.search(text[:place]).group().strip("’'-.")
+        token = _token_before.search(text[max(0, place - REACH) : place]).group().strip("’'-.")
         if not token:
             return end
         following = _next_word.match(rest)

@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.session import cut
@@ -174,10 +174,8 @@ def longer_copies(texts: DataFrame) -> DataFrame:
 
     ordered = texts.toDF("text").where("text is not null and text != ''").distinct().repartitionByRange("text").sortWithinPartitions("text")
     found = cut(ordered.mapInArrow(run, "kind int, part int, text string, next_char string"))
-    edges = found.where("kind > 0").select("kind", "part", "text")  # two rows per partition
-    firsts = edges.where("kind = 1").select(F.col("part").alias("p"), F.col("text").alias("following"))
-    lasts = edges.where("kind = 2").select("part", "text")
-    across = lasts.join(firsts, F.col("p") > F.col("part")).groupBy("part", "text").agg(F.min_by("following", "p").alias("following"))
+    following = F.lead("text").over(Window.orderBy("part", "kind"))  # two rows per partition
+    across = found.where("kind > 0").withColumn("following", following).where("kind = 2").select("text", "following")
     across = across.where(F.col("following").startswith(F.col("text")) & (F.length("following") > F.length("text"))).select("text", F.substring("following", F.length("text") + 1, F.lit(1)).alias("next_char"))
     return found.where("kind = 0").select("text", "next_char").unionByName(across)
 

@@ -61,3 +61,14 @@ def test_operators(spark, segmenter):
     assert S.sentence_ends(df.limit(0), segmenter).count() == 0
     empty = S.train(df.select("text").limit(0), segmenter.langs)
     assert S.Segmenter(empty, segmenter.langs).ends("One. Two.") == [4, 9]
+
+
+def test_long_paragraphs_take_linear_time(segmenter):
+    import time
+
+    unit = "The mill of Dr. Rova opens the gate. “Is the map old?” asked the clerk. "
+    began = time.perf_counter()
+    few = len(segmenter.ends(unit * 500))
+    middle = time.perf_counter()
+    many = len(segmenter.ends(unit * 5000))
+    assert many == 10 * few and time.perf_counter() - middle < 40 * (middle - began) + 1
