@@ -119,3 +119,10 @@ def trim_text(c: Column, limit: Column) -> Column:
 def prefix_snippet(c: Column, n: int) -> Column:
     t = compact(c)
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n), f"{BLANK}+$", ""), F.lit("...")))
+
+
+def split_sentences(c: Column) -> Column:
+    """Sentences by their closing marks: after CJK stops with the brackets and quotation marks that follow, and at blanks after Western ones."""
+    c = F.regexp_replace(c, f"([。！？；][”’」』）)]*){BLANK}*", "$1\n")
+    c = F.regexp_replace(c, f"([.!?;]){BLANK}+", "$1\n")
+    return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from leafline.functions import text as T
 from leafline.functions.tokens import HAN_RUN, LATIN, STOPWORDS
-from leafline.operators.answers import LIMITS, MAX_CHUNK, MAX_CONTEXT, MIN_SCORE, RULES
+from leafline.operators.answers import BRACKET, ITEM, LIMITS, MAX_CHUNK, MAX_CONTEXT, MIN_SCORE, RULES
 from leafline.operators.retrieval import B, K1, PHRASE_BONUS, PHRASE_CHARS
 
 
+# A passage about something else, that a good ranking puts last.
+DISTRACTOR = "The recipe calls for two ripe pears, a spoon of honey and a warm oven."
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -112,6 +116,7 @@ def _tokens(name: str, rows: str, key: str, column: str) -> str:
 
 _CORPUS = """
 corpus AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST, chunk_no DESC) AS rn FROM chunks) WHERE rn = 1)"""
+_CORPUS_AND_DISTRACTOR = f"""{_CORPUS.replace('corpus AS', 'own AS')}, corpus AS (SELECT chunk_id, file_id, chunk_index, text FROM own UNION ALL SELECT 'distractor', -1, 0, {_quote(DISTRACTOR)})"""
 _POSTED = f"""{_CORPUS}, {_tokens('toks', 'corpus', 'chunk_id', 'text')},
 lens AS (SELECT chunk_id, count(*) AS n_tokens FROM toks GROUP BY chunk_id),
 post AS (SELECT chunk_id, token, count(*) AS tf FROM toks GROUP BY chunk_id, token),
@@ -179,6 +184,26 @@ sources AS (SELECT query_id, i, 'S' || n AS source_id, chunk_id, header, body, t
 contexts AS (SELECT query_id, string_agg(header || chr(10) || body, chr(10) || chr(10) ORDER BY i) AS context, count(*) AS n_sources FROM sources GROUP BY query_id)"""
 
 
+_BRACKET, _ITEM = BRACKET, ITEM.replace(r"\s", "[ \t]")
+_ANSWERS = rf"""{_CITED},
+answered0 AS (SELECT q.query_id, q.query, c.context FROM qs q LEFT JOIN contexts c USING (query_id)),
+answered1 AS (SELECT *, '\[(S[0-9]+)\][^\n]*\n\[p([0-9]+)\] ([^\n]{{0,80}})' AS pattern FROM answered0),
+answered AS (
+  SELECT query_id, query, context IS NOT NULL AS asked_model, CASE
+    WHEN context IS NULL AND regexp_matches(query, {_quote(T.HAN)}) THEN '文档里没有足以回答该问题的依据。' WHEN context IS NULL THEN 'The document holds no evidence for an answer to this question.'
+    WHEN regexp_matches(context, pattern) THEN {_strip('regexp_extract(context, pattern, 3)')} || ' [' || regexp_extract(context, pattern, 1) || ', page ' || regexp_extract(context, pattern, 2) || ']'
+    ELSE 'The context does not answer this.' END AS answer
+  FROM answered1),
+brackets AS (SELECT query_id, unnest(regexp_extract_all(answer, {_quote(_BRACKET)}, 1)) AS bracket FROM answered),
+items0 AS (SELECT query_id, unnest(regexp_extract_all(bracket, {_quote(_ITEM)}, 0)) AS item FROM brackets),
+items AS (SELECT query_id, item, regexp_extract(item, {_quote(_ITEM)}, 1) AS name, regexp_extract(item, {_quote(_ITEM)}, 2) AS listed FROM items0),
+paged AS (SELECT i.*, p.source_pages AS pages FROM items i LEFT JOIN (SELECT query_id, source_id, source_pages FROM sources JOIN corpus USING (chunk_id)) p ON p.query_id = i.query_id AND p.source_id = i.name),
+checked AS (
+  SELECT *, pages IS NOT NULL AND (listed = '' OR len(list_filter(string_split(listed, ','), lambda x: NOT (
+    len(list_filter(CAST(regexp_extract_all(x, '[0-9]+') AS INT[]), lambda n: NOT list_contains(pages, n))) = 0 AND CAST(regexp_extract_all(x, '[0-9]+') AS INT[]) = list_sort(CAST(regexp_extract_all(x, '[0-9]+') AS INT[]))))) = 0) AS valid
+  FROM paged)"""
+
+
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()} {select}"
 
@@ -212,6 +237,7 @@ def statements() -> dict[str, str]:
         "source_hashes": "SELECT file_id, arg_max(sha256, registered_at) AS sha256, arg_max(size_bytes, registered_at) AS size_bytes, count(*) AS registrations FROM source_files GROUP BY file_id",
         "unit_starts": _with(_LINES, f"SELECT line_id FROM (SELECT line_id, {s} AS s FROM lines) WHERE {opens}"),
         "unit_texts": f"SELECT chunk_no, {_strip(unit)} AS unit FROM chunks WHERE text IS NOT NULL",
+        "sentence_splits": f"SELECT chunk_no, CAST(row_number() OVER (PARTITION BY chunk_no ORDER BY i) - 1 AS INT) AS place, s AS sentence FROM (SELECT chunk_no, i, {_strip('part')} AS s FROM (SELECT chunk_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT chunk_no, string_split({_replace(_replace('text', f'([。！？；][”’」』）)]*){T.BLANK}*', chr(92) + '1' + chr(10)), f'([.!?;]){T.BLANK}+', chr(92) + '1' + chr(10))}, chr(10)) AS parts FROM chunks WHERE text IS NOT NULL))) WHERE s <> ''",
         "page_ranges": "SELECT chunk_no, coalesce(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a), '') AS page_range FROM (SELECT chunk_no FROM chunks) LEFT JOIN (SELECT chunk_no, min(p) AS a, max(p) AS b FROM (SELECT chunk_no, p, p - row_number() OVER (PARTITION BY chunk_no ORDER BY p) AS island FROM (SELECT DISTINCT chunk_no, unnest(source_pages) AS p FROM chunks)) GROUP BY chunk_no, island) USING (chunk_no) GROUP BY chunk_no",
         "token_postings": _with(_POSTED, "SELECT chunk_id, token, tf, n_tokens FROM post JOIN lens USING (chunk_id)"),
         "document_frequencies": _with(_POSTED, "SELECT token, df FROM dfs"),
@@ -221,6 +247,7 @@ def statements() -> dict[str, str]:
         "tfidf_topk": _with(_TFIDF, "SELECT query_id, rank, chunk_id, similarity FROM ranked WHERE rank <= 3"),
         "tfidf_dimensions": _with(_TFIDF, "SELECT query_id, place, token, round(w, 8) AS weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, token) AS INT) AS place FROM qw) WHERE place <= 12"),
         "tfidf_shared_dimensions": _with(_TFIDF, "SELECT query_id, chunk_id, place, token, round(p, 8) AS contribution FROM (SELECT r.query_id, r.chunk_id, token, c.w * q.w AS p, CAST(row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY round(c.w * q.w, 12) DESC, token) AS INT) AS place FROM ranked r JOIN cw c ON c.chunk_id = r.chunk_id JOIN qw q USING (query_id, token) WHERE r.rank = 1) WHERE place <= 8"),
+        "distractor_ranks": _with(_TFIDF.replace(_CORPUS, _CORPUS_AND_DISTRACTOR), "SELECT count(*) FILTER (chunk_id = 'distractor') AS distractor_hits, count(*) AS hits FROM ranked WHERE rank <= 3"),
         "dense_topk": _with(_DENSE, "SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 10"),
         "dense_label_metrics": _with(_DENSE, "SELECT count(*) AS queries, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 4) AS hit, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM (SELECT query_id, min(rank) FILTER (relevant AND rank <= 3) AS first FROM ranked GROUP BY query_id)"),
         "evaluation_metrics": _with(f"{_bm25(3)}, labels AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT id AS query_id, unnest(relevant_chunk_ids) AS chunk_id FROM eval_cases) WHERE chunk_id IS NOT NULL), firsts AS (SELECT l.query_id, min(rank) AS first FROM labels l LEFT JOIN hits h ON h.query_id = l.query_id AND h.chunk_id = l.chunk_id GROUP BY l.query_id)", "SELECT 'bm25' AS stage, 3 AS k, count(*) AS cases, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 4) AS hit, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM firsts"),
@@ -229,5 +256,9 @@ def statements() -> dict[str, str]:
         "context_sources": _with(_CITED, "SELECT query_id, source_id, chunk_id, CAST(length(body) AS INT) AS included_chars, truncated, CAST(length(header) AS INT) AS header_chars FROM sources", True),
         "context_budgets": _with(_CITED, "SELECT query_id, CAST(coalesce(n_sources, 0) AS INT) AS n_sources, CAST(coalesce(length(context), 0) AS INT) AS used_chars FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id)", True),
         "prompts": _with(_CITED, f"SELECT query_id, {_quote(RULES)} || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') AS prompt FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id) JOIN qs USING (query_id)", True),
+        "evidence_gate": _with(_ANSWERS, "SELECT query_id, answer, asked_model FROM answered", True),
+        "agent_answers": _with(_ANSWERS, "SELECT query_id, 'retrieve_pdf' AS tool, answer, CAST(NULL AS VARCHAR) AS error FROM answered", True),
+        "citation_checks": _with(_ANSWERS, "SELECT a.query_id, count(c.item) AS citation_count, coalesce(string_agg(c.item, '|') FILTER (NOT c.valid), '') AS invalid FROM answered a LEFT JOIN checked c USING (query_id) GROUP BY a.query_id", True),
+        "tool_calls": f"SELECT id || '/sound' AS id, 'retrieve_pdf' AS tool, {_strip('query')} AS query, CAST(NULL AS VARCHAR) AS error FROM eval_cases UNION ALL SELECT id || '/broken', NULL, NULL, 'the tool or its arguments are not allowed' FROM eval_cases",
         "document_status": _with(f"{_CORPUS}, pages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY parsed_at DESC NULLS LAST) AS rn FROM parsed_pages) WHERE rn = 1)", f"SELECT file_id, file_name, coalesce(page_count, 0) AS page_count, coalesce(chunk_count, 0) AS chunk_count, CASE WHEN page_count IS NULL THEN NULL ELSE coalesce(ocr, '') END AS ocr_pages, {_quote(LIMITS)} AS limitations FROM (SELECT file_id, arg_max(file_name, registered_at) AS file_name FROM source_files GROUP BY file_id) LEFT JOIN (SELECT file_id, count(*) AS page_count, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) FILTER (needs_ocr) AS ocr FROM pages GROUP BY file_id) USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS chunk_count FROM corpus GROUP BY file_id) USING (file_id)"),
     }

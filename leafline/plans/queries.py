@@ -134,6 +134,12 @@ def unit_texts(spark, d):
     return table(spark, d, "chunks").where("text is not null").select("chunk_no", T.normalize_unit(F.col("text")).alias("unit"))
 
 
+@query
+def sentence_splits(spark, d):
+    """Chunk texts cut at the marks that close sentences."""
+    return table(spark, d, "chunks").where("text is not null").select("chunk_no", F.posexplode(T.split_sentences(F.col("text"))).alias("place", "sentence"))
+
+
 @query
 def page_ranges(spark, d):
     """Page ranges of the chunks by gaps and islands."""
@@ -213,15 +219,11 @@ def tfidf_shared_dimensions(spark, d):
     return retrieval.shared_dimensions(table(spark, d, "chunks"), _cases(spark, d), hits)
 
 
-# A passage about something else, that a good ranking puts last.
-DISTRACTOR = "The recipe calls for two ripe pears, a spoon of honey and a warm oven."
-
-
 @query
 def distractor_ranks(spark, d):
     """How many questions rank the distractor among their best three, in the corpus with it."""
     corpus = _chunks(spark, d).select("chunk_id", "file_id", "chunk_index", "created_at", "chunk_no", "text")
-    other = spark.range(1).select(F.lit("distractor").alias("chunk_id"), F.lit(-1).cast("long").alias("file_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(-1).cast("long").alias("chunk_no"), F.lit(DISTRACTOR).alias("text"))
+    other = spark.range(1).select(F.lit("distractor").alias("chunk_id"), F.lit(-1).cast("long").alias("file_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(-1).cast("long").alias("chunk_no"), F.lit(oracle.DISTRACTOR).alias("text"))
     hits = retrieval.tfidf_search(corpus.unionByName(other), _cases(spark, d))
     return hits.agg(F.count_if(F.col("chunk_id") == "distractor").alias("distractor_hits"), F.count("*").alias("hits"))
 

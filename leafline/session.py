@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; a local folder only where none is set (tests, local mode)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Use the shared folder of spark.checkpoint.dir; a temporary folder only where none is set and all runs on this machine."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-    elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafline-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="leafline-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
