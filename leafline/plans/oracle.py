@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafline.functions import text as T
 from leafline.functions.tokens import HAN_RUN, LATIN, STOPWORDS
 from leafline.operators.answers import BRACKET, ITEM, LIMITS, MAX_CHUNK, MAX_CONTEXT, MIN_SCORE, RULES
+from leafline.operators.chunking import MAXIMUM, OVERLAP, TARGET
 from leafline.operators.retrieval import B, K1, PHRASE_BONUS, PHRASE_CHARS
 
 
@@ -208,12 +209,52 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()} {select}"
 
 
+def _unit(c: str) -> str:
+    """A text as one unit on one line. Marks between ideographs overlap, so that step runs twice."""
+    word = r"[\p{L}\p{N}_]"
+    for pattern, new in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n+", "\n"), (rf"({word})-{T.BLANK}+({word})", r"\1\2"), (rf"{T.BLANK}*\n{T.BLANK}*", " "), (rf"{T.BLANK}{{2,}}", " "), (f"({T.IDEOGRAPH}) ({T.IDEOGRAPH})", r"\1\2"), (f"({T.IDEOGRAPH}) ({T.IDEOGRAPH})", r"\1\2")):
+        c = _replace(c, pattern, new)
+    return _strip(c)
+
+
+def _size(c: str) -> str:
+    return f"(length({c}) + {_count(c, T.IDEOGRAPH)})"
+
+
+def _tail(c: str, rows: str, name: str) -> str:
+    """rows with the end of c that the next chunk repeats, as a column of the given name."""
+    first = f"SELECT *, {_strip(f'right({c}, {OVERLAP})')} AS {name}_e FROM ({rows})"
+    places = f"SELECT *, greatest(instr({name}_e, '. '), instr({name}_e, '。'), instr({name}_e, chr(10))) - 1 AS {name}_b, instr({name}_e, ' ') - 1 AS {name}_s FROM ({first})"
+    within = lambda p: f"{name}_{p} > 0 AND {name}_{p} < length({name}_e) - 1"
+    inside = f"NOT regexp_matches(substr({c}, length({c}) - {OVERLAP}, 1), {_quote(f'^{T.BLANK}$')})"
+    return f"SELECT *, CASE WHEN length({c}) <= {OVERLAP} THEN '' WHEN {within('b')} THEN {_strip(f'substr({name}_e, {name}_b + 2)')} WHEN {inside} AND {within('s')} THEN {_strip(f'substr({name}_e, {name}_s + 2)')} ELSE {name}_e END AS {name} FROM ({places})"
+
+
+def _packed() -> str:
+    """Chunks of the lines of each document: one step of the recursion per unit, which emits one chunk before and one after it at most."""
+    step = f"""SELECT s.file_id, s.i, s.cur, s.own, s.clen, s.rep, u.text AS u, u.n AS n, s.own AND s.clen + 2 + u.n > {MAXIMUM} AS flush
+      FROM pack s JOIN units u ON u.file_id = s.file_id AND u.i = s.i + 1"""
+    flushed = f"SELECT *, CASE WHEN flush THEN t1 ELSE cur END AS cur1, CASE WHEN flush THEN t1 ELSE rep END AS rep1, CASE WHEN flush THEN {_size('t1')} ELSE clen END AS clen1, own AND NOT flush AS own1 FROM ({_tail('cur', step, 't1')})"
+    dropped = f"SELECT *, NOT own1 AND cur1 <> '' AND clen1 + 2 + n > {MAXIMUM} AS dropping FROM ({flushed})"
+    rest = f"SELECT *, CASE WHEN dropping THEN '' ELSE cur1 END AS cur2, CASE WHEN dropping THEN '' ELSE rep1 END AS rep2, CASE WHEN dropping THEN 0 ELSE clen1 END AS clen2 FROM ({dropped})"
+    added = f"SELECT *, CASE WHEN cur2 = '' THEN u ELSE cur2 || chr(10) || chr(10) || u END AS cur3, clen2 + n + CASE WHEN clen2 > 0 THEN 2 ELSE 0 END AS clen3 FROM ({rest})"
+    full = f"SELECT *, clen3 >= {TARGET} AS emit FROM ({_tail('cur3', added, 't3')})"
+    return f"""{_LINES},
+units0 AS (SELECT l.file_id, p.page_number, l.line_no, l.line_id, {_unit('l.text')} AS text FROM lines l JOIN pages p USING (page_id)),
+units AS (SELECT file_id, text, CAST({_size('text')} AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY page_number, line_no) AS i FROM units0 WHERE text <> '' AND {_size('text')} <= {MAXIMUM}),
+pack AS (
+  SELECT file_id, CAST(0 AS BIGINT) AS i, '' AS cur, false AS own, CAST(0 AS BIGINT) AS clen, '' AS rep, CAST(NULL AS VARCHAR) AS e1, '' AS o1, CAST(NULL AS VARCHAR) AS e2, '' AS o2 FROM (SELECT DISTINCT file_id FROM units)
+  UNION ALL
+  SELECT file_id, i + 1, CASE WHEN emit THEN t3 ELSE cur3 END, NOT emit, CAST(CASE WHEN emit THEN {_size('t3')} ELSE clen3 END AS BIGINT), CASE WHEN emit THEN t3 ELSE rep2 END, CASE WHEN flush THEN cur END, rep, CASE WHEN emit THEN cur3 END, rep2
+  FROM ({full})),
+emitted AS (
+  SELECT file_id, i, 1 AS part, e1 AS text, o1 AS overlap FROM pack WHERE e1 IS NOT NULL UNION ALL SELECT file_id, i, 2, e2, o2 FROM pack WHERE e2 IS NOT NULL
+  UNION ALL SELECT file_id, i, 3, cur, rep FROM pack JOIN (SELECT file_id, max(i) AS i FROM units GROUP BY file_id) USING (file_id, i) WHERE own)"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name; queries of folds without a short SQL form, of models and of strict JSON have none."""
-    unit = "text"
     word = r"[\p{L}\p{N}_]"
-    for pattern, new in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n+", "\n"), (rf"({word})-{T.BLANK}+({word})", r"\1\2"), (rf"{T.BLANK}*\n{T.BLANK}*", " "), (rf"{T.BLANK}{{2,}}", " "), (f"({T.IDEOGRAPH}) ({T.IDEOGRAPH})", r"\1\2"), (f"({T.IDEOGRAPH}) ({T.IDEOGRAPH})", r"\1\2")):
-        unit = _replace(unit, pattern, new)
     numeral = "一二三四五六七八九十百千零〇"
     s = _strip("text")
     opens = " OR ".join([
@@ -236,7 +277,8 @@ def statements() -> dict[str, str]:
         "ocr_pages": _with(_CLEAN, "SELECT file_id, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) AS pages FROM clean WHERE needs_ocr GROUP BY file_id"),
         "source_hashes": "SELECT file_id, arg_max(sha256, registered_at) AS sha256, arg_max(size_bytes, registered_at) AS size_bytes, count(*) AS registrations FROM source_files GROUP BY file_id",
         "unit_starts": _with(_LINES, f"SELECT line_id FROM (SELECT line_id, {s} AS s FROM lines) WHERE {opens}"),
-        "unit_texts": f"SELECT chunk_no, {_strip(unit)} AS unit FROM chunks WHERE text IS NOT NULL",
+        "unit_texts": f"SELECT chunk_no, {_unit('text')} AS unit FROM chunks WHERE text IS NOT NULL",
+        "chunk_pack": _with(_packed(), "SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, text, CAST(length(text) AS INT) AS char_count, overlap AS overlap_from_previous FROM emitted", True),
         "sentence_splits": f"SELECT chunk_no, CAST(row_number() OVER (PARTITION BY chunk_no ORDER BY i) - 1 AS INT) AS place, s AS sentence FROM (SELECT chunk_no, i, {_strip('part')} AS s FROM (SELECT chunk_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT chunk_no, string_split({_replace(_replace('text', f'([。！？；][”’」』）)]*){T.BLANK}*', chr(92) + '1' + chr(10)), f'([.!?;]){T.BLANK}+', chr(92) + '1' + chr(10))}, chr(10)) AS parts FROM chunks WHERE text IS NOT NULL))) WHERE s <> ''",
         "page_ranges": "SELECT chunk_no, coalesce(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a), '') AS page_range FROM (SELECT chunk_no FROM chunks) LEFT JOIN (SELECT chunk_no, min(p) AS a, max(p) AS b FROM (SELECT chunk_no, p, p - row_number() OVER (PARTITION BY chunk_no ORDER BY p) AS island FROM (SELECT DISTINCT chunk_no, unnest(source_pages) AS p FROM chunks)) GROUP BY chunk_no, island) USING (chunk_no) GROUP BY chunk_no",
         "token_postings": _with(_POSTED, "SELECT chunk_id, token, tf, n_tokens FROM post JOIN lens USING (chunk_id)"),

@@ -153,6 +153,14 @@ def chunks_built(spark, d):
     return built.select("chunk_id", "file_id", "chunk_index", "text", "char_count", "word_count", "page_range", "start_page", "end_page", "overlap_from_previous", F.size("page_segments").alias("n_segments"))
 
 
+@query
+def chunk_pack(spark, d):
+    """The lines of each document packed as units, with overlap."""
+    rows = lines.latest_lines(_lines(spark, d)).select("line_id", "page_id", "file_id", F.col("line_no").alias("place"), T.normalize_unit(F.col("text")).alias("text"))
+    units = rows.where((F.col("text") != "") & (T.text_size(F.col("text")) <= chunking.MAXIMUM)).join(_pages(spark, d).select("page_id", "page_number"), "page_id")
+    return chunking.pack_units(units).select("file_id", "chunk_index", "text", "char_count", "overlap_from_previous")
+
+
 @query
 def chunk_runs(spark, d):
     """Per document the number of chunks and characters that packing made."""
