@@ -24,6 +24,8 @@ from leafline.session import cut
 CUT = 3.0
 MARKED, MID_WORD, MID_SENTENCE, LONGER_COPY, AT_LIMIT, FINISHED_TARGET, UNFINISHED_TARGET, USUAL_END = 6.0, 4.0, 4.0, 2.0, 5.0, 2.0, -4.0, -1.0
 SHORT_FOR_TARGET, FULL_FOR_TARGET = 1.5, -1.0  # length against what the finished target lets expect
+CUT_COPY = CUT  # a longer copy that goes on where this text can hardly end
+MANY_COPIES = 5
 LIMIT_WINDOW = 12  # a cut at a word or a whole character ends this much below the limit at most
 FLUSH = 200_000  # distinct contexts that a task holds before it writes its partial counts
 
@@ -33,6 +35,8 @@ _strong_mark = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|\((?:\.\.\.|…)\)|[^.]\
 _end = re.compile(r"[.!?。！？।॥؟…]['\"”’»“」』)）\]]*$")
 _pairs = {"(": ")", "（": "）", "«": "»", "„": "“”", "「": "」", "『": "』", "[": "]"}
 _hanging = re.compile(r"[,;:،؛、，；：(（\[“„«「『–—-]$")
+# What follows a whole sentence or title in a longer copy: a stop, a clause mark, a bracket, a new line.
+_whole_before = re.compile(r"[ \t]*['\"”’»“」』)）\]]*(?:[.!?,;:](?!\w)|[。！？।॥؟…،؛、，；：\n(（]| ?[–—])")
 _edges = ".,;:!?…»”“„«)('\"’‘。！？؟।،؛[]"
 
 
@@ -141,43 +145,75 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def what_follows(text: str, longer: str) -> int:
+    """How a longer value goes on after its prefix: 0 with a new word, 1 in the middle of a word, 2 with what can follow a whole sentence or title."""
+    at = len(text)
+    if _whole_before.match(longer, at):
+        return 2
+    pair = longer[at - 1 : at + 1]
+    return int(not _runs_together(pair) and all(c.isalnum() or unicodedata.category(c)[0] == "M" for c in pair))
+
+
 def longer_copies(texts: DataFrame) -> DataFrame:
-    """(text, next_char) of the distinct values that are strict prefixes of a longer value.
+    """(text, n_on, n_mid, n_whole) of the distinct values that are strict prefixes of a longer value.
 
-    Among sorted values the longer copies of a value follow it directly, so one comparison with the
-    successor finds them, however many values share a beginning. Values are range-partitioned; the
-    last of each partition is compared with the first of the next one that is not empty.
+    Every longer copy is counted, by what follows the prefix in it: a new word, the middle of a word,
+    or what can follow a whole sentence or title. Among sorted values the longer copies of a value
+    follow it directly, so a stack of the values that are still open finds them all; it is as deep
+    as values are nested. Values are range-partitioned; the values open at the end of a partition
+    meet the others in a second pass, if the next partition starts with a copy of them.
     """
 
+    schema = "kind int, part int, text string, n_on long, n_mid long, n_whole long"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        before, rows, first = None, [], None
+        rows, first, last = [], None, None
+        stack: list[list] = []  # [text, n_on, n_mid, n_whole]
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if before is None:
+                if first is None:
                     first = t
-                elif t.startswith(before) and len(t) > len(before):
-                    rows.append((0, part, before, t[len(before)]))
-                before = t
+                while stack and not t.startswith(stack[-1][0]):
+                    closed = stack.pop()
+                    if any(closed[1:]):
+                        rows.append((0, part, *closed))
+                for entry in stack:
+                    entry[1 + what_follows(entry[0], t)] += 1
+                stack.append([t, 0, 0, 0])
+                last = t
             if len(rows) > 10_000:
                 yield _batch(rows)
                 rows = []
         if first is not None:
-            rows += [(1, part, first, None), (2, part, before, None)]
+            rows += [(1, part, first, 0, 0, 0), (3, part, last, 0, 0, 0), *((2, part, *entry) for entry in stack)]
         yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["kind", "part", "text", "next_char"])
-
-    ordered = texts.toDF("text").where("text is not null and text != ''").distinct().repartitionByRange("text").sortWithinPartitions("text")
-    found = cut(ordered.mapInArrow(run, "kind int, part int, text string, next_char string"))
-    following = F.lead("text").over(Window.orderBy("part", "kind"))  # two rows per partition
-    across = found.where("kind > 0").withColumn("following", following).where("kind = 2").select("text", "following")
-    across = across.where(F.col("following").startswith(F.col("text")) & (F.length("following") > F.length("text"))).select("text", F.substring("following", F.length("text") + 1, F.lit(1)).alias("next_char"))
-    return found.where("kind = 0").select("text", "next_char").unionByName(across)
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "part", "text", "n_on", "n_mid", "n_whole"])
+
+    values = texts.toDF("text").where("text is not null and text != ''")
+    found = cut(values.distinct().repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, schema))
+    ends = found.where("kind in (1, 3)").groupBy("part").agg(F.max(F.when(F.col("kind") == 1, F.col("text"))).alias("first"), F.max(F.when(F.col("kind") == 3, F.col("text"))).alias("last"))
+    ends = ends.withColumn("following", F.lead("first").over(Window.orderBy("part")))  # one row per partition
+    across = found.where("kind = 2").select("part", "text").join(ends, "part").where(F.col("following").startswith(F.col("text")))
+    carried = [(r.text, r.last) for r in across.select("text", "last").collect()]  # as many as values are nested, per partition
+    counts = found.where("kind in (0, 2)").select("text", "n_on", "n_mid", "n_whole")
+    if carried:
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [(t, v, what_follows(t, v)) for v in batch.column(0).to_pylist() for t, last in carried if v > last and v.startswith(t)]
+                columns = list(zip(*pairs)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], ["text", "longer", "follows"])
+
+        met = values.mapInArrow(meet, "text string, longer string, follows int").distinct()
+        counts = counts.unionByName(met.select("text", *[(F.col("follows") == k).cast("long").alias(c) for k, c in enumerate(("n_on", "n_mid", "n_whole"))]))
+    return counts.groupBy("text").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_mid", "n_whole")]).where("n_on + n_mid + n_whole > 0")
 
 
 def truncated(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -240,19 +276,27 @@ def truncated(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # Words such as abbreviations, after whose full stop the text always goes on.
     short_form = F.coalesce((F.col("near_stop") >= 8) & (F.col("near_on") <= 0.1 * F.col("near_stop")) & (F.col("near_end") <= 0.03 * F.col("near_stop")), F.lit(False))
     usual = F.coalesce((F.col("far_end") >= 3) & (F.col("far_end") >= 0.4 * (F.col("far_on") + F.col("far_end"))), F.lit(False))
-    copy = F.coalesce(F.col("next_char").rlike(r"[\p{L}\p{M}]"), F.lit(False)) & unfinished
-    limit = ((F.col("near_chars") & F.col("chars_limit")) | (F.col("near_bytes") & F.col("bytes_limit"))) & unfinished
     score = F.coalesce(F.col("align_score"), F.lit(0.6))
     ratio = F.coalesce(F.col("n") / F.col("n_target") / F.col("usual_ratio"), F.lit(0.9))
+    # A longer copy is evidence if no copy has a stop or clause mark where this text ends. It is enough by itself where the last word
+    # is none, where no other text or sentence ends with these words, or where many copies go on; but a whole title begins sentences
+    # too, so the target must not be unfinished, and one that does not tell must be longer than the text lets expect.
+    n_on, n_mid = F.coalesce("n_on", F.lit(0)), F.coalesce("n_mid", F.lit(0))
+    part_word = (n_mid > 0) & (F.coalesce("whole", F.lit(0)) == 0) & (F.coalesce("near_end", F.lit(1)) <= 1)
+    copy = (n_on + n_mid > 0) & (F.coalesce("n_whole", F.lit(0)) == 0) & unfinished
+    no_end = (n_on > 0) & F.coalesce((F.col("far_end") <= 1) & (F.col("far_stop") == 0), F.lit(False))
+    title = F.when(F.col("target_finished").isNotNull(), ~F.col("target_finished")).otherwise((F.col("n_target") > 0) & (ratio >= 0.85))
+    enough = copy & (part_word | no_end | (n_on >= MANY_COPIES)) & ~title
+    limit = ((F.col("near_chars") & F.col("chars_limit")) | (F.col("near_bytes") & F.col("bytes_limit"))) & unfinished
     judged = placed.select(
-        id_col, "source", "marked", mid_word.alias("mid_word"), (F.when(unfinished, F.col("hanging") | short_form | ((goes_on("near") | goes_on("far")) & ~usual)).otherwise(short_form)).alias("mid_sentence"), copy.alias("longer_copy"), limit.alias("at_limit"), usual.alias("usual"),
+        id_col, "source", "marked", mid_word.alias("mid_word"), (F.when(unfinished, F.col("hanging") | short_form | ((goes_on("near") | goes_on("far")) & ~usual)).otherwise(short_form)).alias("mid_sentence"), copy.alias("longer_copy"), enough.alias("cut_copy"), limit.alias("at_limit"), usual.alias("usual"),
         unfinished.alias("unfinished"), "split_char", "soft_mark",
         F.when(F.col("target_finished") & ~F.col("finished") & (score >= 0.6), FINISHED_TARGET + F.when(ratio < 0.85, SHORT_FOR_TARGET).when(ratio > 0.93, FULL_FOR_TARGET).otherwise(0.0)).when(~F.col("target_finished"), UNFINISHED_TARGET).otherwise(0.0).alias("side"),
     )
     value = lambda c, p: F.when(F.col(c), p).otherwise(0.0)
     points = value("marked", MARKED) + value("split_char", MARKED) + F.when(
         F.col("unfinished"),
-        value("mid_word", MID_WORD) + value("mid_sentence", MID_SENTENCE) + value("longer_copy", LONGER_COPY) + value("at_limit", AT_LIMIT) + value("usual", USUAL_END) + F.coalesce("side", F.lit(0.0)),
+        value("mid_word", MID_WORD) + value("mid_sentence", MID_SENTENCE) + F.when(F.col("cut_copy"), CUT_COPY).otherwise(value("longer_copy", LONGER_COPY)) + value("at_limit", AT_LIMIT) + value("usual", USUAL_END) + F.coalesce("side", F.lit(0.0)),
     ).otherwise(value("mid_sentence", MID_SENTENCE - 0.5))
     return judged.withColumn("points", points).withColumn("is_cut", F.col("points") >= CUT).select(id_col, "source", "points", "is_cut", "mid_word", "mid_sentence", "longer_copy", "at_limit", "marked")
 

@@ -57,3 +57,29 @@ def test_shares_and_empty_table(spark, judged):
     shares = {r.source: r for r in X.cut_shares(X.truncated(df)).collect()}
     assert shares["limited"].n_cut == 60 and shares["titles"].cut_share == 0.0
     assert X.truncated(df.limit(0)).count() == 0
+
+
+def test_every_longer_copy_counts_by_what_follows(spark):
+    rng = random.Random(2)
+    texts = {"".join(rng.choice("ab .") for _ in range(rng.randint(1, 7))) for _ in range(300)} | {"The tower" + t for t in ("", ".", " opens", "s open", " (old)")}
+    df = spark.createDataFrame([(t,) for t in texts] * 2, "t string").repartition(5)
+    want = {}
+    for t in texts:
+        counts = [0, 0, 0]
+        for o in texts:
+            if o != t and o.startswith(t):
+                counts[X.what_follows(t, o)] += 1
+        if any(counts):
+            want[t] = tuple(counts)
+    got = {r.text: (r.n_on, r.n_mid, r.n_whole) for r in X.longer_copies(df).collect()}
+    assert got == want and got["The tower"] == (1, 1, 2)
+
+
+def test_a_longer_copy_makes_a_case_by_itself(spark):
+    cases = {"Blue herons wander": True, "Quiet rivers carry stones": False, "Old lanterns gl": True, "Seven marble stairs": False}
+    longer = ["Blue herons wander along the shore.", "Quiet rivers carry stones, as ever.", "Quiet rivers carry stones down.", "Old lanterns glimmer at dusk.", "Seven marble stairs\nlead up."]
+    texts = [*cases, *longer]
+    rows = [(i, "s", t, None, None, "en", "de", 1.0) for i, t in enumerate(texts)]
+    got = {texts[r.doc_id]: r for r in X.truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[t].is_cut for t in cases} == cases
+    assert {t: got[t].longer_copy for t in cases} == cases
