@@ -208,3 +208,15 @@ def groups(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     One row per record; classes are named by a hash of the skeleton, so no class is ever gathered.
     """
     return df.select(F.col(id_col), F.xxhash64(skeleton_column(F.col(text_col))).alias("skeleton_id"), _map_text(F.col(text_col), consistent).alias("form")).where(F.col(text_col).isNotNull())
+
+
+def record_groups(records: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """(record_table, record_id, skeleton_id, form) of every non-null text of several tables; equal-looking texts share a class across tables.
+
+    records: (name, table, id column, text column) of each table.
+    """
+    out = None
+    for name, df, id_col, column in records:
+        part = groups(df.select(F.col(id_col).cast("long").alias("record_id"), F.col(column)), "record_id", column).select(F.lit(name).alias("record_table"), "record_id", "skeleton_id", "form")
+        out = part if out is None else out.unionByName(part)
+    return out

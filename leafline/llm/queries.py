@@ -73,8 +73,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and consistent form of every line."""
-    return confusables.groups(table(spark, sf_dir, "extract_page_lines"), "line_id")
+    """Class and consistent form of every line and chunk."""
+    return confusables.record_groups(_records(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

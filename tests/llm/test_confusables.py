@@ -43,3 +43,16 @@ def test_lookalikes(spark):
     assert got == [("a", 1, 1), ("a", 2, 1), ("a", 7, 2), ("a", 8, 1)]
     classes = {r.line_id: r.skeleton_id for r in C.groups(rows, "line_id").collect()}
     assert classes[0] == classes[1] == classes[2] != classes[3] and 4 not in classes
+
+
+def test_forms_cover_lines_and_chunks(spark, tmp_path):
+    from leafline.llm import queries
+
+    spark.createDataFrame([(7, "Thе mill"), (8, None)], "line_id long, text string").write.parquet(f"{tmp_path}/extract_page_lines.parquet")
+    spark.createDataFrame([(7, "The  mill"), (9, "Der Turm")], "chunk_no long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    df = queries.p4_forms(spark, str(tmp_path))
+    assert df.columns == ["record_table", "record_id", "skeleton_id", "form"]
+    got = {(r.record_table, r.record_id): r for r in df.collect()}
+    assert sorted(got) == [("chunks", 7), ("chunks", 9), ("extract_page_lines", 7)]
+    line, chunk = got["extract_page_lines", 7], got["chunks", 7]
+    assert line.form == chunk.form == "The mill" and line.skeleton_id == chunk.skeleton_id != got["chunks", 9].skeleton_id
