@@ -48,8 +48,14 @@ _whole_before = re.compile(r"[ \t]*['\"”’»“」』)）\]]*(?:[.!?,;:](?!\w
 LOST = "�"
 
 
+_opening = re.compile("[" + "".join(map(re.escape, _pairs)) + "“]")
+_unspaced = re.compile("[\u0e00-\u0e7f\u3040-\u9fff]")
+
+
 def _open(text: str) -> bool:
     """Whether a bracket or quotation is left open."""
+    if not _opening.search(text):
+        return False
     stack: list[str] = []
     for char in text:
         if stack and char in stack[-1]:
@@ -71,8 +77,7 @@ def _strip(text: str) -> str:
 
 def _runs_together(text: str) -> bool:
     """Scripts without blanks between words."""
-    n = sum(0x0E00 <= ord(c) < 0x0E80 or 0x3040 <= ord(c) < 0xA000 for c in text)
-    return n * 2 > len(text)
+    return not text.isascii() and len(_unspaced.findall(text)) * 2 > len(text)
 
 
 def value_of(text: str) -> str:
@@ -134,14 +139,20 @@ class Counter:
     ON, STOP, FINAL, END = range(4)
 
     def __init__(self, asked: np.ndarray):
-        self.asked, self.bits = asked, len(asked) * 64
+        self.asked, self.bits = asked.astype("<u8").tobytes(), len(asked) * 64
         self.counts: dict[int, list[int]] = {}
         self.totals = [0, 0, 0, 0]
-        self.known: dict[tuple[str, str], tuple] = {}
+        self.known: dict[tuple, tuple] = {}
 
-    def wanted(self, name: int) -> bool:
+    def wanted(self, name: int) -> int:
         cell = name % self.bits
-        return bool(int(self.asked[cell >> 6]) >> (cell & 63) & 1)
+        return self.asked[cell >> 3] >> (cell & 7) & 1
+
+    def _remember(self, of: tuple, found: tuple) -> tuple:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[of] = found
+        return found
 
     def _add(self, what: int, names: tuple, n: int = 1) -> None:
         self.totals[what] += n
@@ -169,13 +180,11 @@ class Counter:
                         prefixes.append(pair)
             found = names, kind, tuple(prefixes)
             if len(word) <= 40:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[before, word] = found
+                self._remember((before, word), found)
         return found
 
-    def add(self, value: str) -> None:
-        base, mark, finished, _ = finish_of(value)
+    def add(self, value: str, finish: tuple | None = None) -> None:
+        base, mark, finished, _ = finish or finish_of(value)
         if _runs_together(base):
             self._characters("".join(base.split()))
             return
@@ -204,14 +213,20 @@ class Counter:
     def _marked(self, before: str, word: str, trailing: str) -> tuple:
         """Wanted names of a word with the mark after it."""
         mark = trailing[:1]
-        return tuple(n for n in (key(0, before, _kind(word), mark), key(1, "", word, mark), key(2, before, word, mark)) if self.wanted(n))
+        found = self.known.get((before, word, mark))
+        if found is None:
+            found = self._remember((before, word, mark), tuple(n for n in (key(0, before, _kind(word), mark), key(1, "", word, mark), key(2, before, word, mark)) if self.wanted(n)))
+        return found
 
     def _characters(self, run: str) -> None:
         n = len(run)
         for k in range(1, n + 1):
             if run[k - 1] in STOPS:
                 continue
-            names = tuple(x for x in (key(r, "", run[max(0, k - m) : k], "c") for r, m in enumerate((1, 2, 4))) if self.wanted(x))
+            end = run[max(0, k - 4) : k]
+            names = self.known.get((end,))
+            if names is None:
+                names = self._remember((end,), tuple(x for x in (key(r, "", end[-m:], "c") for r, m in enumerate((1, 2, 4))) if self.wanted(x)))
             if k == n:
                 self._add(self.END, names)
             elif run[k] in STOPS:
@@ -263,9 +278,10 @@ def prefix_counts(values: DataFrame, asked) -> DataFrame:
                         rows.append((VALUE, key(3, "", v), on, stop, 0, 0, part, None))
                 for entry in stack:
                     entry[1 + what_follows(entry[0], t)] += 1
-                if not finish_of(t)[2]:
+                finish = finish_of(t)
+                if not finish[2]:
                     stack.append([t, 0, 0])
-                counter.add(t)
+                counter.add(t, finish)
                 last = t
             if len(rows) + len(counter.counts) > FLUSH:
                 rows += [(PREFIX, name, *n, part, None) for name, n in counter.counts.items()]
