@@ -15,6 +15,9 @@ HAN = r"[\x{4e00}-\x{9fff}]"
 LATIN_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 CONTENT = rf"{LETTER}{{2,}}|\p{{Nd}}{{2,}}|{HAN}"
+# What closes a sentence, in CJK text with the marks that follow it, in other text before a blank; and what closes a clause.
+CJK_STOP, STOP = "[。！？；][”’」』）)]*", "[.!?;]"
+CJK_CLAUSE, CLAUSE = "[，、：]", "[,:]"
 NUMERIC_ROW = rf"^\p{{Nd}}+(?:{BLANK}+\p{{Nd}}+)+$"
 UNMAPPED_GLYPH = r"\(cid:\p{Nd}+\)"
 BAND, MIN_PAGES, MIN_SHARE, BODY_RATIO, GAP_RATIO, MIN_TEXT_CHARS = 0.15, 3, 0.5, 0.8, 1.5, 20
@@ -123,6 +126,6 @@ def prefix_snippet(c: Column, n: int) -> Column:
 
 def split_sentences(c: Column) -> Column:
     """Sentences by their closing marks: after CJK stops with the brackets and quotation marks that follow, and at blanks after Western ones."""
-    c = F.regexp_replace(c, f"([。！？；][”’」』）)]*){BLANK}*", "$1\n")
-    c = F.regexp_replace(c, f"([.!?;]){BLANK}+", "$1\n")
+    c = F.regexp_replace(c, f"({CJK_STOP}){BLANK}*", "$1\n")
+    c = F.regexp_replace(c, f"({STOP}){BLANK}+", "$1\n")
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")

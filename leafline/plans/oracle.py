@@ -221,6 +221,56 @@ def _size(c: str) -> str:
     return f"(length({c}) + {_count(c, T.IDEOGRAPH)})"
 
 
+_CJK = T.IDEOGRAPH[:-1] + r"\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
+
+
+def _after(c: str, *marks: tuple[str, str]) -> str:
+    """c with a line end after each mark and its blanks."""
+    for mark, blanks in marks:
+        c = _replace(c, f"({mark}){blanks}", r"\1" + chr(10))
+    return f"string_split({c}, chr(10))"
+
+
+def _parts(rows: str, key: str, column: str, limit: int) -> str:
+    """Texts in parts within the limit, as CTEs ending in parts (key, place, part): sentences, else clauses, else words, else slices, packed greedily."""
+    glued = f"CASE WHEN cur = '' THEN piece ELSE cur || CASE WHEN regexp_matches(right(cur, 1), {_quote(_CJK)}) OR regexp_matches(left(piece, 1), {_quote(_CJK)}) THEN '' ELSE ' ' END || piece END"
+    return f"""
+within AS MATERIALIZED (SELECT {key}, {column} AS t, {_size(column)} <= {limit} AS fits FROM {rows} WHERE {column} <> ''),
+sents AS (SELECT {key}, i, s, {_size('s')} AS n FROM (SELECT {key}, i, {_strip('x')} AS s FROM (SELECT {key}, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT {key}, {_after('t', (T.CJK_STOP, T.BLANK + '*'), (T.STOP, T.BLANK + '+'))} AS l FROM within WHERE NOT fits))) WHERE s <> ''),
+clauses AS (SELECT {key}, i, j, c, {_size('c')} AS n FROM (SELECT {key}, i, j, {_strip('x')} AS c FROM (SELECT {key}, i, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM (SELECT {key}, i, {_after('s', (T.CJK_CLAUSE, T.BLANK + '*'), (T.CLAUSE, T.BLANK + '+'))} AS l FROM sents WHERE n > {limit}))) WHERE c <> ''),
+words AS (SELECT {key}, i, j, k, w, {_size('w')} AS n FROM (SELECT {key}, i, j, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT {key}, i, j, regexp_split_to_array(c, {_quote(T.BLANK + '+')}) AS l FROM clauses WHERE n > {limit})) WHERE w <> ''),
+slices AS (
+  SELECT {key}, i, j, k, 0 AS m, '' AS piece, w AS rest, CASE WHEN n > length(w) THEN greatest({limit} // 2, 1) ELSE {limit} END AS step FROM words WHERE n > {limit}
+  UNION ALL
+  SELECT {key}, i, j, k, m + 1, left(rest, step), substr(rest, step + 1), step FROM slices WHERE {_size('rest')} > {limit}),
+tokens AS (
+  SELECT {key}, i, j, row_number() OVER (PARTITION BY {key}, i, j ORDER BY k, m) AS o, w, closed FROM (
+    SELECT {key}, i, j, k, 0 AS m, w, false AS closed FROM words WHERE n <= {limit}
+    UNION ALL SELECT {key}, i, j, k, m, piece, true FROM slices WHERE m > 0
+    UNION ALL SELECT {key}, i, j, k, m + 1, rest, false FROM slices WHERE {_size('rest')} <= {limit})),
+held AS (
+  SELECT DISTINCT {key}, i, j, CAST(0 AS BIGINT) AS o, '' AS cur, '' AS e1, '' AS e2 FROM tokens
+  UNION ALL
+  SELECT h.{key}, h.i, h.j, t.o, CASE WHEN closed THEN '' WHEN cur = '' OR {_size('cur')} + 1 + {_size('w')} > {limit} THEN w ELSE cur || ' ' || w END, CASE WHEN closed OR {_size('cur')} + 1 + {_size('w')} > {limit} THEN cur ELSE '' END, CASE WHEN closed THEN w ELSE '' END
+  FROM held h JOIN tokens t ON t.{key} = h.{key} AND t.i = h.i AND t.j = h.j AND t.o = h.o + 1),
+packed_words AS (
+  SELECT {key}, i, j, o, 1 AS p, e1 AS piece FROM held WHERE e1 <> '' UNION ALL SELECT {key}, i, j, o, 2, e2 FROM held WHERE e2 <> ''
+  UNION ALL SELECT {key}, i, j, o, 3, cur FROM held JOIN (SELECT {key}, i, j, max(o) AS o FROM tokens GROUP BY {key}, i, j) USING ({key}, i, j, o) WHERE cur <> ''),
+pieces AS (
+  SELECT {key}, piece, row_number() OVER (PARTITION BY {key} ORDER BY i, j, o, p) AS q FROM (
+    SELECT {key}, i, 0 AS j, 0 AS o, 0 AS p, s AS piece FROM sents WHERE n <= {limit} UNION ALL SELECT {key}, i, j, 0, 0, c FROM clauses WHERE n <= {limit} UNION ALL SELECT {key}, i, j, o, p, piece FROM packed_words)),
+greedy AS (
+  SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS q, '' AS cur, '' AS done FROM pieces
+  UNION ALL
+  SELECT {key}, q, CASE WHEN {_size('joined')} <= {limit} OR cur = '' THEN joined ELSE piece END, CASE WHEN {_size('joined')} <= {limit} THEN '' ELSE cur END FROM (
+    SELECT g.{key}, p.q, g.cur, p.piece, {glued} AS joined FROM greedy g JOIN pieces p ON p.{key} = g.{key} AND p.q = g.q + 1)),
+parts AS (
+  SELECT {key}, 0 AS place, t AS part FROM within WHERE fits
+  UNION ALL
+  SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY q, z) - 1 AS INT), part FROM (
+    SELECT {key}, q, 0 AS z, done AS part FROM greedy WHERE done <> '' UNION ALL SELECT {key}, q, 1, cur FROM greedy JOIN (SELECT {key}, max(q) AS q FROM pieces GROUP BY {key}) USING ({key}, q)))"""
+
+
 def _tail(c: str, rows: str, name: str) -> str:
     """rows with the end of c that the next chunk repeats, as a column of the given name."""
     first = f"SELECT *, {_strip(f'right({c}, {OVERLAP})')} AS {name}_e FROM ({rows})"
@@ -240,8 +290,9 @@ def _packed() -> str:
     added = f"SELECT *, CASE WHEN cur2 = '' THEN u ELSE cur2 || chr(10) || chr(10) || u END AS cur3, clen2 + n + CASE WHEN clen2 > 0 THEN 2 ELSE 0 END AS clen3 FROM ({rest})"
     full = f"SELECT *, clen3 >= {TARGET} AS emit FROM ({_tail('cur3', added, 't3')})"
     return f"""{_LINES},
-units0 AS (SELECT l.file_id, p.page_number, l.line_no, l.line_id, {_unit('l.text')} AS text FROM lines l JOIN pages p USING (page_id)),
-units AS (SELECT file_id, text, CAST({_size('text')} AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY page_number, line_no) AS i FROM units0 WHERE text <> '' AND {_size('text')} <= {MAXIMUM}),
+units0 AS (SELECT row_number() OVER () AS u, l.file_id, p.page_number, l.line_no, {_unit('l.text')} AS text FROM lines l LEFT JOIN pages p USING (page_id)),
+{_parts('units0', 'u', 'text', MAXIMUM)},
+units AS (SELECT file_id, page_number, part AS text, CAST({_size('part')} AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY page_number NULLS FIRST, line_no, place) AS i FROM units0 JOIN parts USING (u)),
 pack AS (
   SELECT file_id, CAST(0 AS BIGINT) AS i, '' AS cur, false AS own, CAST(0 AS BIGINT) AS clen, '' AS rep, CAST(NULL AS VARCHAR) AS e1, '' AS o1, CAST(NULL AS VARCHAR) AS e2, '' AS o2 FROM (SELECT DISTINCT file_id FROM units)
   UNION ALL
@@ -279,7 +330,20 @@ def statements() -> dict[str, str]:
         "unit_starts": _with(_LINES, f"SELECT line_id FROM (SELECT line_id, {s} AS s FROM lines) WHERE {opens}"),
         "unit_texts": f"SELECT chunk_no, {_unit('text')} AS unit FROM chunks WHERE text IS NOT NULL",
         "chunk_pack": _with(_packed(), "SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, text, CAST(length(text) AS INT) AS char_count, overlap AS overlap_from_previous FROM emitted", True),
-        "sentence_splits": f"SELECT chunk_no, CAST(row_number() OVER (PARTITION BY chunk_no ORDER BY i) - 1 AS INT) AS place, s AS sentence FROM (SELECT chunk_no, i, {_strip('part')} AS s FROM (SELECT chunk_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT chunk_no, string_split({_replace(_replace('text', f'([。！？；][”’」』）)]*){T.BLANK}*', chr(92) + '1' + chr(10)), f'([.!?;]){T.BLANK}+', chr(92) + '1' + chr(10))}, chr(10)) AS parts FROM chunks WHERE text IS NOT NULL))) WHERE s <> ''",
+        "chunk_segments": _with(f"""{_packed()},
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, CASE WHEN part = 1 THEN i - 1 ELSE i END AS last FROM emitted),
+spans AS (SELECT *, lag(last, 1, 0) OVER (PARTITION BY file_id ORDER BY chunk_index) AS before FROM numbered),
+stretches AS (
+  SELECT s.file_id, chunk_index, u.page_number AS page, length(u.text) AS n FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i > before AND u.i <= last
+  UNION ALL SELECT s.file_id, chunk_index, u.page_number, length(overlap) FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i = before WHERE overlap <> ''),
+segments AS (SELECT file_id, chunk_index, page, CAST(sum(n) + 2 * (count(*) - 1) AS INT) AS chars FROM stretches GROUP BY file_id, chunk_index, page),
+islands AS (SELECT *, page - row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page) AS island FROM segments WHERE page IS NOT NULL),
+ranges AS (
+  SELECT file_id, chunk_index, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS page_range, min(a) AS start_page, max(b) AS end_page
+  FROM (SELECT file_id, chunk_index, min(page) AS a, max(page) AS b FROM islands GROUP BY file_id, chunk_index, island) GROUP BY file_id, chunk_index)""", "SELECT file_id, chunk_index, CAST(row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page NULLS FIRST) - 1 AS INT) AS place, page, chars, coalesce(page_range, '') AS page_range, start_page, end_page FROM segments LEFT JOIN ranges USING (file_id, chunk_index)", True),
+        "unit_parts": _with(_parts("(SELECT chunk_no, text FROM chunks)", "chunk_no", "text", MAXIMUM), "SELECT chunk_no, place, part FROM parts", True),
+        "unit_parts_narrow": _with(_parts("(SELECT chunk_no, text FROM chunks)", "chunk_no", "text", 60), "SELECT chunk_no, place, part FROM parts", True),
+        "sentence_splits": f"SELECT chunk_no, CAST(row_number() OVER (PARTITION BY chunk_no ORDER BY i) - 1 AS INT) AS place, s AS sentence FROM (SELECT chunk_no, i, {_strip('part')} AS s FROM (SELECT chunk_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT chunk_no, {_after('text', (T.CJK_STOP, T.BLANK + '*'), (T.STOP, T.BLANK + '+'))} AS parts FROM chunks WHERE text IS NOT NULL))) WHERE s <> ''",
         "page_ranges": "SELECT chunk_no, coalesce(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a), '') AS page_range FROM (SELECT chunk_no FROM chunks) LEFT JOIN (SELECT chunk_no, min(p) AS a, max(p) AS b FROM (SELECT chunk_no, p, p - row_number() OVER (PARTITION BY chunk_no ORDER BY p) AS island FROM (SELECT DISTINCT chunk_no, unnest(source_pages) AS p FROM chunks)) GROUP BY chunk_no, island) USING (chunk_no) GROUP BY chunk_no",
         "token_postings": _with(_POSTED, "SELECT chunk_id, token, tf, n_tokens FROM post JOIN lens USING (chunk_id)"),
         "document_frequencies": _with(_POSTED, "SELECT token, df FROM dfs"),

@@ -157,10 +157,33 @@ def chunks_built(spark, d):
 def chunk_pack(spark, d):
     """The lines of each document packed as units, with overlap."""
     rows = lines.latest_lines(_lines(spark, d)).select("line_id", "page_id", "file_id", F.col("line_no").alias("place"), T.normalize_unit(F.col("text")).alias("text"))
-    units = rows.where((F.col("text") != "") & (T.text_size(F.col("text")) <= chunking.MAXIMUM)).join(_pages(spark, d).select("page_id", "page_number"), "page_id")
+    units = rows.where("text != ''").join(_pages(spark, d).select("page_id", "page_number"), "page_id", "left")
     return chunking.pack_units(units).select("file_id", "chunk_index", "text", "char_count", "overlap_from_previous")
 
 
+@query
+def chunk_segments(spark, d):
+    """Page segments of the packed chunks, one row each."""
+    rows = lines.latest_lines(_lines(spark, d)).select("page_id", "file_id", F.col("line_no").alias("place"), T.normalize_unit(F.col("text")).alias("text"))
+    units = rows.where("text != ''").join(_pages(spark, d).select("page_id", "page_number"), "page_id", "left")
+    return chunking.pack_units(units).select("file_id", "chunk_index", F.posexplode("page_segments").alias("place", "s"), "page_range", "start_page", "end_page").select("file_id", "chunk_index", "place", "s.page", F.length("s.text").alias("chars"), "page_range", "start_page", "end_page")
+
+
+NARROW = 60  # a limit at which sentences, clauses and words all have to be cut
+
+
+@query
+def unit_parts(spark, d):
+    """Chunk texts in parts within the limit of a chunk."""
+    return chunking.split_units(table(spark, d, "chunks"), "chunk_no")
+
+
+@query
+def unit_parts_narrow(spark, d):
+    """Chunk texts in parts within a narrow limit."""
+    return chunking.split_units(table(spark, d, "chunks"), "chunk_no", limit=NARROW)
+
+
 @query
 def chunk_runs(spark, d):
     """Per document the number of chunks and characters that packing made."""
