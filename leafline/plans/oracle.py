@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from leafline.functions import text as T
 from leafline.functions.tokens import HAN_RUN, LATIN, STOPWORDS
-from leafline.operators.answers import BRACKET, ITEM, LIMITS, MAX_CHUNK, MAX_CONTEXT, MIN_SCORE, RULES
+from leafline.operators.answers import BRACKET, ITEM, LIMITS, MAX_CHUNK, MAX_CONTEXT, MAX_QUERY, MIN_SCORE, RULES, digit_table
 from leafline.operators.chunking import MAXIMUM, OVERLAP, TARGET
 from leafline.operators.retrieval import B, K1, PHRASE_BONUS, PHRASE_CHARS
 
@@ -13,6 +13,30 @@ from leafline.operators.retrieval import B, K1, PHRASE_BONUS, PHRASE_CHARS
 DISTRACTOR = "The recipe calls for two ripe pears, a spoon of honey and a warm oven."
 
 
+#: What turns a BM25 score into a logit of about the size that a reranker gives.
+LOGIT = 14.0
+#: What citation_checks adds to each answer.
+CITED_BESIDES = [
+    ("plain", ""), ("unknown", " See [S9, page 1]."), ("far", " [S1, page 99999999999]"), ("digits", " [S1, page ٣]"), ("back", " [S1, pages 7-1]"), ("small", " [s1]"), ("several", " [S1; S2, pp. 1-2, 7; S3]"),
+    ("chinese", " [S1, 第8页]"), ("note", " [note 1] S1"), ("beyond", " [S1, pages 1-99999]"),
+]
+#: Planning responses that are refused: (kind, response, why).
+REFUSED_CALLS = [
+    ("tool", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "remove_pdf", "arguments": "{}"}}]}}]}', "the tool or its arguments are not allowed"),
+    ("extra", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": \\"a\\", \\"k\\": 1}"}}]}}]}', "the tool or its arguments are not allowed"),
+    ("empty", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": \\" \\"}"}}]}}]}', "the tool or its arguments are not allowed"),
+    ("long", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": \\"' + "x" * 2001 + '\\"}"}}]}}]}', "the tool or its arguments are not allowed"),
+    ("twice", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": \\"a\\", \\"query\\": \\"b\\"}"}}]}}]}', "a key occurs twice"),
+    ("constant", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": NaN}"}}]}}]}', "NaN is no JSON"),
+    ("trailing", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": "{\\"query\\": \\"a\\"} b"}}]}}]}', "the arguments are no JSON"),
+    ("object", '{"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "retrieve_pdf", "arguments": {"query": "a"}}}]}}]}', "the arguments is missing or of a wrong kind"),
+    ("nameless", '{"choices": [{"message": {"tool_calls": [{"id": " ", "type": "function", "function": {"name": "document_status", "arguments": "{}"}}]}}]}', "the call must be a function call with an id"),
+    ("two", '{"choices": [{"message": {"tool_calls": [{}, {}]}}]}', "exactly one tool call is expected"),
+    ("none", '{"choices": []}', "exactly one choice is expected"),
+    ("broken", "{", "the response is no JSON"),
+]
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -166,9 +190,9 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY roun
 
 _CITED = f"""{_bm25(5)},
 full_texts AS (
-  SELECT h.query_id, h.rank, h.chunk_id, h.page_range, h.score - 5.0 AS rerank_score,
+  SELECT h.query_id, h.rank, h.chunk_id, h.page_range, h.score - {LOGIT} AS rerank_score,
     {_compact("CASE WHEN len(coalesce(page_segments, [])) > 0 THEN array_to_string(list_transform(page_segments, lambda s: '[p' || s.page || '] ' || coalesce(s.text, '')), ' ') ELSE coalesce(text, '') END")} AS t
-  FROM hits h JOIN (SELECT chunk_id, text, page_segments FROM corpus) USING (chunk_id) WHERE h.score - 5.0 >= {MIN_SCORE}),
+  FROM hits h JOIN (SELECT chunk_id, text, page_segments FROM corpus) USING (chunk_id) WHERE h.score - {LOGIT} >= {MIN_SCORE}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS i FROM full_texts),
 fold AS (
   SELECT query_id, 0 AS i, 0 AS n, CAST(0 AS BIGINT) AS used, false AS stopped, '' AS chunk_id, '' AS header, '' AS body, false AS truncated, false AS added FROM (SELECT DISTINCT query_id FROM numbered)
@@ -185,7 +209,22 @@ sources AS (SELECT query_id, i, 'S' || n AS source_id, chunk_id, header, body, t
 contexts AS (SELECT query_id, string_agg(header || chr(10) || body, chr(10) || chr(10) ORDER BY i) AS context, count(*) AS n_sources FROM sources GROUP BY query_id)"""
 
 
-_BRACKET, _ITEM = BRACKET, ITEM.replace(r"\s", "[ \t]")
+_BRACKET, _ITEM = (x.replace("(?U)", "").replace("(?iU)", "(?i)").replace(r"\d", r"\p{Nd}") for x in (BRACKET, ITEM))
+
+
+def _checked(answers: str) -> str:
+    """Citations of answers (query_id, answer, of), as CTEs ending in checked; of names the question whose sources are meant."""
+    numbers = "list_transform(regexp_extract_all(x, '[0-9]+'), lambda n: coalesce(TRY_CAST(n AS BIGINT), -1))"
+    return rf"""
+brackets AS (SELECT query_id, of, unnest(l) AS bracket, generate_subscripts(l, 1) AS b FROM (SELECT query_id, of, regexp_extract_all(answer, {_quote(_BRACKET)}, 1) AS l FROM {answers})),
+items0 AS (SELECT query_id, of, b, unnest(l) AS item, generate_subscripts(l, 1) AS j FROM (SELECT query_id, of, b, regexp_extract_all(bracket, {_quote(_ITEM)}, 0) AS l FROM brackets)),
+items AS (SELECT query_id, of, b, j, item, regexp_extract(item, {_quote(_ITEM)}, 1) AS name, translate(regexp_extract(item, {_quote(_ITEM)}, 2), {', '.join(map(_quote, digit_table()))}) AS listed FROM items0),
+paged AS (SELECT i.*, p.source_pages AS pages FROM items i LEFT JOIN (SELECT query_id, source_id, source_pages FROM sources JOIN corpus USING (chunk_id)) p ON p.query_id = i.of AND p.source_id = i.name),
+checked AS (
+  SELECT *, pages IS NOT NULL AND (listed = '' OR len(list_filter(string_split(listed, ','), lambda x: NOT (len(list_filter({numbers}, lambda n: NOT list_contains(pages, n))) = 0 AND {numbers} = list_sort({numbers})))) = 0) AS valid
+  FROM paged)"""
+
+
 _ANSWERS = rf"""{_CITED},
 answered0 AS (SELECT q.query_id, q.query, c.context FROM qs q LEFT JOIN contexts c USING (query_id)),
 answered1 AS (SELECT *, '\[(S[0-9]+)\][^\n]*\n\[p([0-9]+)\] ([^\n]{{0,80}})' AS pattern FROM answered0),
@@ -194,15 +233,25 @@ answered AS (
     WHEN context IS NULL AND regexp_matches(query, {_quote(T.HAN)}) THEN '文档里没有足以回答该问题的依据。' WHEN context IS NULL THEN 'The document holds no evidence for an answer to this question.'
     WHEN regexp_matches(context, pattern) THEN {_strip('regexp_extract(context, pattern, 3)')} || ' [' || regexp_extract(context, pattern, 1) || ', page ' || regexp_extract(context, pattern, 2) || ']'
     ELSE 'The context does not answer this.' END AS answer
-  FROM answered1),
-brackets AS (SELECT query_id, unnest(regexp_extract_all(answer, {_quote(_BRACKET)}, 1)) AS bracket FROM answered),
-items0 AS (SELECT query_id, unnest(regexp_extract_all(bracket, {_quote(_ITEM)}, 0)) AS item FROM brackets),
-items AS (SELECT query_id, item, regexp_extract(item, {_quote(_ITEM)}, 1) AS name, regexp_extract(item, {_quote(_ITEM)}, 2) AS listed FROM items0),
-paged AS (SELECT i.*, p.source_pages AS pages FROM items i LEFT JOIN (SELECT query_id, source_id, source_pages FROM sources JOIN corpus USING (chunk_id)) p ON p.query_id = i.query_id AND p.source_id = i.name),
-checked AS (
-  SELECT *, pages IS NOT NULL AND (listed = '' OR len(list_filter(string_split(listed, ','), lambda x: NOT (
-    len(list_filter(CAST(regexp_extract_all(x, '[0-9]+') AS INT[]), lambda n: NOT list_contains(pages, n))) = 0 AND CAST(regexp_extract_all(x, '[0-9]+') AS INT[]) = list_sort(CAST(regexp_extract_all(x, '[0-9]+') AS INT[]))))) = 0) AS valid
-  FROM paged)"""
+  FROM answered1)"""
+
+
+_INVALID = "coalesce(string_agg(trim(c.item, ' ,;'), '|' ORDER BY b, j) FILTER (NOT c.valid), '')"
+
+
+def _split_words(c: str) -> str:
+    return _count(c, rf"[^{T.BLANK[1:-1]}]+")
+
+
+def _status(corpus: str, corpus_is_there: bool = False) -> str:
+    """What is known of each file, as CTEs ending in status."""
+    return f"""{'' if corpus_is_there else _CORPUS.strip() + ','}
+status_pages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY parsed_at DESC NULLS LAST) AS rn FROM parsed_pages) WHERE rn = 1),
+status AS (
+  SELECT file_id, file_name, coalesce(page_count, 0) AS page_count, coalesce(chunk_count, 0) AS chunk_count, CASE WHEN page_count IS NULL THEN NULL ELSE coalesce(ocr, '') END AS ocr_pages, {_quote(LIMITS)} AS limitations
+  FROM (SELECT file_id, arg_max(file_name, registered_at) AS file_name FROM source_files GROUP BY file_id)
+  LEFT JOIN (SELECT file_id, count(*) AS page_count, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) FILTER (needs_ocr) AS ocr FROM status_pages GROUP BY file_id) USING (file_id)
+  LEFT JOIN (SELECT file_id, count(*) AS chunk_count FROM {corpus} GROUP BY file_id) USING (file_id))"""
 
 
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
@@ -362,9 +411,12 @@ ranges AS (
         "context_sources": _with(_CITED, "SELECT query_id, source_id, chunk_id, CAST(length(body) AS INT) AS included_chars, truncated, CAST(length(header) AS INT) AS header_chars FROM sources", True),
         "context_budgets": _with(_CITED, "SELECT query_id, CAST(coalesce(n_sources, 0) AS INT) AS n_sources, CAST(coalesce(length(context), 0) AS INT) AS used_chars FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id)", True),
         "prompts": _with(_CITED, f"SELECT query_id, {_quote(RULES)} || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') AS prompt FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id) JOIN qs USING (query_id)", True),
-        "evidence_gate": _with(_ANSWERS, "SELECT query_id, answer, asked_model FROM answered", True),
-        "agent_answers": _with(_ANSWERS, "SELECT query_id, 'retrieve_pdf' AS tool, answer, CAST(NULL AS VARCHAR) AS error FROM answered", True),
-        "citation_checks": _with(_ANSWERS, "SELECT a.query_id, count(c.item) AS citation_count, coalesce(string_agg(c.item, '|') FILTER (NOT c.valid), '') AS invalid FROM answered a LEFT JOIN checked c USING (query_id) GROUP BY a.query_id", True),
-        "tool_calls": f"SELECT id || '/sound' AS id, 'retrieve_pdf' AS tool, {_strip('query')} AS query, CAST(NULL AS VARCHAR) AS error FROM eval_cases UNION ALL SELECT id || '/broken', NULL, NULL, 'the tool or its arguments are not allowed' FROM eval_cases",
-        "document_status": _with(f"{_CORPUS}, pages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY parsed_at DESC NULLS LAST) AS rn FROM parsed_pages) WHERE rn = 1)", f"SELECT file_id, file_name, coalesce(page_count, 0) AS page_count, coalesce(chunk_count, 0) AS chunk_count, CASE WHEN page_count IS NULL THEN NULL ELSE coalesce(ocr, '') END AS ocr_pages, {_quote(LIMITS)} AS limitations FROM (SELECT file_id, arg_max(file_name, registered_at) AS file_name FROM source_files GROUP BY file_id) LEFT JOIN (SELECT file_id, count(*) AS page_count, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) FILTER (needs_ocr) AS ocr FROM pages GROUP BY file_id) USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS chunk_count FROM corpus GROUP BY file_id) USING (file_id)"),
+        "evidence_gate": _with(_ANSWERS, f"SELECT query_id, answer, asked_model, CASE WHEN asked_model THEN CAST({_split_words('answer')} AS BIGINT) ELSE 0 END AS total_tokens, CAST(NULL AS VARCHAR) AS error FROM answered", True),
+        "agent_answers": _with(f"asked_cases AS (SELECT id, left({_strip('query')}, {MAX_QUERY}) AS query FROM eval_cases), {_ANSWERS.replace('eval_cases', 'asked_cases')}, {_status('corpus', True)}, {_checked('(SELECT query_id, query_id AS of, answer FROM answered)')}", f"""SELECT a.query_id, 'retrieve_pdf' AS tool, {_strip('any_value(a.query)')} AS argument, any_value(a.answer) AS answer, CAST(NULL AS VARCHAR) AS error, CAST(coalesce(any_value(n.n_sources), 0) AS INT) AS source_count, count(c.item) AS citation_count, {_INVALID} AS invalid
+          FROM answered a LEFT JOIN contexts n USING (query_id) LEFT JOIN checked c ON c.query_id = a.query_id GROUP BY a.query_id
+          UNION ALL SELECT 'file/' || file_id, 'document_status', NULL, coalesce(file_name, 'None') || ': ' || page_count || ' pages, ' || chunk_count || ' chunks.', NULL, 0, 0, '' FROM status""", True),
+        "citation_checks": _with(f"{_ANSWERS}, varied AS (SELECT query_id || '/' || kind AS query_id, query_id AS of, answer || ending AS answer FROM answered, (VALUES {', '.join(f'({_quote(k)}, {_quote(e)})' for k, e in CITED_BESIDES)}) v(kind, ending)), {_checked('varied')}", f"SELECT a.query_id, count(c.item) AS citation_count, {_INVALID} AS invalid FROM varied a LEFT JOIN checked c ON c.query_id = a.query_id GROUP BY a.query_id", True),
+        "answers_checked": _with(f"{_ANSWERS}, {_checked('(SELECT query_id, query_id AS of, answer FROM answered)')}", f"SELECT a.query_id, any_value(a.answer) AS answer, any_value(a.asked_model) AS asked_model, CAST(coalesce(any_value(n.n_sources), 0) AS INT) AS n_sources, count(c.item) AS citation_count, {_INVALID} AS invalid FROM answered a LEFT JOIN contexts n USING (query_id) LEFT JOIN checked c ON c.query_id = a.query_id GROUP BY a.query_id", True),
+        "tool_calls": f"SELECT id || '/sound' AS id, CASE WHEN fits THEN 'retrieve_pdf' END AS tool, CASE WHEN fits THEN q END AS query, CASE WHEN NOT fits THEN 'the tool or its arguments are not allowed' END AS error FROM (SELECT id, {_strip('query')} AS q, coalesce(length({_strip('query')}) BETWEEN 1 AND {MAX_QUERY}, false) AS fits FROM eval_cases) UNION ALL SELECT id || '/' || kind, NULL, NULL, why FROM eval_cases, (VALUES {', '.join(f'({_quote(k)}, {_quote(w)})' for k, _, w in REFUSED_CALLS)}) v(kind, why)",
+        "document_status": _with(_status("corpus"), "SELECT * FROM status"),
     }

@@ -317,10 +317,10 @@ def evidence_labels(spark, d):
 # ------------------------------------------------------------------ contexts, answers, agent
 
 
-def _scored_hits(spark, d):
-    """BM25 hits as a second stage: score less 5 as the logit."""
-    hits = retrieval.bm25_search(table(spark, d, "chunks"), _cases(spark, d), 5)
-    return hits.select("query_id", "chunk_id", F.col("rank").alias("rerank_rank"), F.col("rank").alias("base_rank"), (F.col("score") - 5.0).alias("rerank_score"))
+def _scored_hits(spark, d, cases=None):
+    """BM25 hits as a second stage, with a logit of them that falls on both sides of the floor."""
+    hits = retrieval.bm25_search(table(spark, d, "chunks"), _cases(spark, d) if cases is None else cases, 5)
+    return hits.select("query_id", "chunk_id", F.col("rank").alias("rerank_rank"), F.col("rank").alias("base_rank"), (F.col("score") - oracle.LOGIT).alias("rerank_score"))
 
 
 def _contexts(spark, d):
@@ -348,15 +348,24 @@ def prompts(spark, d):
 @query
 def evidence_gate(spark, d):
     """Answers of the stand-in model, and of the gate where there is no evidence."""
-    return answers.answer_questions(_cases(spark, d), _contexts(spark, d))
+    return answers.answer_questions(_cases(spark, d), _contexts(spark, d)).select("query_id", "answer", "asked_model", "total_tokens", "error")
 
 
 @query
 def citation_checks(spark, d):
-    """Citations of the answers against their sources."""
+    """Citations of the answers against their sources, each answer as it is and with sound and broken citations added."""
     contexts = _contexts(spark, d)
     given = answers.answer_questions(_cases(spark, d), contexts).join(contexts.select("query_id", "sources"), "query_id", "left")
-    return answers.check_citations(given).select("query_id", "citation_count", _joined("invalid").alias("invalid"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(end).alias("end")) for name, end in oracle.CITED_BESIDES]))
+    varied = given.select("query_id", "answer", "sources", kinds.alias("v")).select(F.concat_ws("/", "query_id", "v.kind").alias("query_id"), F.concat("answer", "v.end").alias("answer"), "sources")
+    return answers.check_citations(varied).select("query_id", "citation_count", _joined("invalid").alias("invalid"))
+
+
+@query
+def answers_checked(spark, d):
+    """Answers with the number of their sources and the check of their citations."""
+    found = answers.answers_with_citations(_cases(spark, d), _contexts(spark, d))
+    return found.select("query_id", "answer", "asked_model", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), "citation_count", _joined("invalid").alias("invalid"))
 
 
 @query
@@ -367,17 +376,23 @@ def document_status(spark, d):
 
 @query
 def agent_answers(spark, d):
-    """One bounded tool run per question, with the stand-in model."""
-    return answers.run_agent(_cases(spark, d), _contexts(spark, d))
+    """One bounded tool run for each question of the cases and for one question about the pages of each file, with the stand-in model."""
+    known = answers.document_status(table(spark, d, "source_files"), _pages(spark, d), _chunks(spark, d))
+    about = F.concat(F.lit("file/"), F.col("file_id").cast("string"))
+    asked = _cases(spark, d).select("id", "query").unionByName(known.select(about.alias("id"), F.lit("How many pages were read?").alias("query")))
+    status = known.select(about.alias("query_id"), F.to_json(F.struct("file_name", "page_count", "chunk_count", "ocr_pages", "limitations")).alias("status"))
+    done = answers.run_agent(asked, lambda q: answers.build_contexts(_scored_hits(spark, d, q), _chunks(spark, d)), status)
+    return done.select("query_id", "tool", "argument", "answer", "error", "source_count", "citation_count", _joined("invalid").alias("invalid"))
 
 
 @query
 def tool_calls(spark, d):
-    """Planning responses checked: one sound and one broken for every question."""
+    """Planning responses checked: for every question a sound one and one of each kind that is refused."""
     q = _cases(spark, d).select("id", F.to_json(F.struct(F.col("query"))).alias("arguments"))
-    call = lambda name: F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("c1").alias("id"), F.lit("function").alias("type"), F.struct(F.lit(name).alias("name"), F.col("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
-    both = q.select(F.concat("id", F.lit("/sound")).alias("id"), call("retrieve_pdf").alias("response")).unionByName(q.select(F.concat("id", F.lit("/broken")).alias("id"), call("remove_pdf").alias("response")))
-    return answers.validate_tool_calls(both)
+    message = lambda name, arguments: F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("c1").alias("id"), F.lit("function").alias("type"), F.struct(F.lit(name).alias("name"), arguments.alias("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
+    sound = q.select(F.concat("id", F.lit("/sound")).alias("id"), message("retrieve_pdf", F.col("arguments")).alias("response"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(response).alias("response")) for kind, response, _ in oracle.REFUSED_CALLS]))
+    return answers.validate_tool_calls(sound.unionByName(q.select("id", kinds.alias("v")).select(F.concat("id", F.lit("/"), "v.kind").alias("id"), "v.response")))
 
 
 def queries() -> dict[str, Query]:

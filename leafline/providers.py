@@ -67,16 +67,27 @@ class OverlapReranker:
 
 
 class ExtractiveChat:
-    """Repeats the first source's first words and cites it."""
+    """Repeats the first source's first words and cites it; asks for the document's status where a question is about its pages."""
 
     def complete(self, messages: list[dict[str, str]], tools: list[dict] | None = None) -> dict[str, Any]:
-        if tools:
-            import json
+        import json
 
-            call = {"id": "call-1", "type": "function", "function": {"name": tools[0]["function"]["name"], "arguments": json.dumps({"query": messages[-1]["content"]})}}
-            return {"choices": [{"message": {"content": None, "tool_calls": [call]}}]}
-        m = re.search(r"\[(S\d+)\][^\n]*\n\[p(\d+)\] (.{0,80})", messages[-1]["content"])
-        answer = f"{m.group(3).strip()} [{m.group(1)}, page {m.group(2)}]" if m else "The context does not answer this."
+        content = messages[-1]["content"]
+        if tools:
+            about_pages = re.search(r"(?i)\bhow many pages\b|多少页", content)
+            name, arguments = ("document_status", {}) if about_pages else ("retrieve_pdf", {"query": content})
+            call = {"id": "call-1", "type": "function", "function": {"name": name, "arguments": json.dumps(arguments)}}
+            return {"choices": [{"message": {"content": None, "tool_calls": [call]}}], "usage": {"total_tokens": len(content.split())}}
+        if messages[-1]["role"] == "tool":
+            told = json.loads(content)
+            if "context" not in told:
+                return self._say(f"{told.get('file_name')}: {told.get('page_count')} pages, {told.get('chunk_count')} chunks." if told else "Nothing is known of the document.")
+            content = told["context"]
+        m = re.search(r"\[(S\d+)\][^\n]*\n\[p(\d+)\] (.{0,80})", content)
+        return self._say(f"{m.group(3).strip()} [{m.group(1)}, page {m.group(2)}]" if m else "The context does not answer this.")
+
+    @staticmethod
+    def _say(answer: str) -> dict[str, Any]:
         return {"choices": [{"message": {"content": answer}}], "usage": {"total_tokens": len(answer.split())}}
 
 

@@ -39,6 +39,8 @@ def test_no_evidence_never_reaches_the_model(spark):
     [
         ("Fact [S1, page 2].", 1, []), ("Fact [S1].", 1, []), ("Bad [S9].", 1, ["S9"]), ("Bad [S1, page 7].", 1, ["S1, page 7"]), ("Range [S1, pages 2-4].", 1, []), ("Back [S1, pages 4-2].", 1, ["S1, pages 4-2"]),
         ("Two [S1, p. 2; S2, pp. 5, 6].", 2, []), ("第 [S1, 第 2].", 1, []), ("no citation [x]", 0, []), (None, 0, []), ("low [s1, page 2]", 0, []), ("[S1] [S3, page 1]", 2, ["S3, page 1"]),
+        ("[S1, page 99999999999]", 1, ["S1, page 99999999999"]), ("[S1, page ٢]", 1, []), ("[S1, page ٣]", 1, ["S1, page ٣"]), ("见[S1, 第8页]", 1, ["S1, 第8"]), ("[见S1]", 0, []), ("[S1; s2, page 5; S2, page 5]", 3, ["s2, page 5"]),
+        ("S1 is a state, see [note 1] and [p12].", 0, []), ("[S1, pages 2 – 4, 9]", 1, ["S1, pages 2 – 4, 9"]),
     ],
 )
 def test_citations(spark, answer, count, invalid):
@@ -71,11 +73,59 @@ def test_tool_calls(spark):
     assert all(rows[i].error for i in "bcd")
 
 
+def test_a_bad_response_fails_its_question_alone(spark):
+    class Odd:
+        def complete(self, messages, tools=None):
+            text = messages[1]["content"]
+            if "down" in text:
+                raise RuntimeError("the endpoint is down")
+            return {"choices": []} if "silent" in text else {"choices": [{"message": {"content": " yes [S2] "}}], "usage": {"total_tokens": 3}}
+
+    queries = spark.createDataFrame([("a", "fine"), ("b", "silent"), ("c", "down"), ("d", None)], "id string, query string")
+    one = contexts(spark, ["a fact"])
+    known = one.select("sources", "context").crossJoin(queries.select("id")).withColumnRenamed("id", "query_id")
+    rows = {r.query_id: r for r in A.answers_with_citations(queries, known, Odd()).collect()}
+    assert (rows["a"].answer, rows["a"].total_tokens, rows["a"].error, rows["a"].citation_count, rows["a"].invalid) == ("yes [S2]", 3, None, 1, ["S2"])
+    assert rows["b"].answer is None and "no answer text" in rows["b"].error and rows["b"].citation_count == 0
+    assert rows["c"].error == "the endpoint is down" and rows["d"].answer == "yes [S2]"
+    for bad in (None, [], {}, {"choices": {}}, {"choices": [[]]}, {"choices": [{"message": {"content": 3}}]}):
+        with pytest.raises(RuntimeError):
+            A.extract_answer(bad)
+
+
 def test_agent_uses_the_users_question_and_two_calls(spark):
-    queries = spark.createDataFrame([("q", " what? "), ("n", "other")], "id string, query string")
-    rows = {r.query_id: r for r in A.run_agent(queries, contexts(spark, ["a fact"])).collect()}
-    assert rows["q"].tool == "retrieve_pdf" and "[S1, page 1]" in rows["q"].answer
-    assert "no evidence" in rows["n"].answer
+    queries = spark.createDataFrame([("q", " what? "), ("n", "other"), ("s", "How many pages?"), ("z", None)], "id string, query string")
+    status = spark.createDataFrame([("s", '{"file_name": "a.pdf", "page_count": 3, "chunk_count": 2}')], "query_id string, status string")
+    asked = []
+
+    def retrieve(chosen):
+        asked.extend(tuple(r) for r in chosen.collect())
+        return contexts(spark, ["a fact"])
+
+    rows = {r.query_id: r for r in A.run_agent(queries, retrieve, status).collect()}
+    assert rows["q"].tool == "retrieve_pdf" and "[S1, page 1]" in rows["q"].answer and rows["q"].argument == "what?"
+    assert rows["q"].citation_count == 1 and not rows["q"].invalid and rows["q"].source_count == 1 and rows["q"].answer_tokens > 0 and rows["q"].planning_tokens == 1
+    assert "no evidence" in rows["n"].answer and rows["n"].answer_tokens == 0
+    assert rows["s"].tool == "document_status" and rows["s"].answer == "a.pdf: 3 pages, 2 chunks." and rows["s"].argument is None
+    assert rows["z"].error and rows["z"].answer is None
+    assert sorted(asked) == [("n", "other"), ("q", "what?")]  # retrieval only for those for which it was chosen
+    assert A.run_agent(queries, retrieve).where("query_id = 's'").collect()[0].answer == "Nothing is known of the document."
+
+
+def test_the_tool_result_goes_to_the_model_as_a_message_of_the_tool(spark):
+    planned = call(arguments='{"query": "another question"}', id="t7")
+
+    class Reads:
+        def complete(self, messages, tools=None):
+            from json import loads
+
+            if tools:
+                return planned
+            roles, told = [m["role"] for m in messages], loads(messages[3]["content"])
+            return {"choices": [{"message": {"content": f"{roles[2:]} {messages[3]['tool_call_id']} {told['query']} {told['sources'][0]['source_id']} {'instruction' in told}"}}]}
+
+    r = A.run_agent(spark.createDataFrame([("q", "mine")], "id string, query string"), lambda q: contexts(spark, ["a fact"]), client=Reads()).collect()[0]
+    assert r.answer == "['assistant', 'tool'] t7 mine S1 True" and r.error is None
 
 
 def test_payload_has_temperature_or_effort():
