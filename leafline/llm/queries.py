@@ -19,10 +19,9 @@ def _records(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str
     return [("extract_page_lines", table(spark, sf_dir, "extract_page_lines"), "line_id", "text"), ("chunks", table(spark, sf_dir, "chunks"), "chunk_no", "text")]
 
 
-def _segmenter(spark: SparkSession, sf_dir: str) -> sentence_ops.Segmenter:
+def _segmenter(spark: SparkSession, sf_dir: str) -> sentence_ops.Segmentation:
     """Learned from the texts of all chunks."""
-    langs = sentence_ops.languages(table(spark, sf_dir, "common_words"))
-    return sentence_ops.Segmenter(sentence_ops.train(table(spark, sf_dir, "chunks").select("text"), langs), langs)
+    return sentence_ops.segmentation(table(spark, sf_dir, "chunks").select("text"), sentence_ops.languages(table(spark, sf_dir, "common_words")))
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

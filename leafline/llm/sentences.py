@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafline.session import cut
+
 #: Thresholds of the log-likelihood decisions.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
-#: More significant entries than this are no abbreviations and starters of languages; the driver refuses them.
-MAX_MODEL = 1_000_000
+#: Significant entries that are broadcast; a larger model stays a table, and each text gets the entries that it asks for by a join.
+MAX_MODEL = 200_000
+FLUSH = 500_000  # distinct counts that a task holds before it writes them
 
 # Marks of sentence ends, and pairs of quotation marks and brackets.
 FULL_STOPS = "。！？｡"  # end a sentence without a blank after them
@@ -130,6 +133,9 @@ def _ratio(both: Column, first: Column, second: Column, total: Column) -> Column
     return F.when((first > 0) & (both / first > p), g).otherwise(0.0)
 
 
+PARTS = ("abbreviation", "starter", "ordinal", "small")
+
+
 class Model:
     """Significant entries per language: abbreviations, sentence starters, words that follow ordinals, and words
     whose capital after a period is no part of them, as they are usually written small."""
@@ -137,24 +143,45 @@ class Model:
     def __init__(self, abbreviations: dict[str, set[str]], starters: dict[str, set[str]], ordinals: dict[str, set[str]], small: dict[str, set[str]]):
         self.abbreviations, self.starters, self.ordinals, self.small = abbreviations, starters, ordinals, small
 
+    @classmethod
+    def of(cls, entries) -> Model:
+        """From (lang, type, abbreviation, starter, ordinal, small)."""
+        parts: list[dict[str, set[str]]] = [{}, {}, {}, {}]
+        for lang, word, *marks in entries:
+            for part, mark in zip(parts, marks):
+                if mark:
+                    part.setdefault(lang, set()).add(word)
+        return cls(*parts)
 
-def train(texts: DataFrame, langs: Languages) -> Model:
-    """Learn from all texts of a one-column table; the driver receives only significant entries."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            total += count_types([t for t in batch.column(0).to_pylist() if t], langs.of)
+def _count(batches: Iterator[pa.RecordBatch], language) -> Iterator[pa.RecordBatch]:
+    total: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["lang", "kind", "type", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "kind", "type", "n"])
+
+    for batch in batches:
+        total.update(count_types([t for t in batch.column(0).to_pylist() if t], language))
+        if len(total) > FLUSH:
+            yield flush()
+            total.clear()
+    yield flush()
 
-    counts = texts.mapInArrow(run, "lang string, kind int, type string, n long").groupBy("lang", "type").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(k) for i, k in enumerate(_KINDS)])
-    totals = {r["lang"]: r for r in counts.groupBy("lang").agg(*[F.sum(k).alias(k) for k in _KINDS]).collect()}
+
+def train(texts: DataFrame, langs: Languages, max_model: int = MAX_MODEL) -> Model | DataFrame:
+    """Learn from all texts of a one-column table: a Model, or with more than max_model significant entries their table (lang, type, PARTS).
+
+    The counts are made once and kept in the checkpoint folder.
+    """
+    pivot = [F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(k) for i, k in enumerate(_KINDS)]
+    counts = cut(texts.mapInArrow(lambda batches: _count(batches, langs.of), "lang string, kind int, type string, n long").groupBy("lang", "type").agg(*pivot))
+    totals = {r["lang"]: r for r in counts.groupBy("lang").agg(*[F.sum(k).alias(k) for k in _KINDS]).collect()}  # as many rows as languages
+    if not totals:
+        return Model({}, {}, {}, {})
     rows = []
     for name in _KINDS:
         rows.append(F.create_map(*[x for lang, r in totals.items() for x in (F.lit(lang), F.lit(r[name]))])[F.col("lang")])
-    if not totals:
-        return Model({}, {}, {}, {})
     plain, dotted, starts, follows, lower, after_dot = (F.col(k) for k in _KINDS)
     n = rows[0] + rows[1]
     seen = plain + dotted
@@ -163,21 +190,15 @@ def train(texts: DataFrame, langs: Languages) -> Model:
     null = _plogp(dotted, seen, rows[1] / n)
     alternative = _plogp(dotted, seen, F.lit(0.99))
     score = -2 * (null - alternative) * F.exp(-letters.cast("double")) * periods * F.pow(letters.cast("double"), -plain)
-    marked = counts.where("dotted > 0 or starts > 0 or follows > 0 or after_dot > 0").select(
+    significant = counts.where("dotted > 0 or starts > 0 or follows > 0 or after_dot > 0").select(
         "lang", "type",
         ((dotted > 0) & (letters > 0) & (F.col("type") != "##") & (score >= ABBREVIATION)).alias("abbreviation"),
         ((starts > 0) & (_ratio(starts, F.greatest(seen, starts), rows[2], n) >= STARTER)).alias("starter"),
         ((follows > 0) & (_ratio(follows, F.greatest(seen, follows), rows[3], n) >= COLLOCATION)).alias("ordinal"),
         ((after_dot >= 2) & (lower >= 5) & (lower >= 0.2 * seen)).alias("small"),
-    ).where("abbreviation or starter or ordinal or small").limit(MAX_MODEL + 1).collect()
-    if len(marked) > MAX_MODEL:
-        raise ValueError("the corpus has no word boundaries that the model can learn from")
-    parts: list[dict[str, set[str]]] = [{}, {}, {}, {}]
-    for r in marked:
-        for i, name in enumerate(("abbreviation", "starter", "ordinal", "small")):
-            if r[name]:
-                parts[i].setdefault(r["lang"], set()).add(r["type"])
-    return Model(*parts)
+    ).where("abbreviation or starter or ordinal or small")
+    marked = significant.limit(max_model + 1).collect()
+    return Model.of(marked) if len(marked) <= max_model else significant
 
 
 # ------------------------------------------------------------------ classifying
@@ -190,6 +211,7 @@ _blank = re.compile(r"\s+")
 _blanks = re.compile(r"\s*")
 _label = re.compile(rf"[\s\d.{re.escape(BULLETS)}]*")
 _next_word = re.compile(r"[^\W_][\w’-]*")
+_skip_signs = re.compile(r"^[\W_]+")
 
 
 REACH = 80  # characters that decide about a boundary on either side; longer tokens are no words
@@ -229,6 +251,18 @@ class Segmenter:
     def __init__(self, model: Model, langs: Languages):
         self.model, self.langs = model, langs
 
+    def asked(self, text: str | None) -> list[str]:
+        """The entries that the classification of a text can look up: each word before and after a period."""
+        if not text:
+            return []
+        words = set()
+        for m in _stop.finditer(text):
+            if m.group() == ".":
+                words.add(word_type(_token_before.search(text[max(0, m.start() - REACH) : m.start()]).group().strip("’'-.")))
+            following = _next_word.match(_skip_signs.sub("", text[m.end() : m.end() + 2 * REACH]))
+            words.add(word_type(following.group()) if following else "")
+        return list(words - {""})
+
     def ends(self, text: str | None, lang: str | None = None) -> list[int]:
         """Ends of the sentences of a text, as numbers of code points; a null, empty or blank text has none."""
         if not text or text.isspace():
@@ -367,35 +401,72 @@ class Segmenter:
 # ------------------------------------------------------------------ operators
 
 
-def sentence_ends(df: DataFrame, segmenter: Segmenter, id_col: str = "chunk_no", text_col: str = "text") -> DataFrame:
+class Segmentation:
+    """How to segment tables: by one shared model, or by a table of entries, of which every text gets those that it asks for."""
+
+    def __init__(self, model: Model | DataFrame, langs: Languages):
+        self.langs, self.table = langs, None if isinstance(model, Model) else model
+        self.segmenter = Segmenter(model, langs) if isinstance(model, Model) else None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # executors get the entries with the rows
+
+    def prepared(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """df with a column of the entries for its texts; null where the model is shared. With a table each distinct text asks once, and the entries of a text meet by its hash."""
+        entry = "array<struct<lang:string,type:string,abbreviation:boolean,starter:boolean,ordinal:boolean,small:boolean>>"
+        if self.table is None:
+            return df.withColumn("entries", F.lit(None).cast(entry))
+        empty, langs = Segmenter(Model({}, {}, {}, {}), self.langs), self.langs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(h, langs.of(t), w) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in empty.asked(t)]
+                columns = list(zip(*rows)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["text_hash", "lang", "type"])
+
+        hashed = df.withColumn("text_hash", F.xxhash64(text_col))
+        asked = hashed.select("text_hash", text_col).where(F.col(text_col).isNotNull()).distinct().mapInArrow(run, "text_hash long, lang string, type string")
+        found = asked.join(self.table, ["lang", "type"]).groupBy("text_hash").agg(F.collect_list(F.struct("lang", "type", *PARTS)).cast(entry).alias("entries"))
+        return hashed.join(found, "text_hash", "left").withColumn("entries", F.coalesce("entries", F.array().cast(entry))).drop("text_hash")
+
+    def of(self, entries: list | None) -> Segmenter:
+        """The segmenter of a row."""
+        return self.segmenter if entries is None else Segmenter(Model.of(tuple(e.values()) for e in entries), self.langs)
+
+
+def segmentation(texts: DataFrame, langs: Languages, max_model: int = MAX_MODEL) -> Segmentation:
+    return Segmentation(train(texts, langs, max_model), langs)
+
+
+def sentence_ends(df: DataFrame, how: Segmentation, id_col: str = "chunk_no", text_col: str = "text") -> DataFrame:
     """(id, end_pos): one row per sentence.
 
     Null, empty and blank texts have no row; repeated rows give their sentences each; a text is
     always read whole and its quotations and brackets are matched within paragraphs only, so a
-    missing partner never swallows more. Narrow: no shuffle besides the model's counts.
+    missing partner never swallows more. No shuffle besides the model's counts, unless the model is a table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ends = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = segmenter.ends(t)
+            for i, t, entries in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = how.of(entries).ends(t)
                 ids += [i] * len(found)
                 ends += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int32())], [id_col, "end_pos"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, end_pos int")
+    return how.prepared(df.select(F.col(id_col).cast("long"), F.col(text_col)), text_col).mapInArrow(run, f"`{id_col}` long, end_pos int")
 
 
-def sentences(df: DataFrame, segmenter: Segmenter, id_col: str = "chunk_no", text_col: str = "text") -> DataFrame:
+def sentences(df: DataFrame, how: Segmentation, id_col: str = "chunk_no", text_col: str = "text") -> DataFrame:
     """(id, sentence_no, start_pos, end_pos, sentence): the sentence units of every text, with their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t, entries in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 at = 0
-                for k, e in enumerate(segmenter.ends(t)):
+                for k, e in enumerate(how.of(entries).ends(t)):
                     start = e - len(t[at:e].lstrip())
                     rows.append((i, k, start, e, t[start:e]))
                     at = e
@@ -403,4 +474,4 @@ def sentences(df: DataFrame, segmenter: Segmenter, id_col: str = "chunk_no", tex
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [id_col, "sentence_no", "start_pos", "end_pos", "sentence"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, sentence_no int, start_pos int, end_pos int, sentence string")
+    return how.prepared(df.select(F.col(id_col).cast("long"), F.col(text_col)), text_col).mapInArrow(run, f"`{id_col}` long, sentence_no int, start_pos int, end_pos int, sentence string")

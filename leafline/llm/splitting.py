@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.sentences import Segmenter
+from leafline.llm.sentences import Model, Segmentation, Segmenter
 
 LIMIT, OVERLAP = 1100, 120
 BLOCK = 4  # sentences on either side of a gap
@@ -80,19 +80,15 @@ def valley_depths(sentences: list[str], block: int = BLOCK) -> list[float]:
         after += Counter()
         if gap + block + 1 < len(terms):
             after.update(terms[gap + block + 1])
-    depths = []
-    for i, s in enumerate(similarity):
-        left = right = s
-        for j in range(i - 1, -1, -1):
-            if similarity[j] < left:
-                break
-            left = similarity[j]
-        for j in range(i + 1, n):
-            if similarity[j] < right:
-                break
-            right = similarity[j]
-        depths.append(left - s + right - s)
-    return depths
+    # The height on either side is that of the slope which rises from the gap.
+    left, right = similarity[:], similarity[:]
+    for i in range(1, n):
+        if similarity[i - 1] >= similarity[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if similarity[i + 1] >= similarity[i]:
+            right[i] = right[i + 1]
+    return [a - s + b - s for a, s, b in zip(left, similarity, right)]
 
 
 def _whole(text: str, at: int) -> int:
@@ -201,16 +197,16 @@ def segments_of(segments: list[dict] | None, text: str, begin: int, end: int, pa
 PIECE = "chunk_no long, piece_no int, start_pos int, end_pos int, text string, size int, overlap_from_previous string, page_segments array<struct<page:int,text:string>>, source_pages array<int>, page_range string, start_page int, end_page int"
 
 
-def split_oversized(chunks: DataFrame, segmenter: Segmenter, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(chunks: DataFrame, how: Segmentation, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of every chunk over the limit, in order (columns: PIECE).
 
     A piece's text is its overlap and its content; its size, overlap included, never exceeds the
     limit. [start_pos:end_pos) is the content, and the contents of all pieces are the chunk's text.
     The first piece keeps the chunk's own overlap. Null texts and chunks within the limit give no
     row; chunks written twice give their pieces twice; segments that do not join to the text are
-    replaced by one segment on the start page (which may be null). Narrow, no shuffle.
+    replaced by one segment on the start page (which may be null). No shuffle, unless the model is a table.
     """
-    splitter = Splitter(segmenter, limit, overlap)
+    Splitter(Segmenter(Model({}, {}, {}, {}), how.langs), limit, overlap)  # refuses limits that leave no room
     schema = pa.schema([
         ("chunk_no", pa.int64()), ("piece_no", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("text", pa.string()), ("size", pa.int32()), ("overlap_from_previous", pa.string()),
         ("page_segments", pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))), ("source_pages", pa.list_(pa.int32())), ("page_range", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()),
@@ -221,6 +217,7 @@ def split_oversized(chunks: DataFrame, segmenter: Segmenter, limit: int = LIMIT,
             rows = []
             for r in batch.to_pylist():
                 text = r["text"]
+                splitter = Splitter(how.of(r["entries"]), limit, overlap)
                 for k, (begin, start, end) in enumerate(splitter.cuts(text)):
                     piece = text[begin:end].strip()
                     segments = segments_of(r["page_segments"], text, begin, end, r["start_page"])
@@ -233,4 +230,4 @@ def split_oversized(chunks: DataFrame, segmenter: Segmenter, limit: int = LIMIT,
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     over = chunks.where(text_size(F.col("text")) > limit).select(F.col("chunk_no").cast("long"), "text", "page_segments", "overlap_from_previous", "start_page")
-    return over.mapInArrow(run, PIECE)
+    return how.prepared(over).mapInArrow(run, PIECE)

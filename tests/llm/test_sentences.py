@@ -11,7 +11,7 @@ TRAINING = [
 @pytest.fixture(scope="module")
 def segmenter(spark):
     langs = S.languages(spark.createDataFrame(COMMON, "lang string, word string"))
-    return S.Segmenter(S.train(spark.createDataFrame([(t,) for t in TRAINING] + [(None,)], "text string"), langs), langs)
+    return S.segmentation(spark.createDataFrame([(t,) for t in TRAINING] + [(None,)], "text string"), langs).segmenter
 
 
 def parts(segmenter, text):
@@ -54,11 +54,12 @@ def test_learned_entries(segmenter):
 
 
 def test_operators(spark, segmenter):
+    how = S.Segmentation(segmenter.model, segmenter.langs)
     df = spark.createDataFrame([(1, "One is here. Two is not.", 7), (2, None, 7), (3, "", 7), (1, "One is here. Two is not.", 7), (4, "x" * 100_000, 7)], "chunk_no long, text string, end_pos int")
-    assert sorted((r.chunk_no, r.end_pos) for r in S.sentence_ends(df, segmenter).collect()) == [(1, 12), (1, 12), (1, 24), (1, 24), (4, 100_000)]
-    rows = [r for r in S.sentences(df, segmenter).collect() if r.chunk_no == 1]
+    assert sorted((r.chunk_no, r.end_pos) for r in S.sentence_ends(df, how).collect()) == [(1, 12), (1, 12), (1, 24), (1, 24), (4, 100_000)]
+    rows = [r for r in S.sentences(df, how).collect() if r.chunk_no == 1]
     assert {(r.start_pos, r.end_pos, r.sentence) for r in rows} == {(0, 12, "One is here."), (13, 24, "Two is not.")}
-    assert S.sentence_ends(df.limit(0), segmenter).count() == 0
+    assert S.sentence_ends(df.limit(0), how).count() == 0
     empty = S.train(df.select("text").limit(0), segmenter.langs)
     assert S.Segmenter(empty, segmenter.langs).ends("One. Two.") == [4, 9]
 
@@ -72,3 +73,13 @@ def test_long_paragraphs_take_linear_time(segmenter):
     middle = time.perf_counter()
     many = len(segmenter.ends(unit * 5000))
     assert many == 10 * few and time.perf_counter() - middle < 40 * (middle - began) + 1
+
+
+def test_a_model_too_large_to_share_gives_the_same_sentences(spark, segmenter):
+    texts = spark.createDataFrame([(t,) for t in TRAINING] + [(None,)], "text string")
+    small, large = (S.segmentation(texts, segmenter.langs, max_model=n) for n in (10**6, 3))
+    assert small.table is None and large.segmenter is None and large.table.count() > 3
+    rows = [(i, t) for i, t in enumerate(TRAINING[::37])] + [(900, "Prof.Rova\n\n*** – “Dr. The gate”. (Mr.) 3. März. x"), (900, None), (901, ""), (902, "Am 3. März – 4. Der Turm. vgl. Nr. 5. e.g. the gate.")]
+    df = spark.createDataFrame(rows, "chunk_no long, text string")
+    ends = [sorted(map(tuple, S.sentence_ends(df, how).collect())) for how in (small, large)]
+    assert ends[0] == ends[1] and len(ends[0]) > 10

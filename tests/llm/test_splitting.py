@@ -5,7 +5,8 @@ from leafline.llm import sentences as S
 from leafline.llm import splitting as P
 from pyspark.sql import functions as F
 
-SEGMENTER = S.Segmenter(S.Model({}, {}, {}, {}), S.Languages([("en", "the")]))
+HOW = S.Segmentation(S.Model({}, {}, {}, {}), S.Languages([("en", "the")]))
+SEGMENTER = HOW.segmenter
 
 
 @settings(max_examples=80, deadline=None)
@@ -42,11 +43,30 @@ def test_chunks(spark):
     whole = "\n\n".join(s["text"] for s in segments)
     rows = [(1, whole, segments, "before", 3, "x"), (2, "short", [], None, None, "x"), (3, None, segments, None, None, "x"), (4, "漢" * 551, None, None, None, "x"), (4, "漢" * 551, None, None, None, "x"), (5, "y" * 1100, None, "", 1, "x")]
     df = spark.createDataFrame(rows, "chunk_no long, text string, page_segments array<struct<page:int,text:string>>, overlap_from_previous string, start_page int, piece_no string")
-    out = P.split_oversized(df, SEGMENTER).orderBy("chunk_no", "piece_no").collect()
+    out = P.split_oversized(df, HOW).orderBy("chunk_no", "piece_no").collect()
     assert {r.chunk_no for r in out} == {1, 4} and sum(r.chunk_no == 4 and r.piece_no == 0 for r in out) == 2
     own = [r for r in out if r.chunk_no == 1]
     assert own[0].overlap_from_previous == "before" and own[-1].source_pages[-1] == 4 and own[0].page_range == "3"
     assert all("\n\n".join(s.text for s in r.page_segments) == r.text and r.size <= 1100 for r in own)
     assert all(r.text.startswith(r.overlap_from_previous) and len(r.overlap_from_previous) <= 120 for r in own[1:])
-    assert P.split_oversized(df.limit(0), SEGMENTER).count() == 0
+    assert P.split_oversized(df.limit(0), HOW).count() == 0
     assert [r[0] for r in df.select(P.text_size(F.col("text"))).collect()] == [len(whole), 5, None, 1102, 1102, 1100]
+
+
+def test_depths_equal_the_climb_from_each_gap(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+
+    def climb(values, i, step):
+        height, j = values[i], i + step
+        while 0 <= j < len(values) and values[j] >= height:
+            height, j = values[j], j + step
+        return height
+
+    for n in (0, 1, 2, 30, 200):
+        values = [rng.randint(0, 4) / 4 for _ in range(max(n - 1, 0))]
+        given = iter(values)
+        monkeypatch.setattr(P, "_cosine", lambda a, b: next(given))  # noqa: B023
+        want = [climb(values, i, -1) + climb(values, i, 1) - 2 * v for i, v in enumerate(values)]
+        assert P.valley_depths(["one word"] * n) == pytest.approx(want)
