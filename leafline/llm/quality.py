@@ -1,26 +1,34 @@
 """Problem 1: statistics that tell natural prose from lists, tables and junk.
 
 A document is cut into blocks of lines. Every block yields sums that add up: those of its closed
-paragraphs, and those of the paragraphs that its first and last line leave open. Merging blocks in
-order adds the open ends (the boundary-state correction), so any tree of merges gives the same
-totals; ratios and rules come last.
+paragraphs, and those of the paragraphs that its first and last line leave open, with these lines.
+Merging blocks in order adds the open ends (the boundary-state correction: paragraphs grow together,
+and a line that repeats the one before it counts as repeated), so any tree of merges gives the same
+totals as the whole document. Blocks of one document are merged in rounds of MERGED neighbours, each
+of which is a shuffle of sums; ratios and rules come last.
+
+What is furniture of a page is decided by facts of the whole page, which are gathered first where
+pages have more than one block.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm import mojibake
 from leafline.llm.confusables import prototypes
+from leafline.session import cut
 
-BLOCK_LINES = 512
-BLOCK_CHARS = 1 << 16
+BLOCK_LINES = 512  # line numbers of a page that one task measures together
+BLOCK_CHARS = 1 << 16  # characters of a chunk, likewise; a line of more is measured as if it were wrapped at the last blank before
+MERGED = 16  # neighbouring blocks that one round of merging joins
 NOT_PROSE = 0.65  # share of list, table and junk characters from which a text is no prose
 
 # Sums of one paragraph, all additive over its lines.
@@ -58,6 +66,12 @@ def _token(w: str, common: frozenset[str]) -> tuple[int, int, int]:
     return known
 
 
+def repeats(line: str, previous: str) -> bool:
+    """Whether a line repeats the one before it, or its first half."""
+    n = len(line)
+    return line == previous or n > 12 and len(previous) > 12 and line.startswith(previous[: n // 2 + 1])
+
+
 def add_line(v: list[int], line: str, common: frozenset[str], previous: str) -> None:
     """Add one line to the sums of its paragraph; previous is the line before, for repeats that span lines."""
     n_chars = len(line)
@@ -109,7 +123,7 @@ def add_line(v: list[int], line: str, common: frozenset[str], previous: str) ->
             if sum(map(str.__eq__, tokens, tokens[lag:])) * 3 >= n:
                 repeated = True
                 break
-    if not repeated and previous and (line == previous or n_chars > 12 and len(previous) > 12 and line.startswith(previous[: n_chars // 2 + 1])):
+    if not repeated and previous and repeats(line, previous):
         repeated = True
     if repeated:
         v[REPEATED] += n_chars
@@ -165,9 +179,11 @@ TOTALS = ("chars_prose", "chars_list", "chars_table", "chars_junk", "chars_neutr
 class Partial:
     """Sums of a stretch of lines: closed paragraphs, and the open first and last one (one and the same if nothing is closed)."""
 
-    __slots__ = ("totals", "kinds", "head", "tail", "closed")
+    __slots__ = ("totals", "kinds", "head", "tail", "closed", "first", "last")
 
     def __init__(self):
+        self.first: str | None = None  # line at the front, if it belongs to an open paragraph and repeats nothing in itself
+        self.last: str | None = None  # line at the back, if its paragraph is open
         self.totals = [0] * N
         self.kinds = [0] * len(TOTALS)
         self.head: list[int] | None = None  # open at the front
@@ -203,6 +219,13 @@ class Partial:
     def merge(self, other: Partial) -> Partial:
         """This stretch followed by the other."""
         out = Partial()
+        if self.last and other.first and repeats(other.first, self.last):
+            head = list(other.head)
+            head[REPEATED] += len(other.first)
+            other = other.copy(head=head)
+        empty = lambda p: not p.closed and p.head is None
+        out.first = other.first if empty(self) else self.first
+        out.last = self.last if empty(other) else other.last
         out.totals = [a + b for a, b in zip(self.totals, other.totals)]
         out.kinds = [a + b for a, b in zip(self.kinds, other.kinds)]
         out.closed = self.closed or other.closed
@@ -219,22 +242,27 @@ class Partial:
                 out.tail = middle
         return out
 
+    def copy(self, **new) -> Partial:
+        out = Partial()
+        for name in self.__slots__:
+            setattr(out, name, new.get(name, getattr(self, name)))
+        return out
+
     def finish(self) -> list[int]:
-        self.close(self.head)
-        self.close(self.tail)
-        return self.totals + self.kinds
+        done = self.copy()
+        done.kinds = list(self.kinds)
+        done.close(self.head)
+        done.close(self.tail)
+        return done.totals + done.kinds
 
-    def dump(self) -> list[int]:
-        none = [-1] * N
-        return [*self.totals, *self.kinds, int(self.closed), *(self.head or none), *(self.tail or none)]
+    def dump(self) -> list:
+        return [self.totals, self.kinds, self.head, self.tail, self.closed, self.first, self.last]
 
     @classmethod
-    def load(cls, x: list[int]) -> Partial:
+    def load(cls, x: list) -> Partial:
         p = cls()
-        k = len(TOTALS)
-        p.totals, p.kinds, p.closed = list(x[:N]), list(x[N : N + k]), bool(x[N + k])
-        head, tail = list(x[N + k + 1 : 2 * N + k + 1]), list(x[2 * N + k + 1 :])
-        p.head, p.tail = head if head[0] >= 0 else None, tail if tail[0] >= 0 else None
+        for name, value in zip(("totals", "kinds", "head", "tail", "closed", "first", "last"), x):
+            setattr(p, name, value)
         return p
 
 
@@ -248,16 +276,80 @@ def measure(lines: list[str], common: frozenset[str]) -> Partial:
     """Partial sums of lines; None and blank lines are paragraph boundaries."""
     p = Partial()
     previous = ""
-    for line in lines:
+    for i, line in enumerate(lines):
         if not line or line.isspace():
             p.boundary()
             previous = ""
         else:
-            add_line(p.open(), line, common, previous)
+            v = p.open()
+            before = v[REPEATED]
+            add_line(v, line, common, previous)
+            if i == 0 and v[REPEATED] == before:
+                p.first = line
             previous = line
+    p.last = previous or None
     return p
 
 
+class Block:
+    """A stretch of the lines of one page, in clusters of lines: the first and the last one, which may go on beyond it, and the sums of those between.
+
+    A cluster whose lines all lie at head or foot of the page is furniture. broken tells that the
+    first cluster begins with the stretch.
+    """
+
+    def __init__(self, head: list, tail: list | None, totals: list[int], broken: bool):
+        self.head, self.tail, self.totals, self.broken = head, tail, totals, broken  # a cluster: [Partial, has a line in the body]
+
+    @classmethod
+    def of(cls, clusters: list[list], broken: bool) -> Block:
+        """From clusters [lines, has a line in the body] as Partials."""
+        block = cls(clusters[0], clusters[-1] if len(clusters) > 1 else None, [0] * (N + len(TOTALS)), broken)
+        for c in clusters[1:-1]:
+            block._close(c)
+        return block
+
+    def _close(self, cluster: list) -> None:
+        if cluster[1]:
+            self.totals = [a + b for a, b in zip(self.totals, cluster[0].finish())]
+
+    def merge(self, other: Block) -> Block:
+        """This stretch followed by the other."""
+        out = Block(self.head, self.tail, [a + b for a, b in zip(self.totals, other.totals)], self.broken)
+        if other.broken:
+            if self.tail:
+                out._close(self.tail)
+            if other.tail:
+                out._close(other.head)
+            out.tail = other.tail or other.head
+            return out
+        left = self.tail or self.head
+        joined = [left[0].merge(other.head[0]), left[1] or other.head[1]]
+        if self.tail and other.tail:
+            out._close(joined)
+            out.tail = other.tail
+        elif self.tail:
+            out.tail = joined
+        else:
+            out.head, out.tail = joined, other.tail
+        return out
+
+    def finish(self) -> list[int]:
+        out = Block(self.head, self.tail, self.totals, self.broken)
+        out._close(self.head)
+        if self.tail:
+            out._close(self.tail)
+        return out.totals
+
+    def dump(self) -> str:
+        return json.dumps([[c and [c[0].dump(), c[1]] for c in (self.head, self.tail)], self.totals, self.broken], ensure_ascii=False)
+
+    @classmethod
+    def load(cls, x: str) -> Block:
+        ends, totals, broken = json.loads(x)
+        return cls(*(c and [Partial.load(c[0]), c[1]] for c in ends), totals, broken)
+
+
 def verdict(x: list[int]) -> tuple[bool, float]:
     """(is no prose, share of characters that are no prose) from the finished sums."""
     prose, lists, table, junk, neutral, speech = x[N : N + 6]
@@ -306,108 +398,184 @@ def _folds() -> dict[int, str]:
     return {c: p for c, p in prototypes().items() if c > 0xA0 and c not in (0x2028, 0x2029)}
 
 
-def _merged(partials: DataFrame, key: str) -> DataFrame:
-    """Merge the blocks of each document in order and finish."""
+def _merged(blocks: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, STATISTICS) of documents whose blocks (key, block, state), numbered from 0 to most, are merged in rounds of neighbours."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = None
-                for b in blocks:
-                    p = Partial.load(b["sums"])
-                    whole = p if whole is None else whole.merge(p)
-                rows.append({key: k} | _row(whole.finish()))
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, pa.int64()), *_STAT_FIELDS]))
+            merged = [reduce(Block.merge, (Block.load(p["state"]) for p in parts)).dump() if len(parts) > 1 else parts[0]["state"] for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.string())], [key, "block", "state"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_row(Block.load(x).finish()) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], k) for c, k in _STAT_FIELDS]], [key, *[c for c, _ in _STAT_FIELDS]])
+
+    while most > 0:
+        most //= MERGED
+        near = blocks.groupBy(key, F.floor(F.col("block") / MERGED).alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "state"))).alias("parts"))  # MERGED at most
+        blocks = near.mapInArrow(join, f"`{key}` long, block long, state string")
+    return blocks.select(key, "block", "state").mapInArrow(finish, f"`{key}` long, {STATISTICS}")
 
-    return partials.mapInArrow(run, f"`{key}` long, {STATISTICS}")
+
+def _wrapped(text: str) -> Iterator[str]:
+    """Lines of a text; one of more than BLOCK_CHARS is wrapped at the last blank before, or cut there."""
+    for line in text.split("\n"):
+        while len(line) > BLOCK_CHARS:
+            at = line.rfind(" ", BLOCK_CHARS // 2, BLOCK_CHARS)
+            at = BLOCK_CHARS if at < 0 else at
+            yield line[:at]
+            line = line[at:]
+        yield line
 
 
 def chunk_statistics(chunks: DataFrame, common: frozenset[str], shared: mojibake.SharedDecoder, id_col: str = "chunk_no", text_col: str = "text") -> DataFrame:
     """(id, STATISTICS) of every non-null text.
 
-    A text over BLOCK_CHARS is measured in blocks cut at line ends and the partial sums are merged.
-    Garbled texts are measured as restored. Null texts give no row, an empty text a row of zeros
-    that is prose; repeated rows are measured each. No shuffle.
+    A text over BLOCK_CHARS is cut at line ends into rows that are spread over the tasks, and their
+    sums are merged; of repeated ids each row is measured for itself. Garbled texts are measured as
+    restored. Null texts give no row, an empty text a row of zeros that is prose. A text of usual
+    length is not shuffled.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = shared.get().repair
         for batch in batches:
-            rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = _clean(text, repair).split("\n")
-                whole, block, n = Partial(), [], 0
-                for line in lines:
-                    block.append(line)
-                    n += len(line)
-                    if n > BLOCK_CHARS:
-                        whole, block, n = whole.merge(measure(block, common)), [], 0
-                rows.append({id_col: k} | _row(whole.merge(measure(block, common)).finish()))
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(id_col, pa.int64()), *_STAT_FIELDS]))
-
-    return chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, {STATISTICS}")
-
-
-def body_lines(rows: list[dict]) -> list[str | None]:
-    """Lines of a stretch of one page without furniture at its head and foot, None between paragraphs.
-
-    Lines closer together than one and a half usual steps form a cluster. Clusters that lie wholly
-    in the outer bands are furniture while any other cluster exists; where all do, those in the
-    outer half of the upper band and in the lower band are.
-    """
+            rows = [_row(measure(list(_wrapped(_clean(text, repair))), common).finish()) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], k) for c, k in _STAT_FIELDS]], [id_col, *[c for c, _ in _STAT_FIELDS]])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repair = shared.get().repair
+        for batch in batches:
+            states = [Block.of([[measure(list(_wrapped(_clean(text, repair))), common), True]], False).dump() for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string())], [id_col, "block", "state"])
+
+    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).alias("text"))
+    usual = rows.where(F.length("text") <= BLOCK_CHARS).mapInArrow(whole, f"`{id_col}` long, {STATISTICS}")
+    long = rows.where(F.length("text") > BLOCK_CHARS)
+    most = long.agg(F.max(F.length("text"))).first()[0]
+    if most is None:
+        return usual
+    # Starts of the parts: the line that begins after each multiple of BLOCK_CHARS.
+    after = F.transform(F.sequence(F.lit(1), F.floor(F.length("text") / BLOCK_CHARS).cast("int")), lambda k: F.call_function("locate", F.lit("\n"), F.col("text"), k * BLOCK_CHARS) + 1)
+    starts = F.array_distinct(F.concat(F.array(F.lit(1)), F.filter(after, lambda p: p > 1), F.array(F.length("text") + 2)))
+    parts = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda i: F.substring(F.col("text"), F.col("starts")[i - 1], F.col("starts")[i] - F.col("starts")[i - 1] - 1))
+    named = long.withColumn("row", F.monotonically_increasing_id()).withColumn("starts", starts).select(id_col, "row", F.posexplode(parts).alias("block", "text"))
+    spread = cut(named.repartition("row", "block"))
+    keys = spread.select("row", id_col).distinct()
+    states = spread.select("row", F.col("block").cast("long").alias("block"), "text").mapInArrow(part, f"`{id_col}` long, block long, state string").withColumnRenamed(id_col, "row")
+    measured = _merged(states, "row", most // BLOCK_CHARS + 1).join(keys, "row").drop("row")
+    return usual.unionByName(measured.select(*usual.columns))
+
+
+BANDS = (0.15, 0.075)  # where the whole page lies within the outer bands, the narrower ones count
+USUAL = 1.35  # times the usual step from which a gap parts clusters
+
+
+def page_facts(rows: list[dict]) -> tuple[float, float]:
+    """(usual step between lines, width of the bands) of all rows of a page."""
     steps = sorted(b["top"] - a["top"] for a, b in zip(rows, rows[1:]) if a["top"] is not None and b["top"] is not None and b["top"] > a["top"])
-    step = steps[len(steps) // 2] if len(steps) >= 2 else 0
-    clusters: list[list[dict]] = []
-    last = None
+    step = steps[(len(steps) - 1) // 2] if len(steps) >= 2 else 0.0
+    return step, next((b for b in BANDS if any(not _at_edge(r, b) for r in rows)), 0.0)
+
+
+def _at_edge(r: dict, band: float) -> bool:
+    return r["top"] is not None and bool(r["page_height"]) and (r["top"] <= band * r["page_height"] or r["bottom"] is not None and r["bottom"] >= 0.85 * r["page_height"])
+
+
+def page_block(rows: list[dict], step: float, band: float, last: float | None, common: frozenset[str]) -> Block:
+    """Lines of a stretch of one page in clusters; last is the place of the last line before it, if any.
+
+    Lines closer together than USUAL steps form a cluster. Clusters that lie wholly in the outer
+    bands are furniture; with a band of 0 all are. A line without a number stands for itself.
+    """
+    clusters: list[list] = []
+    broken = False
     for r in rows:
         gap = r["top"] - last if r["top"] is not None and last is not None else 0
-        if not clusters or step and gap > 1.35 * step or gap < 0:
-            clusters.append([])
-        clusters[-1].append(r)
+        parted = step and gap > USUAL * step or gap < 0 or r["line_no"] is None
+        if not clusters:
+            broken = bool(parted)
+        if not clusters or parted:
+            clusters.append([[], False])
+        clusters[-1][0].append(r["text"])
+        clusters[-1][1] |= bool(band) and not _at_edge(r, band)
         last = r["top"] if r["top"] is not None else last
+    return Block.of([[measure(c[0], common), c[1]] for c in clusters], broken)
 
-    def within(upper: float, c: list[dict]) -> bool:
-        return all(r["top"] is not None and r["page_height"] and (r["top"] <= upper * r["page_height"] or r["bottom"] is not None and r["bottom"] >= 0.85 * r["page_height"]) for r in c)
 
-    for upper in (0.15, 0.075):
-        inside = [c for c in clusters if not within(upper, c)]
-        if inside:
-            break
-    clusters = inside
-    out: list[str | None] = []
-    for c in clusters:
-        out += [None, *(r["text"] for r in c)] if out else [r["text"] for r in c]
-    return out
+LOOSE = 1024  # blocks that lines without a number are spread over
 
 
 def page_statistics(lines: DataFrame, common: frozenset[str], shared: mojibake.SharedDecoder) -> DataFrame:
     """(page_id, STATISTICS) of every page that has a line with text.
 
-    Of lines extracted again one is measured; furniture at head and foot is left out. Pages travel
-    as blocks of at most BLOCK_LINES line numbers, so a page of any length is spread over tasks and
-    only its sums meet. A page without readable lines gives no row.
+    Of lines extracted again the latest is measured; furniture at head and foot is left out. Pages
+    travel as blocks of BLOCK_LINES line numbers, so a page of any length is spread over tasks and
+    only its sums meet. Lines without a number are paragraphs of their own. A page without readable
+    lines gives no row. One shuffle of the lines, and where pages have several blocks, shuffles of
+    the blocks' sums and facts.
     """
+    when = F.col("extracted_at") if "extracted_at" in lines.columns else F.lit(None).cast("timestamp")
+    loose = F.col("line_no").isNull()
+    rows = lines.where("page_id is not null").select(
+        F.col("page_id").cast("long").alias("page_id"), F.when(loose, F.pmod(F.xxhash64("line_id"), F.lit(LOOSE)) - LOOSE).otherwise(F.floor(F.col("line_no") / BLOCK_LINES)).cast("long").alias("block"),
+        "line_no", when.alias("at"), F.col("line_id").cast("long").alias("line_id"), "text", F.col("top").cast("double"), F.col("bottom").cast("double"), F.col("page_height").cast("double"),
+    )
+    span = rows.agg(F.min("block").alias("least"), F.max("block").alias("most")).first()
+    first, most = min(span["least"] or 0, 0), max(span["most"] or 0, 0)
+    order = ["page_id", "block", "line_no", "at", "line_id"]
+    moved = rows.repartition("page_id", "block")
+    several = first < 0 or most > 0
+    if several:
+        newest = Window.partitionBy("page_id", "block", F.coalesce("line_no", "line_id")).orderBy(F.col("at").desc_nulls_last(), F.col("line_id").desc())
+        latest = moved.withColumn("rn", F.row_number().over(newest)).where("rn = 1 and text is not null").drop("rn")
+        place = Window.partitionBy("page_id", "block").orderBy("line_no", "line_id")
+        stepped = latest.withColumn("step", F.when(F.col("line_no").isNotNull(), F.col("top") - F.lag("top").over(place)))
+        outside = lambda band: ~F.coalesce((F.col("page_height") > 0) & ((F.col("top") <= band * F.col("page_height")) | F.coalesce(F.col("bottom") >= 0.85 * F.col("page_height"), F.lit(False))), F.lit(False))
+        facts = stepped.groupBy("page_id").agg(
+            F.percentile_approx(F.when(F.col("step") > 0, F.col("step")), 0.5, 10000).alias("step"), F.count_if(F.col("step") > 0).alias("n_steps"), *[F.max(outside(b)).alias(f"outside{i}") for i, b in enumerate(BANDS)]
+        ).select("page_id", F.when(F.col("n_steps") >= 2, F.col("step")).otherwise(0.0).alias("step"), F.when(F.col("outside0"), BANDS[0]).when(F.col("outside1"), BANDS[1]).otherwise(0.0).alias("band"))
+        ends = latest.where("line_no is not null and top is not null").groupBy("page_id", "block").agg(F.max_by("top", F.struct("line_no", "line_id")).alias("end"))
+        every = latest.select("page_id", "block").distinct().join(ends, ["page_id", "block"], "left")
+        before = every.withColumn("last", F.last("end", ignorenulls=True).over(Window.partitionBy("page_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("page_id", "block", "last")  # one row per block
+        moved = latest.join(before, ["page_id", "block"]).join(facts, "page_id")
+        moved = moved.repartition("page_id", "block")
+    else:
+        moved = moved.withColumns({c: F.lit(None).cast("double") for c in ("last", "step", "band")})
+
+    names = [*order, "text", "top", "bottom", "page_height", "last", "step", "band"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = shared.get().repair
+        now: tuple | None = None
+        held: list[dict] = []
+        ids, blocks, states = [], [], []
+
+        def close() -> None:
+            own = [r for r in held if r["text"] is not None]
+            if own:
+                for r in own:
+                    r["text"] = _clean(r["text"], repair)
+                step, band = (own[0]["step"], own[0]["band"]) if several else page_facts(own)
+                ids.append(now[0])
+                blocks.append(now[1] - first)
+                states.append(page_block(own, step, band, own[0]["last"], common).dump())
+
         for batch in batches:
-            ids, blocks, sums = [], [], []
-            for k, block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kept, seen = [], set()
-                for r in rows:
-                    if r["line_no"] not in seen:
-                        seen.add(r["line_no"])
-                        r["text"] = _clean(r["text"], repair)
-                        kept.append(r)
-                ids.append(k)
-                blocks.append(block)
-                sums.append(measure(body_lines(kept), common).dump())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["page_id", "block", "sums"])
-
-    rows = lines.where("text is not null and page_id is not null")
-    grouped = rows.groupBy(F.col("page_id").cast("long").alias("page_id"), F.floor(F.coalesce("line_no", F.lit(0)) / BLOCK_LINES).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text", "top", "bottom", "page_height"))).alias("rows")
-    )
-    partials = grouped.mapInArrow(run, "page_id long, block long, sums array<long>")
-    return _merged(partials.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block", "sums"))).alias("blocks")), "page_id")
+            for r in batch.to_pylist():
+                key = r["page_id"], r["block"]
+                if key != now:
+                    close()
+                    now, held = key, []
+                if held and r["line_no"] is not None and held[-1]["line_no"] == r["line_no"]:
+                    held[-1] = r
+                else:
+                    held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(states, pa.string())], ["page_id", "block", "state"])
+            ids.clear(), blocks.clear(), states.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(states, pa.string())], ["page_id", "block", "state"])
+
+    states = moved.select(*names).sortWithinPartitions(*order).mapInArrow(run, "page_id long, block long, state string")
+    return _merged(states, "page_id", most - first)

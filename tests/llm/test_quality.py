@@ -49,17 +49,33 @@ def test_prose(kind):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["", "The mill opens. The gate.", "• item of it", "1 | 2 | 3", "– a turn.", "heading", "x" * 40]), max_size=30), st.integers(0, 1000))
 def test_merging_blocks_gives_the_same_sums(lines, seed):
-    """Any cut into blocks, merged in any tree, equals the whole; repeats are compared within blocks, so each block starts anew."""
+    """Any cut into blocks, merged in any tree, equals the whole, lines that repeat across a cut included."""
     whole = Q.measure(lines, COMMON)
     rng = random.Random(seed)
     cuts = sorted({0, len(lines), *(rng.randint(0, len(lines)) for _ in range(3))})
-    same = [i for i in range(1, len(lines)) if lines[i] and lines[i] == lines[i - 1] and i in cuts]
-    parts = [Q.Partial.load(Q.measure(lines[a:b], COMMON).dump()) for a, b in zip(cuts, cuts[1:])] or [Q.Partial()]
+    load = lambda p: Q.Block.load(Q.Block.of([[p, True]], False).dump())
+    parts = [load(Q.measure(lines[a:b], COMMON)) for a, b in zip(cuts, cuts[1:])] or [load(Q.Partial())]
     while len(parts) > 1:
         i = rng.randrange(len(parts) - 1)
         parts[i : i + 2] = [parts[i].merge(parts[i + 1])]
-    if not same:
-        assert parts[0].finish() == whole.finish()
+    assert parts[0].finish() == whole.finish()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["The mill opens. The gate.", "• item of it", "1 | 2 | 3", "x" * 40]), st.sampled_from([None, 10.0, 50.0, 90.0, 130.0, 400.0, 420.0, 700.0, 790.0])), min_size=1, max_size=25), st.integers(0, 1000))
+def test_a_page_in_blocks_equals_the_whole_page(given_lines, seed):
+    rows = [{"line_no": i, "text": t, "top": y, "bottom": None if y is None else y + 10, "page_height": 800.0} for i, (t, y) in enumerate(given_lines)]
+    step, band = Q.page_facts(rows)
+    rng = random.Random(seed)
+    cuts = sorted({0, len(rows), *(rng.randint(0, len(rows)) for _ in range(3))})
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        last = next((r["top"] for r in reversed(rows[:a]) if r["top"] is not None), None)
+        parts.append(Q.Block.load(Q.page_block(rows[a:b], step, band, last, COMMON).dump()))
+    while len(parts) > 1:
+        i = rng.randrange(len(parts) - 1)
+        parts[i : i + 2] = [parts[i].merge(parts[i + 1])]
+    assert parts[0].finish() == Q.page_block(rows, step, band, None, COMMON).finish()
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +103,33 @@ def test_pages(spark, shared):
     got = {r.page_id: (r.not_prose, r.n_lines) for r in Q.page_statistics(df, COMMON, shared).collect()}
     assert got[1] == (False, 3) and got[2] == (True, 5) and got[4][0] and 5 not in got and not got.get(3, (False,))[0]
     assert Q.page_statistics(df.limit(0), COMMON, shared).count() == 0
+
+
+def test_pages_of_any_length_are_judged_alike(spark, shared, monkeypatch):
+    schema = "line_id long, page_id long, line_no int, text string, top double, bottom double, page_height double, extracted_at timestamp"
+
+    def page(p, n, text):
+        head = [(p * 10**6 + 900_000, p, 0, "Draft - not for sale", 4.0, 5.0, 800.0, None)]
+        return head + [(p * 10**6 + i, p, i, text(i), 200.0 + 0.2 * i, 200.1 + 0.2 * i, 800.0, None) for i in range(1, n)]
+
+    prose = lambda i: f"In {i} the mill {'opens' if i % 2 else 'closes and the bridge opens'} it. The gate is closed."
+    rows = page(1, 2000, prose) + page(2, 2000, lambda i: f"• Item of {i}") + page(3, 40, prose) + page(4, 513, prose)
+    rows += [(50_000_000 + i, 5, None, f"A loose line of {i} stands here to be read.", None, None, 800.0, None) for i in range(70)]
+    df = spark.createDataFrame(rows, schema)
+    several = {r.page_id: r for r in Q.page_statistics(df, COMMON, shared).collect()}
+    monkeypatch.setattr(Q, "BLOCK_LINES", 1 << 20)
+    whole = {r.page_id: r for r in Q.page_statistics(df, COMMON, shared).collect()}
+    assert several == whole and several[5].n_lines == 70
+    assert {p: (r.not_prose, r.n_lines) for p, r in several.items() if p < 5} == {1: (False, 1999), 2: (True, 1999), 3: (False, 39), 4: (False, 512)}
+    alone = {r.page_id: r for r in Q.page_statistics(df.where("page_id < 5"), COMMON, shared).collect()}
+    assert alone == {p: r for p, r in several.items() if p < 5}  # the facts made in one pass equal those gathered first
+
+
+def test_long_chunks_are_judged_in_parts(spark, shared, monkeypatch):
+    text = "\n".join(f"In {i} the mill opens it, and the gate of it is closed to the end." if i % 3 else ("" if i % 2 else "the same line stands here twice") for i in range(6000))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x" * 200_000), (3, "the mill of it " * 20_000), (4, None)], "chunk_no long, text string")
+    parts = sorted(Q.chunk_statistics(df, COMMON, shared).collect(), key=lambda r: (r.chunk_no, r.n_chars))
+    lines = text.split("\n")
+    one = Q._row(Q.measure(lines, COMMON).finish())
+    assert [r.chunk_no for r in parts] == [1, 1, 2, 3] and all(parts[0][k] == v for k, v in one.items()) and parts[0] == parts[1]
+    assert parts[2].n_lines == 4 and parts[3].n_words == 80_000
