@@ -44,14 +44,31 @@ def test_lines_that_cover_half_of_the_files(spark, shared):
     assert got == want
 
 
-def test_excess_is_significant_and_common_furniture_is_not(spark, shared):
-    df, _ = make(spark)
+def test_the_edges_have_an_excess_and_what_stands_everywhere_has_none(spark, shared):
+    df, rows = make(spark)
+    # A wording that fills page bodies everywhere, and by the way stands at the edges of all files of one source.
+    n, more = len(rows), []
+    for s in range(6):
+        for f in range(4):
+            more += [(n + len(more) + k, 0, s * 10 + f, f"s{s}", 10 + k, "and so on", 400.0, 410.0, 800.0, NOW, None) for k in range(40)]
+    more += [(n + len(more) + k, k * 10, k, "s0", 60, "AND SO ON", 20.0, 30.0, 800.0, NOW, None) for k in range(4)]
+    df = df.unionByName(spark.createDataFrame(more, SCHEMA))
     found = B.repeated_lines(df, shared).join(df.select("line_id", "text"), "line_id").collect()
-    assert all(r.significant for r in found if "ource" in r.text) and not any(r.significant for r in found if r.text.isdigit())
+    assert sum("ource" in r.text for r in found) == 19 and any(r.text.isdigit() for r in found) and not any(r.text.lower() == "and so on" for r in found)
+    edges = B.edge_lines(df, shared)
+    untested = B.statistics(edges, df).where(B._covering(B.MIN_SHARE, B.MIN_FILES)).join(edges, ["source", "wording"])
+    assert untested.count() == B.repeated_lines(df, shared).where("covers").count() + 4  # the test decides, the coverage alone would not
     a, b, c, d = (F.lit(float(x)) for x in (5, 5, 5, 5))
     assert spark.range(1).select(B.log_likelihood_ratio(a, b, c, d)).collect()[0][0] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_lines_without_a_number_all_stay(spark, shared):
+    rows = [(i, 1, 1, "s", None, f"loose {i}", 400.0, 410.0, 800.0, NOW, None) for i in range(5)] + [(9, 1, 1, "s", 0, None, 20.0, 30.0, 800.0, NOW, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    page = B.remove_repeated(df, B.repeated_lines(df, shared)).collect()[0]
+    assert page.text == "\n".join(f"loose {i}" for i in range(5)) and (page.n_lines, page.n_removed) == (6, 0)
+
+
 def test_pages_come_out_without_them(spark, shared):
     df, _ = make(spark)
     pages = {r.page_id: r for r in B.remove_repeated(df, B.repeated_lines(df, shared)).collect()}
