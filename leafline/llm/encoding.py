@@ -139,17 +139,17 @@ def share_tokenizer(spark: SparkSession, path: str | None = None, pattern: str |
     return _Shared(spark.sparkContext.broadcast((content, pattern or split_pattern())))
 
 
-def _map(df: DataFrame, shared: _Shared, id_col: str, text_col: str, counts_only: bool) -> DataFrame:
+def _map(df: DataFrame, shared: _Shared, id_col: str, text_col: str, counts_only: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared).encode
         for batch in batches:
             ids = [encode(t) for t in batch.column(1).to_pylist()]
             values = pa.array([len(x) for x in ids], pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], [id_col, "n_tokens" if counts_only else "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], values], [id_col, *keep, "n_tokens" if counts_only else "ids"])
 
     field = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), field])
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in (id_col, *keep)), field])
+    return df.select(F.col(id_col), F.col(text_col).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -162,6 +162,6 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _map(df, share_tokenizer(df.sparkSession, path, pattern), id_col, text_col, False)
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens) for every row of df; null and empty texts have 0 tokens."""
-    return _map(df, share_tokenizer(df.sparkSession, path, pattern), id_col, text_col, True)
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to keep, n_tokens) for every row of df; null and empty texts have 0 tokens."""
+    return _map(df, share_tokenizer(df.sparkSession, path, pattern), id_col, text_col, True, keep)

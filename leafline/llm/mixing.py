@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-CELLS = 4096
+from leafline.session import cut
+
+PARTS = 128  # ranges of about equal numbers of records that the place of the last record is narrowed down to, twice
 
 
 def plan(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -40,36 +42,39 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", size_col
     without a budget, have no row; null or non-positive weights count as the least weight; equal
     keys are ordered by id. Keys depend on id and seed alone, so lost tasks repeat the same draw.
 
-    The prefix sum of a source never runs in one task: keys fall into CELLS cells of equal
-    probability, the cells' sums give every cell its place, and only the cell in which the budget
-    runs out is cut into CELLS finer ones, of which again only one is summed record by record.
+    What a source needs is the key of its last record. The prefix sum that gives it never runs over a
+    source in one task: the keys' quantiles cut a source into PARTS ranges of about as many records,
+    whatever the weights; their sums, combined before the shuffle, tell in which of them the budget
+    runs out. That range is cut once more, and only the records of the last one are summed in order.
     """
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-3)) if weight_col else F.lit(1.0)
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = records.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), "source", F.col(size_col).cast("long").alias("size"), (-F.log(u) / weight).alias("key"))
-    available = rows.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("size").alias("n_tokens"))
-    planned = plan(available, targets, total_tokens).where("budget > 0").select("source", F.floor(F.col("budget") / F.col("n_tokens")).alias("epochs"), (F.col("budget") % F.col("n_tokens")).alias("rest"))
-    keyed = rows.join(planned, "source")
-    spread = 1 - F.exp(-F.col("key"))  # key to (0, 1), in the same order
-    keyed = keyed.withColumns({"cell": F.floor(spread * CELLS), "fine": F.floor((spread * CELLS - F.floor(spread * CELLS)) * CELLS)})
-
-    def running(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn("upto", F.sum("sum").over(w))
-
-    cells = running(keyed.groupBy("source", "rest", "cell").agg(F.sum("size").alias("sum")), ["source"], ["cell"])
-    cells = cells.select("source", "cell", (F.col("upto") - F.col("sum")).alias("before"), (F.col("upto") <= F.col("rest")).alias("full"), ((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("sum") < F.col("rest"))).alias("edge"))
-    placed = keyed.join(cells, ["source", "cell"])
-    inside = placed.where("edge")
-    fine = running(inside.groupBy("source", "rest", "before", "fine").agg(F.sum("size").alias("sum")), ["source"], ["fine"])
-    fine = fine.select("source", "fine", (F.col("before") + F.col("upto") - F.col("sum")).alias("base"), (F.col("before") + F.col("upto") <= F.col("rest")).alias("fine_full"), ((F.col("before") + F.col("upto") > F.col("rest")) & (F.col("before") + F.col("upto") - F.col("sum") < F.col("rest"))).alias("fine_edge"))
-    graded = placed.join(fine, ["source", "fine"], "left")
-    last = graded.where("edge and fine_edge")
-    w = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = last.withColumn("upto", F.col("base") + F.sum("size").over(w)).where("upto <= rest").select("id", F.lit(True).alias("chosen"))
-    graded = graded.join(chosen, "id", "left")
-    extra = F.when(F.col("full") | (F.col("edge") & F.coalesce("fine_full", F.lit(False))) | F.coalesce("chosen", F.lit(False)), 1).otherwise(0)
-    return graded.select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + extra).cast("int").alias("repeats"))
+    rows = cut(records.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), "source", F.col(size_col).cast("long").alias("size"), (-F.log(u) / weight).alias("key")))
+    cuts = F.percentile_approx("key", [k / PARTS for k in range(1, PARTS)], 10000).alias("cuts")
+    totals = cut(rows.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("size").alias("n_tokens"), cuts))
+    planned = cut(plan(totals.drop("cuts"), targets, total_tokens).where("budget > 0").select("source", F.floor(F.col("budget") / F.col("n_tokens")).alias("epochs"), (F.col("budget") % F.col("n_tokens")).alias("rest")))
+
+    def narrowed(inside: DataFrame, cut_at: DataFrame) -> DataFrame:
+        """(source, rest, base, low, high): the range (low, high] of keys in which the budget runs out, and the tokens of the records before it; from the same of the range inside and its cuts."""
+        placed = inside.join(cut_at.select("source", "cuts"), "source").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("key"))))
+        upto = F.sum("sum").over(Window.partitionBy("source").orderBy("part"))  # PARTS rows per source
+        sums = placed.groupBy("source", "part").agg(F.sum("size").alias("sum")).withColumn("upto", upto).join(cut_at, "source").where("base + upto > rest")
+        first = sums.groupBy("source").agg(F.min_by(F.struct("rest", (F.col("base") + F.col("upto") - F.col("sum")).alias("base"), "part", "cuts", "low", "high"), "part").alias("x"))
+        low = F.when(F.col("x.part") > 0, F.try_element_at("x.cuts", F.greatest(F.col("x.part"), F.lit(1)))).otherwise(F.col("x.low"))
+        return first.select("source", "x.rest", "x.base", low.alias("low"), F.coalesce(F.try_element_at("x.cuts", F.col("x.part") + 1), F.col("x.high")).alias("high"))
+
+    def between(df: DataFrame, limits: DataFrame) -> DataFrame:
+        return df.join(limits, "source").where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+
+    wide = cut(narrowed(rows.join(planned.select("source"), "source", "left_semi"), planned.join(totals.select("source", "cuts"), "source").withColumns({"base": F.lit(0).cast("long"), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))})))
+    inside = cut(between(rows, wide))
+    close = cut(narrowed(inside.select("id", "source", "size", "key"), wide.join(inside.groupBy("source").agg(cuts), "source")))
+    order = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = between(inside.select("id", "source", "size", "key"), close).withColumn("upto", F.col("base") + F.sum("size").over(order))
+    last = summed.where("upto <= rest").groupBy("source").agg(F.max(F.struct("key", "id")).alias("last"))
+    ends = planned.select("source", "epochs").join(close.select("source", "low"), "source", "left").join(last, "source", "left")
+    extra = F.when((F.col("key") <= F.col("low")) | F.coalesce(F.struct("key", "id") <= F.col("last"), F.lit(False)), 1).otherwise(0)
+    return rows.join(ends, "source").select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + extra).cast("int").alias("repeats"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

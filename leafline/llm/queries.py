@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafline.llm import boilerplate, confusables, encoding, mixing, mojibake, quality
 from leafline.llm import sentences as sentence_ops
 from leafline.llm import splitting, truncation
-from leafline.session import cut, table
+from leafline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,9 +103,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
-    sizes = cut(encoding.count_tokens(documents))
-    records = documents.select("doc_id", "source", "align_score").join(sizes, "doc_id")
-    return mixing.mix(records, targets, weight_col="align_score"), targets
+    return mixing.mix(encoding.count_tokens(documents, keep=("source", "align_score")), targets, weight_col="align_score"), targets
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_shares_are_exact_and_caps_hold(spark):
     assert out.count() == 3000 and max(r.most_repeats for r in rows.values()) >= 2
 
 
-def test_the_split_into_cells_equals_a_plain_prefix_sum(spark):
+def test_the_split_into_ranges_equals_a_plain_prefix_sum(spark):
     df, targets = make(spark)
     out = {r.doc_id: r.repeats for r in X.mix(df, targets, weight_col="w", total_tokens=9000).collect()}
     u = (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -42,3 +42,25 @@ def test_same_draw_for_any_partitioning_and_nothing_from_nothing(spark):
     assert a == sorted(map(tuple, X.mix(df.repartition(7), targets).collect()))
     assert X.mix(df.limit(0), targets).count() == 0 and X.mix(df, targets.limit(0)).count() == 0
     assert {r.actual_share for r in X.shares(X.mix(df.limit(0), targets), targets).collect()} == {0.0}
+
+
+def test_no_range_holds_much_of_a_source_whatever_the_weights(spark):
+    """Null weights give keys a thousand times as large, mixed ones keys of all sizes; the ranges follow the keys."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(3).alias("n_tokens"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 0.0).otherwise(F.col("id") / n).cast("double").alias("w"))
+    for weights in (rows, rows.withColumn("w", F.lit(None).cast("double"))):
+        key = -F.log((F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(1e-3))
+        keyed = weights.withColumn("key", key)
+        cuts = keyed.agg(F.percentile_approx("key", [k / X.PARTS for k in range(1, X.PARTS)], 10000)).first()[0]
+        most = keyed.groupBy(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key")))).count().agg(F.max("count")).first()[0]
+        assert most <= n / 100
+        targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+        for total in (1, 29_999, 3 * n + 4):
+            out = X.mix(weights, targets, weight_col="w", total_tokens=total)
+            assert (out.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] or 0) == total // 3 * 3
+
+
+def test_equal_keys_and_equal_records(spark):
+    df = spark.createDataFrame([(1, "a", 2)] * 50 + [(2, "a", 2)] * 50, "doc_id long, source string, n_tokens int")
+    out = X.mix(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), total_tokens=120)
+    assert out.count() == 100 and out.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] >= 100
