@@ -400,6 +400,7 @@ ranges AS (
         "bm25_topk": _with(_bm25(3), "SELECT query_id, rank, chunk_id, score, matched_terms, page_range FROM hits"),
         "phrase_matches": _with(f"{_CORPUS}, {_phrases('eval_cases', 'evidence')}", "SELECT query_id, chunk_id FROM phrases"),
         "tfidf_topk": _with(_TFIDF, "SELECT query_id, rank, chunk_id, similarity FROM ranked WHERE rank <= 3"),
+        "tfidf_first_chunks": _with(_TFIDF.replace(_CORPUS, _CORPUS.replace("corpus AS", "whole AS") + ", corpus AS (SELECT * FROM whole ORDER BY file_id, chunk_index, chunk_id LIMIT 10)"), "SELECT query_id, rank, chunk_id, similarity FROM ranked WHERE rank <= 3"),
         "tfidf_dimensions": _with(_TFIDF, "SELECT query_id, place, token, round(w, 8) AS weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, token) AS INT) AS place FROM qw) WHERE place <= 12"),
         "tfidf_shared_dimensions": _with(_TFIDF, "SELECT query_id, chunk_id, place, token, round(p, 8) AS contribution FROM (SELECT r.query_id, r.chunk_id, token, c.w * q.w AS p, CAST(row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY round(c.w * q.w, 12) DESC, token) AS INT) AS place FROM ranked r JOIN cw c ON c.chunk_id = r.chunk_id JOIN qw q USING (query_id, token) WHERE r.rank = 1) WHERE place <= 8"),
         "distractor_ranks": _with(_TFIDF.replace(_CORPUS, _CORPUS_AND_DISTRACTOR), "SELECT count(*) FILTER (chunk_id = 'distractor') AS distractor_hits, count(*) AS hits FROM ranked WHERE rank <= 3"),

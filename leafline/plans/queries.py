@@ -280,6 +280,18 @@ def dense_label_metrics(spark, d):
     return per.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 4).alias("hit"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
 
 
+@query
+def semantic_hits(spark, d):
+    """One stage of dense search; a stand-in model."""
+    return dense.semantic_search(_chunks(spark, d), _cases(spark, d)).select("query_id", "rank", "chunk_id", "chunk_index", "similarity", "page_range", "snippet")
+
+
+@query
+def tfidf_first_chunks(spark, d):
+    """The best three of the first ten chunks by TF-IDF cosine, as the demonstration of the vectors ranks them."""
+    return retrieval.tfidf_search(table(spark, d, "chunks"), _cases(spark, d), limit=10)
+
+
 @query
 def two_stage_hits(spark, d):
     """Dense candidates reranked; stand-in models."""

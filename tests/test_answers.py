@@ -152,6 +152,17 @@ def test_nearest_equals_brute_force(spark):
         dense.nearest(bad, bad.withColumnRenamed("vec_id", "query_id"), 1, "vec_id").collect()
 
 
+def test_semantic_search_orders_ties_by_place(spark):
+    chunks = spark.createDataFrame([("z", 1, 0, "1", "the mill gate"), ("a", 1, 1, "1", "the mill gate"), ("b", 2, 0, "2", None), ("c", 3, 0, "3", "harbour")], "chunk_id string, file_id long, chunk_index int, page_range string, text string")
+    asked = spark.createDataFrame([("q", "mill gate"), ("n", None)], "id string, query string")
+    rows = dense.semantic_search(chunks, asked, 3, snippet_chars=8).where("query_id = 'q'").orderBy("rank").collect()
+    assert [r.chunk_id for r in rows][:2] == ["z", "a"] and rows[0].similarity == rows[1].similarity == round(rows[0].similarity, 6) and rows[0].snippet == "the mill..."
+    with pytest.raises(ValueError):
+        dense.semantic_search(chunks, asked, 0)
+    dense_first = dense.search_two_stages(chunks, asked, 2, 4).where("query_id = 'q'").orderBy("base_rank").collect()
+    assert dense_first[0].chunk_id == "z"
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([("a", "q", ["c1", "c2"], None), ("b", "q", ["c9"], None), ("n", "q", [], None), ("m", "q", None, None)], "id string, query string, relevant_chunk_ids array<string>, evidence string")
     hits = spark.createDataFrame([("a", "c5", 1), ("a", "c2", 2), ("b", "c1", 1)], "query_id string, chunk_id string, rank int")

@@ -84,10 +84,43 @@ def test_phrases_in_blocks(spark, monkeypatch):
     qs = questions(spark, "harbour harbour", "THE  FERRY", "ab", "港口关闭")
     whole = {tuple(r) for r in R.phrase_matches(corpus(spark), qs).collect()}
     assert whole == {("q0", "c1"), ("q1", "c6"), ("q3", "c2")}
-    monkeypatch.setattr(R, "query_blocks", lambda df, key: [[r] for r in df.collect()])
+    monkeypatch.setattr(R, "query_blocks", lambda df, key: ([r] for r in df.collect()))
     assert {tuple(r) for r in R.phrase_matches(corpus(spark), qs).collect()} == whole
 
 
+def test_blocks_cover_every_question_once(spark):
+    qs = spark.range(50).select(F.col("id").cast("string").alias("id"))
+    for block in (1000, 50, 7):
+        got = [[r.id for r in rows] for rows in R.query_blocks(qs, "id", block)]
+        assert sorted(i for rows in got for i in rows) == sorted(str(i) for i in range(50)) and (len(got) == 1) == (block >= 50)
+    assert list(R.query_blocks(qs.limit(0), "id")) == [[]]
+
+
+def test_searches_in_blocks_equal_those_in_one(spark, monkeypatch):
+    qs = questions(spark, "harbour map", "the", "港口", "well-known", "zzz", "ferry mill", None)
+    run = lambda: ([sorted(map(tuple, R.bm25_search(corpus(spark), qs, 2).collect())), sorted(map(tuple, R.tfidf_search(corpus(spark), qs, 2).collect()))])
+    whole = run()
+    blocks = R.query_blocks
+    monkeypatch.setattr(R, "query_blocks", lambda df, key: blocks(df, key, 2))
+    assert run() == whole and len(whole[0]) >= 5 and len(whole[1]) == 14
+
+
+def test_best_places_keep_the_first_of_equal_scores():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3, 40):
+        scores = rng.integers(0, 4, n).astype(float)
+        scores[scores == 0] = -np.inf
+        want = sorted(sorted((i for i in range(n) if scores[i] > -np.inf), key=lambda i: (-scores[i], i))[:3])
+        assert sorted(R.best_places(scores, 3).tolist()) == want
+
+
+def test_vectors_of_the_first_chunks_only(spark):
+    hits = R.tfidf_search(corpus(spark), questions(spark, "ferry mill"), 3, limit=2).collect()
+    assert {r.chunk_id for r in hits} == {"c0", "c1"} and all(r.similarity == 0 for r in hits)
+
+
 def test_snippets():
     text = "start " + "filler " * 60 + "the harbour gate " + "filler " * 60
     s = R.focused_snippet(text, "harbour gate", [], 60)
