@@ -89,7 +89,7 @@ def _both_texts(marked: DataFrame) -> DataFrame:
     )
 
 
-def clean_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
+def clean_pages(lines: DataFrame, pages: DataFrame, min_text_chars: int = T.MIN_TEXT_CHARS) -> DataFrame:
     """One record per page: text, counts, has_text, needs_ocr, removal counters, extraction error; pages without lines stay, empty.
 
     The mapped lines are written to the checkpoint folder once; the document's statistics and the
@@ -97,7 +97,7 @@ def clean_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """
     rows = cut(latest_lines(lines))
     known = latest_pages(pages).select("page_id", "file_id", "page_index", "page_number", "width", "height", "extraction_error")
-    texts = _both_texts(mark_lines(rows, known)).select("page_id", (F.length(T.normalize_text(F.col("raw_text"))) < T.MIN_TEXT_CHARS).alias("needs_ocr"), T.normalize_text(F.col("text")).alias("text"), "repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")
+    texts = _both_texts(mark_lines(rows, known)).select("page_id", (F.length(T.normalize_text(F.col("raw_text"))) < min_text_chars).alias("needs_ocr"), T.normalize_text(F.col("text")).alias("text"), "repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")
     out = known.join(texts, "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
     return out.select(

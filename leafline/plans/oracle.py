@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from leafline.functions import text as T
 from leafline.functions.tokens import HAN_RUN, LATIN, STOPWORDS
 from leafline.operators.answers import BRACKET, ITEM, LIMITS, MAX_CHUNK, MAX_CONTEXT, MAX_QUERY, MIN_SCORE, RULES, digit_table
 from leafline.operators.chunking import MAXIMUM, OVERLAP, TARGET
+from leafline.operators.experiments import DISTRACTOR as REPEATS
+from leafline.operators.experiments import WORDINGS
 from leafline.operators.retrieval import B, K1, PHRASE_BONUS, PHRASE_CHARS
 
 
@@ -183,6 +187,20 @@ ranked AS (
   SELECT query_id, chunk_id, round(coalesce(sim, 0.0), 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(sim, 0.0), 6) DESC, file_id, chunk_index, chunk_id) AS INT) AS rank
   FROM qs CROSS JOIN corpus LEFT JOIN sims USING (query_id, chunk_id))"""
 
+_CORPUS_AND_REPEATS = f"""{_CORPUS.replace('corpus AS', 'own AS')}, corpus AS (SELECT chunk_id, file_id, chunk_index, text FROM own UNION ALL SELECT 'distractor', 9223372036854775807, 0, {_quote(REPEATS)})"""
+
+
+def _wordings(number: int, corpus: str) -> str:
+    """The three best chunks of each wording in one corpus, as CTEs of their own names ending in found and the number."""
+    values = ", ".join(f"('Q{i}', {_quote(t)})" for i, t in enumerate(WORDINGS, 1))
+    ctes = f"""wordings AS (SELECT * FROM (VALUES {values}) w(id, query)), {_TFIDF.replace(_CORPUS, corpus).replace('eval_cases', 'wordings').strip()},
+active AS (SELECT query_id, array_to_string(list_sort(list(token)), '|') AS active_dimensions FROM qw WHERE w > 0 GROUP BY query_id),
+found AS (SELECT {number} AS experiment, query_id, coalesce(active_dimensions, '') AS active_dimensions, rank, chunk_id, similarity AS score FROM ranked LEFT JOIN active USING (query_id) WHERE rank <= 3)"""
+    for name in ("wordings", "own", "corpus", "toks", "lens", "post", "dfs", "stats", "qs", "qtoks", "qpost", "qlens", "cw", "qw", "sims", "ranked", "active", "found"):
+        ctes = re.sub(rf"\b{name}\b(?!')", f"{name}{number}", ctes)
+    return ctes
+
+
 _DENSE = """
 near AS (
   SELECT q.vec_id AS query_id, p.vec_id, p.label = q.label AS relevant, list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
@@ -407,6 +425,10 @@ ranges AS (
         "dense_topk": _with(_DENSE, "SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 10"),
         "dense_label_metrics": _with(_DENSE, "SELECT count(*) AS queries, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 4) AS hit, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM (SELECT query_id, min(rank) FILTER (relevant AND rank <= 3) AS first FROM ranked GROUP BY query_id)"),
         "evaluation_metrics": _with(f"{_bm25(3)}, labels AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT id AS query_id, unnest(relevant_chunk_ids) AS chunk_id FROM eval_cases) WHERE chunk_id IS NOT NULL), firsts AS (SELECT l.query_id, min(rank) AS first FROM labels l LEFT JOIN hits h ON h.query_id = l.query_id AND h.chunk_id = l.chunk_id GROUP BY l.query_id)", "SELECT 'bm25' AS stage, 3 AS k, count(*) AS cases, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 4) AS hit, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM firsts"),
+        "tfidf_wordings": _with(
+            f"{_wordings(1, _CORPUS)}, {_wordings(2, _CORPUS_AND_REPEATS)}",
+            "SELECT * FROM found1 UNION ALL SELECT * FROM found2"),
+        "unsound_cases": f"SELECT id, CASE WHEN coalesce({_strip('id')}, '') = '' THEN 'no id' WHEN coalesce({_strip('query')}, '') = '' THEN 'no query' ELSE 'no relevant chunk' END AS reason FROM eval_cases WHERE coalesce({_strip('id')}, '') = '' OR coalesce({_strip('query')}, '') = '' OR len(list_filter(coalesce(relevant_chunk_ids, []), lambda c: {_strip('c')} <> '')) = 0",
         "unknown_labels": _with(_CORPUS, "SELECT DISTINCT query_id, chunk_id FROM (SELECT id AS query_id, unnest(relevant_chunk_ids) AS chunk_id FROM eval_cases) WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM corpus)"),
         "evidence_labels": _with(f"{_CORPUS}, {_phrases('eval_cases', 'evidence')}", "SELECT query_id, count(*) AS n_chunks FROM phrases GROUP BY query_id"),
         "context_sources": _with(_CITED, "SELECT query_id, source_id, chunk_id, CAST(length(body) AS INT) AS included_chars, truncated, CAST(length(header) AS INT) AS header_chars FROM sources", True),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions import text as T
 from leafline.functions.tokens import tokenize
-from leafline.operators import answers, chunking, dense, evaluate, lines, retrieval
+from leafline.operators import answers, chunking, dense, evaluate, experiments, lines, retrieval
 from leafline.plans import oracle
 from leafline.session import table
 
@@ -259,6 +259,19 @@ def distractor_ranks(spark, d):
     return hits.agg(F.count_if(F.col("chunk_id") == "distractor").alias("distractor_hits"), F.count("*").alias("hits"))
 
 
+@query
+def tfidf_wordings(spark, d):
+    """The best three chunks under each wording of one question, without and with a distractor."""
+    found = experiments.tfidf_experiment(table(spark, d, "chunks"), experiments.wordings(spark), 3)
+    return found.select("experiment", "query_id", _joined("active_dimensions").alias("active_dimensions"), "rank", "chunk_id", "score")
+
+
+@query
+def dense_wordings(spark, d):
+    """The same by dense similarity; a stand-in model."""
+    return experiments.dense_experiment(table(spark, d, "chunks"), experiments.wordings(spark), 3)
+
+
 # ------------------------------------------------------------------ dense retrieval, evaluation
 
 
@@ -314,6 +327,19 @@ def evaluation_two_stages(spark, d):
     return base.unionByName(evaluate.metrics(evaluate.case_results(hits, cases, 3, "rerank_rank"), "reranked", 3))
 
 
+@query
+def evaluation_report(spark, d):
+    """What both stages of dense search found for every labelled case; stand-in models."""
+    corpus, cases = _chunks(spark, d), _cases(spark, d)
+    return evaluate.report(dense.search_two_stages(corpus, cases, dense.CANDIDATES), cases, corpus, 3).select("id", F.size("relevant_chunk_ids").alias("n_relevant"), F.col("embedding.hit").alias("base_hit"), F.col("rerank.hit").alias("hit"), F.to_json("rerank.results").alias("results"))
+
+
+@query
+def unsound_cases(spark, d):
+    """Cases that retrieval cannot be evaluated with, and why."""
+    return evaluate.invalid_cases(_cases(spark, d), True)
+
+
 @query
 def unknown_labels(spark, d):
     """Labels of the cases that name no chunk."""

@@ -35,3 +35,18 @@ def model_place(model: str, cache: str | Path, allow_download: bool = False) ->
     if reference.is_file() and (snapshot := folder / "snapshots" / reference.read_text().strip()).is_dir():
         return str(snapshot)
     raise FileNotFoundError(f"{model} is not in {cache}")
+
+
+def chat_client(env_file: str | Path = ".env", base_url: str | None = None, model: str | None = None, max_tokens: int = 600, temperature: float = 0.2, reasoning_effort: str | None = None, timeout: float = 60.0, environment: MutableMapping[str, str] | None = None):
+    """The chat model that arguments, environment and environment file name, in that order; None without a key in CHAT_API_KEY."""
+    from leafline.providers import HttpChat
+
+    environment = os.environ if environment is None else environment
+    load_env(env_file, environment)
+    key = setting(None, "CHAT_API_KEY", environment=environment)
+    if not key:
+        return None
+    base, name = setting(base_url, "CHAT_BASE_URL", environment=environment), setting(model, "CHAT_MODEL", environment=environment)
+    if not base or not name:
+        raise ValueError("a chat model needs a base URL and a name: --base-url and --llm-model, or CHAT_BASE_URL and CHAT_MODEL")
+    return HttpChat(base, name, key, max_tokens, temperature, reasoning_effort, timeout)

@@ -44,6 +44,38 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_page_documents(pages: DataFrame, files: DataFrame, path: str, key: str = "file_id") -> None:
+    """A JSON file per document that read_pages reads: its source, its counts, and its pages in order.
+
+    A document is one value of the file format, so it is made in one task; documents are spread.
+    """
+    page = F.struct("page_number", "page_index", "text", "char_count", "word_count", "has_text", "needs_ocr", "extraction_error")
+    counts = F.struct(F.count("*").alias("page_count"), *[F.sum(c).alias(c) for c in ("repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")])
+    documents = pages.groupBy(key).agg(counts.alias("document"), F.array_sort(F.collect_list(page)).alias("pages"))
+    _write_documents(documents.join(_sources(files, key), key, "left").drop(key), path)
+
+
+def write_chunk_documents(chunks: DataFrame, files: DataFrame, path: str, key: str = "file_id") -> None:
+    """A JSON file per document that read_chunks reads: its source, the number of its chunks, and the chunks in order."""
+    fields = ["chunk_index", "chunk_id", "text", "char_count", "word_count", "source_pages", "page_segments", "page_range", "start_page", "end_page", "overlap_from_previous"]
+    documents = chunks.groupBy(key).agg(F.struct(F.count("*").alias("chunk_count")).alias("document"), F.array_sort(F.collect_list(F.struct(*fields))).alias("chunks"))
+    _write_documents(documents.join(_sources(files, key), key, "left").drop(key), path)
+
+
+def _sources(files: DataFrame, key: str) -> DataFrame:
+    return files.select(key, F.struct("file_name", "path", F.col("size_bytes").cast("long").alias("size_bytes"), "sha256").alias("source")).dropDuplicates([key])
+
+
+def _write_documents(documents: DataFrame, path: str) -> None:
+    documents.select(F.to_json(F.struct(*documents.columns)).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_unanswerable(spark: SparkSession, path: str) -> DataFrame:
+    """Questions without an answer in the document; the file holds them under "unanswerable"."""
+    schema = "unanswerable array<struct<id:string,query:string,not_in_document:array<string>>>"
+    return _read(spark, path, schema).select(F.explode("unanswerable").alias("c")).select("c.*")
+
+
 def pages_path(pdf: str) -> str:
     return f"parsed/{PurePosixPath(pdf).stem}.json"
 
