@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts whose usual glyph is that of a Latin letter (prototype: the letters).
@@ -46,6 +46,24 @@ def _invisible(char: str) -> bool:
     return unicodedata.category(char) == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180F or 0xE0100 <= cp <= 0xE01EF
 
 
+def read_confusables(path: str) -> dict[str, str]:
+    """Look-alikes of a public table ("source ; prototype ; type # note", code points in hexadecimal), as far as both are letters of different scripts, or marks and signs that are not ASCII.
+
+    Left out is what TESTDATA.md and this module hold to be a visible difference: pairs within ASCII, digits, letters that differ in case or accent.
+    """
+    found = {}
+    with open(path, encoding="utf-8-sig") as file:
+        for line in file:
+            fields = [f.strip() for f in line.split("#")[0].split(";")]
+            if len(fields) < 2:
+                continue
+            source, prototype = ("".join(chr(int(c, 16)) for c in f.split()) for f in fields[:2])
+            bare = ["".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if unicodedata.category(c) != "Mn") for x in (source, prototype)]
+            if len(source) == 1 and source >= "\x80" and not source.isdigit() and not prototype.isdigit() and bare[0] != bare[1] and source.isalpha() == prototype.isalpha():
+                found[source] = prototype
+    return found
+
+
 @lru_cache(maxsize=1)
 def prototypes() -> dict[int, str]:
     """Code point to prototype, for every character that is not its own prototype.
@@ -88,14 +106,21 @@ def prototypes() -> dict[int, str]:
     return {cp: "".join(table.get(ord(c), c) for c in p) if len(p) != 1 or ord(p) in table else p for cp, p in table.items()}
 
 
+def with_more(more: dict[str, str] | None) -> dict[int, str]:
+    """The prototypes, and further look-alikes where the characters have no prototype of their own."""
+    if not more:
+        return prototypes()
+    return {ord(c): unicodedata.normalize("NFD", p) for c, p in more.items()} | prototypes()
+
+
 _plain = re.compile(r"[\x21-\x7e]+(?: [\x21-\x7e]+)*").fullmatch
 
 
-def skeleton(text: str | None) -> str | None:
+def skeleton(text: str | None, table: dict[int, str] | None = None) -> str | None:
     """Skeleton of a text, blanks collapsed and stripped; null stays null."""
     if text is None or _plain(text):
         return text
-    folded = unicodedata.normalize("NFD", text).translate(prototypes())
+    folded = unicodedata.normalize("NFD", text).translate(table or prototypes())
     return " ".join(unicodedata.normalize("NFD", folded).split())
 
 
@@ -158,33 +183,18 @@ def wording(text: str | None) -> str | None:
     return _digits("#", key)
 
 
-def _map_text(column: Column, function) -> Column:
-    @F.pandas_udf("string")
-    def run(series):
-        return series.map(function, na_action="ignore")
-
-    return run(column)
-
-
-def skeleton_column(column: Column) -> Column:
-    return _map_text(column, skeleton)
-
-
-def wording_column(column: Column) -> Column:
-    return _map_text(column, wording)
-
-
-def _skeletons(df: DataFrame, table: str, id_col: str, text_col: str) -> DataFrame:
+def _skeletons(df: DataFrame, table: str, id_col: str, text_col: str, more: dict[str, str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks = with_more(more)
         for batch in batches:
             texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(map(skeleton, texts.to_pylist()), pa.string())], ["record_id", "text", "skeleton"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([skeleton(t, looks) for t in texts.to_pylist()], pa.string())], ["record_id", "text", "skeleton"])
 
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull())
     return rows.mapInArrow(run, "record_id long, text string, skeleton string").select(F.lit(table).alias("record_table"), "record_id", "text", "skeleton")
 
 
-def lookalikes(records: list[tuple[str, DataFrame, str, str]], references: DataFrame, ref_id: str = "ref_id", text_col: str = "text") -> DataFrame:
+def lookalikes(records: list[tuple[str, DataFrame, str, str]], references: DataFrame, ref_id: str = "ref_id", text_col: str = "text", confusables: str | None = None) -> DataFrame:
     """(record_table, record_id, ref_id): records whose whole text looks like a reference text but is another sequence of characters.
 
     records: (name, table, id column, text column) of each table. The join is an equi-join on the
@@ -192,31 +202,44 @@ def lookalikes(records: list[tuple[str, DataFrame, str, str]], references: DataF
     only while they are under its size threshold and shuffles on the skeleton beyond it. Null texts
     and texts of blanks or invisible characters alone give no row; identical texts are no case;
     repeated records are cases each, and a record that looks like several references gives one row
-    for each of them. Extra columns are ignored.
+    for each of them. Extra columns are ignored. confusables: place of a public table that adds look-alikes.
     """
-    refs = _skeletons(references, "reference", ref_id, text_col).where(F.col("skeleton") != "").select(F.col("record_id").alias("ref_id"), F.col("text").alias("ref_text"), "skeleton")
+    more = read_confusables(confusables) if confusables else None
+    refs = _skeletons(references, "reference", ref_id, text_col, more).where(F.col("skeleton") != "").select(F.col("record_id").alias("ref_id"), F.col("text").alias("ref_text"), "skeleton")
     out = None
     for name, df, id_col, column in records:
-        part = _skeletons(df, name, id_col, column).where(F.col("skeleton") != "")
+        part = _skeletons(df, name, id_col, column, more).where(F.col("skeleton") != "")
         out = part if out is None else out.unionByName(part)
     return out.join(refs, "skeleton").where(F.col("text") != F.col("ref_text")).select("record_table", "record_id", "ref_id")
 
 
-def groups(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def groups(df: DataFrame, id_col: str, text_col: str = "text", more: dict[str, str] | None = None) -> DataFrame:
     """(id, skeleton_id, form): every non-null text with its class of equal skeletons and its consistent form.
 
     One row per record; classes are named by a hash of the skeleton, so no class is ever gathered.
+    The skeleton is made once per row.
     """
-    return df.select(F.col(id_col), F.xxhash64(skeleton_column(F.col(text_col))).alias("skeleton_id"), _map_text(F.col(text_col), consistent).alias("form")).where(F.col(text_col).isNotNull())
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks = with_more(more)
+        for batch in batches:
+            skeletons = [skeleton(t, looks) for t in batch.column(1).to_pylist()]
+            forms = [s if s.isascii() else unicodedata.normalize("NFC", s) for s in skeletons]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(skeletons, pa.string()), pa.array(forms, pa.string())], [id_col, "skeleton", "form"])
+
+    rows = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, skeleton string, form string").select(id_col, F.xxhash64("skeleton").alias("skeleton_id"), "form")
 
 
-def record_groups(records: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+def record_groups(records: list[tuple[str, DataFrame, str, str]], confusables: str | None = None) -> DataFrame:
     """(record_table, record_id, skeleton_id, form) of every non-null text of several tables; equal-looking texts share a class across tables.
 
     records: (name, table, id column, text column) of each table.
     """
+    more = read_confusables(confusables) if confusables else None
     out = None
     for name, df, id_col, column in records:
-        part = groups(df.select(F.col(id_col).cast("long").alias("record_id"), F.col(column)), "record_id", column).select(F.lit(name).alias("record_table"), "record_id", "skeleton_id", "form")
+        part = groups(df.select(F.col(id_col).cast("long").alias("record_id"), F.col(column)), "record_id", column, more).select(F.lit(name).alias("record_table"), "record_id", "skeleton_id", "form")
         out = part if out is None else out.unionByName(part)
     return out

@@ -56,3 +56,15 @@ def test_forms_cover_lines_and_chunks(spark, tmp_path):
     assert sorted(got) == [("chunks", 7), ("chunks", 9), ("extract_page_lines", 7)]
     line, chunk = got["extract_page_lines", 7], got["chunks", 7]
     assert line.form == chunk.form == "The mill" and line.skeleton_id == chunk.skeleton_id != got["chunks", 9].skeleton_id
+
+
+def test_a_public_table_adds_look_alikes(spark, tmp_path):
+    place = str(tmp_path / "c.txt")
+    (tmp_path / "c.txt").write_text("\ufeff# a table\n13A0 ;\t0044 ;\tMA # D\nA4D0 ; 0042 ; MA\n0031 ; 006C ; MA\n0661 ; 006C ; MA\n00E9 ; 0065 ; MA\nFF41 ; 0061 ; MA\n\nA7F7 ; 2014 ; MA\n", encoding="utf-8")
+    assert C.read_confusables(place) == {"\u13a0": "D", "\ua4d0": "B"}
+    table = C.with_more(C.read_confusables(place))
+    assert C.skeleton("\ua4d0ook", table) == "Book" != C.skeleton("\ua4d0ook") and C.skeleton("é1", table) != C.skeleton("e1", table)
+    refs = spark.createDataFrame([(1, "Book")], "ref_id long, text string")
+    rows = [("t", spark.createDataFrame([(5, "\ua4d0ook")], "id long, text string"), "id", "text")]
+    assert C.lookalikes(rows, refs).count() == 0 and C.lookalikes(rows, refs, confusables=place).collect()[0].ref_id == 1
+    assert C.record_groups(rows, place).collect()[0].form == "Book"
