@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import text as T
@@ -15,7 +17,8 @@ def latest_lines(lines: DataFrame) -> DataFrame:
     Null texts are dropped like blank ones; null geometry stays null. One shuffle on page_id, which
     the page windows below reuse.
     """
-    order = Window.partitionBy("page_id", "line_no").orderBy(F.col("extracted_at").desc_nulls_last(), F.col("line_id").desc())
+    alone = F.when(F.col("line_no").isNull(), F.col("line_id"))  # lines without a number are no copies of each other
+    order = Window.partitionBy("page_id", "line_no", alone).orderBy(F.col("extracted_at").desc_nulls_last(), F.col("line_id").desc())
     rows = lines.select("line_id", "page_id", "file_id", "line_no", "text", "top", "bottom", "page_height", "extracted_at").repartition("page_id").withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", "extracted_at")
     rows = rows.withColumns({"glyphs": F.regexp_count("text", F.lit(T.UNMAPPED_GLYPH)), "text": T.translate_glyphs(T.strip_unmapped_glyphs(F.col("text")))})
     return rows.where(T.strip(F.col("text")) != "")
@@ -40,20 +43,33 @@ def repeated_keys(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return counts.join(total, "file_id").where(F.col("n_pages") >= F.greatest(F.lit(T.MIN_PAGES), F.ceil(F.col("file_pages") * T.MIN_SHARE))).select("file_id", "key", "n_pages")
 
 
-def page_texts(lines: DataFrame) -> DataFrame:
-    """(page_id, text): lines joined in order, a blank line where the step is over 1.5 times the page's usual step.
+def _joined(lines: Column) -> Column:
+    """Text of the lines (sorted structs with top and text), a blank line where the step is over 1.5 times their usual step.
 
     The usual step is the median of the positive steps and needs two of them; a null step breaks
     nothing.
     """
-    order = Window.partitionBy("page_id").orderBy("line_no")
-    page = Window.partitionBy("page_id")
-    rows = lines.withColumn("step", F.col("top") - F.lag("top").over(order))
-    positive = F.when(F.col("step") > 0, F.col("step"))
-    rows = rows.withColumns({"typical": F.median(positive).over(page), "n_steps": F.count(positive).over(page), "first": F.row_number().over(order) == 1})
-    gap = (F.col("n_steps") >= 2) & (F.col("step") > F.col("typical") * T.GAP_RATIO)
-    separator = F.when(F.col("first"), "").when(gap, "\n\n").otherwise("\n")
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat(separator, "text").alias("part")))), lambda x: x["part"]), "").alias("text"))
+    before = lambda i: F.get(lines, i - 1)["top"]
+    steps = F.array_sort(F.filter(F.transform(lines, lambda x, i: x["top"] - before(i)), lambda d: d > 0))
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    limit = _once(steps, lambda s: F.when(F.size(s) >= 2, middle(s) * T.GAP_RATIO))
+    separator = lambda x, i, most: F.when(i == 0, "").when(x["top"] - before(i) > most, "\n\n").otherwise("\n")
+    return _once(limit, lambda most: F.array_join(F.transform(lines, lambda x, i: F.concat(separator(x, i, most), x["text"])), ""))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where it is used within a function of array elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _in_order(*columns: str) -> Column:
+    """The lines of a page as one array, by their numbers; a page text is one value, so its lines meet in one row."""
+    return F.array_sort(F.collect_list(F.struct("line_no", "line_id", *columns)))
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """(page_id, text): lines joined in order, a blank line where the step is over 1.5 times the page's usual step."""
+    return lines.groupBy("page_id").agg(_in_order("top", "text").alias("lines")).select("page_id", _joined(F.col("lines")).alias("text"))
 
 
 def mark_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -67,26 +83,12 @@ def mark_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _both_texts(marked: DataFrame) -> DataFrame:
     """(page_id, raw_text, text, counters): the texts of all lines and of the kept lines, in one pass over each page."""
-    order = Window.partitionBy("page_id").orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    page = Window.partitionBy("page_id")
-    kept = ~F.col("is_repeated") & ~F.col("is_low_information")
-    rows = marked.withColumn("kept", kept).withColumns({
-        "raw_step": F.col("top") - F.lag("top").over(order), "raw_first": F.row_number().over(order) == 1,
-        "step": F.when(F.col("kept"), F.col("top") - F.last(F.when(F.col("kept"), F.struct("top")), ignorenulls=True).over(before)["top"]), "first": F.col("kept") & (F.coalesce(F.count(F.when(F.col("kept"), 1)).over(before), F.lit(0)) == 0),
-    })
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    rows = rows.withColumns({"raw_typical": F.median(positive("raw_step")).over(page), "raw_n": F.count(positive("raw_step")).over(page), "typical": F.median(positive("step")).over(page), "n": F.count(positive("step")).over(page)})
-
-    def part(prefix: str):
-        gap = (F.col(f"{prefix}n") >= 2) & (F.col(f"{prefix}step") > F.col(f"{prefix}typical") * T.GAP_RATIO)
-        return F.concat(F.when(F.col(f"{prefix}first"), "").when(gap, "\n\n").otherwise("\n"), "text")
-
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["part"]), "")
-    return rows.groupBy("page_id").agg(
-        joined(F.struct("line_no", part("raw_").alias("part"))).alias("raw_text"), joined(F.when(F.col("kept"), F.struct("line_no", part("").alias("part")))).alias("text"),
-        F.count_if("is_repeated").alias("repeated_lines_removed"), F.count_if("is_low_information").alias("low_information_lines_removed"), F.sum("glyphs").alias("unmapped_glyphs_removed"),
+    rows = marked.withColumn("kept", ~F.col("is_repeated") & ~F.col("is_low_information"))
+    pages = rows.groupBy("page_id").agg(
+        _in_order("top", "text", "kept").alias("lines"), F.count_if("is_repeated").alias("repeated_lines_removed"), F.count_if("is_low_information").alias("low_information_lines_removed"), F.sum("glyphs").alias("unmapped_glyphs_removed")
     )
+    pages = pages.withColumn("own", F.filter("lines", lambda x: x["kept"]))
+    return pages.select("page_id", _joined(F.col("lines")).alias("raw_text"), _joined(F.col("own")).alias("text"), "repeated_lines_removed", "low_information_lines_removed", "unmapped_glyphs_removed")
 
 
 def clean_pages(lines: DataFrame, pages: DataFrame, min_text_chars: int = T.MIN_TEXT_CHARS) -> DataFrame:

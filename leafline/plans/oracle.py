@@ -88,7 +88,7 @@ _BAND = f"coalesce(top <= page_height * {T.BAND} OR bottom >= page_height - page
 
 _LINES = f"""
 lines0 AS (
-  SELECT *, len(regexp_extract_all(text, {_quote(T.UNMAPPED_GLYPH)})) AS glyphs, row_number() OVER (PARTITION BY page_id, line_no ORDER BY extracted_at DESC NULLS LAST, line_id DESC) AS rn
+  SELECT *, len(regexp_extract_all(text, {_quote(T.UNMAPPED_GLYPH)})) AS glyphs, row_number() OVER (PARTITION BY page_id, line_no, CASE WHEN line_no IS NULL THEN line_id END ORDER BY extracted_at DESC NULLS LAST, line_id DESC) AS rn
   FROM extract_page_lines),
 lines1 AS (
   SELECT line_id, page_id, file_id, line_no, top, bottom, page_height, glyphs, {_glyphs('t')} AS text FROM (SELECT * EXCLUDE (text), {_unmapped('text')} AS t FROM lines0 WHERE rn = 1)),
