@@ -347,8 +347,43 @@ def _tail(c: str, rows: str, name: str) -> str:
     return f"SELECT *, CASE WHEN length({c}) <= {OVERLAP} THEN '' WHEN {within('b')} THEN {_strip(f'substr({name}_e, {name}_b + 2)')} WHEN {inside} AND {within('s')} THEN {_strip(f'substr({name}_e, {name}_s + 2)')} ELSE {name}_e END AS {name} FROM ({places})"
 
 
-def _packed() -> str:
-    """Chunks of the lines of each document: one step of the recursion per unit, which emits one chunk before and one after it at most."""
+def _opens(s: str) -> str:
+    """Whether a line opens a new unit."""
+    word = r"[\p{L}\p{N}_]"
+    numeral = "一二三四五六七八九十百千零〇"
+    rules = [
+        f"regexp_matches({s}, {_quote(rf'^({chr(92)}p{{Nd}}+({chr(92)}.{chr(92)}p{{Nd}}+)*|[A-Z])[).]{T.BLANK}+[^{chr(92)}s]')})",
+        f"regexp_matches({s}, {_quote(rf'^(第[{numeral}{chr(92)}p{{Nd}}]+[章节部分篇条讲]|[{numeral}]+[、．]|[（(][{numeral}{chr(92)}p{{Nd}}]+[）)]|{chr(92)}p{{Nd}}+({chr(92)}.{chr(92)}p{{Nd}}+)*[、．])')})",
+        f"regexp_matches({s}, {_quote(rf'^[•·▪◦●○■□‣*–—-]{T.BLANK}[^{chr(92)}s]')})",
+        f"({s} LIKE '%:' AND length({s}) <= 90)", f"({s} LIKE '%：' AND length({s}) <= 40)",
+        f"regexp_matches({s}, {_quote(rf'^(?i:Dear{T.BLANK}+{word}+|Best regards,?)$')})",
+    ]
+    return " OR ".join(rules)
+
+
+def _line_units() -> str:
+    """Each line as a unit."""
+    return f"""{_LINES},
+units0 AS (SELECT row_number() OVER () AS u, l.file_id, p.page_number, l.line_no AS o, {_unit('l.text')} AS text FROM lines l LEFT JOIN pages p USING (page_id))"""
+
+
+def _page_units() -> str:
+    """Units of the cleaned pages: paragraphs, divided where a line opens a unit; lines are joined by what stands on either side of their end."""
+    cjk = lambda c: f"regexp_matches({c}, {_quote(_CJK)})"
+    hyphen = lambda left, right: f"coalesce({left} LIKE '%-' AND regexp_matches({right}, '^\\p{{Ll}}'), false)"
+    return f"""{_CLEAN},
+paragraphs AS (SELECT page_id, file_id, page_number, unnest(l) AS t, generate_subscripts(l, 1) AS a FROM (SELECT *, string_split({_replace('text', chr(92) + 'n' + T.BLANK + '*' + chr(92) + 'n', chr(1))}, chr(1)) AS l FROM clean)),
+page_lines AS (SELECT * FROM (SELECT page_id, file_id, page_number, a, b, {_strip('x')} AS s FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS b FROM (SELECT *, string_split({_replace('t', '[ ' + chr(9) + ']+', ' ')}, chr(10)) AS l FROM paragraphs))) WHERE s <> ''),
+opened AS (SELECT *, sum(CASE WHEN {_opens('s')} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, a ORDER BY b) AS g FROM page_lines),
+beside AS (SELECT *, lag(s) OVER w AS before, lead(s) OVER w AS after FROM opened WINDOW w AS (PARTITION BY page_id, a, g ORDER BY b)),
+glued AS (
+  SELECT page_id, file_id, page_number, a, g, string_agg(CASE WHEN before IS NULL OR {hyphen('before', 's')} OR {cjk('right(before, 1)')} OR {cjk('left(s, 1)')} THEN '' ELSE ' ' END || CASE WHEN {hyphen('s', 'after')} THEN left(s, length(s) - 1) ELSE s END, '' ORDER BY b) AS t
+  FROM beside GROUP BY page_id, file_id, page_number, a, g),
+units0 AS (SELECT row_number() OVER (ORDER BY page_number, page_id, a, g) AS u, file_id, page_number, row_number() OVER (ORDER BY page_number, page_id, a, g) AS o, {_unit('t')} AS text FROM glued)"""
+
+
+def _packed(units: str | None = None) -> str:
+    """Chunks of the units of each document, of its lines if none are given: one step of the recursion per unit, which emits one chunk before and one after it at most."""
     step = f"""SELECT s.file_id, s.i, s.cur, s.own, s.clen, s.rep, u.text AS u, u.n AS n, s.own AND s.clen + 2 + u.n > {MAXIMUM} AS flush
       FROM pack s JOIN units u ON u.file_id = s.file_id AND u.i = s.i + 1"""
     flushed = f"SELECT *, CASE WHEN flush THEN t1 ELSE cur END AS cur1, CASE WHEN flush THEN t1 ELSE rep END AS rep1, CASE WHEN flush THEN {_size('t1')} ELSE clen END AS clen1, own AND NOT flush AS own1 FROM ({_tail('cur', step, 't1')})"
@@ -356,10 +391,9 @@ def _packed() -> str:
     rest = f"SELECT *, CASE WHEN dropping THEN '' ELSE cur1 END AS cur2, CASE WHEN dropping THEN '' ELSE rep1 END AS rep2, CASE WHEN dropping THEN 0 ELSE clen1 END AS clen2 FROM ({dropped})"
     added = f"SELECT *, CASE WHEN cur2 = '' THEN u ELSE cur2 || chr(10) || chr(10) || u END AS cur3, clen2 + n + CASE WHEN clen2 > 0 THEN 2 ELSE 0 END AS clen3 FROM ({rest})"
     full = f"SELECT *, clen3 >= {TARGET} AS emit FROM ({_tail('cur3', added, 't3')})"
-    return f"""{_LINES},
-units0 AS (SELECT row_number() OVER () AS u, l.file_id, p.page_number, l.line_no, {_unit('l.text')} AS text FROM lines l LEFT JOIN pages p USING (page_id)),
+    return f"""{units or _line_units()},
 {_parts('units0', 'u', 'text', MAXIMUM)},
-units AS (SELECT file_id, page_number, part AS text, CAST({_size('part')} AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY page_number NULLS FIRST, line_no, place) AS i FROM units0 JOIN parts USING (u)),
+units AS (SELECT file_id, page_number, part AS text, CAST({_size('part')} AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY page_number NULLS FIRST, o, place) AS i FROM units0 JOIN parts USING (u)),
 pack AS (
   SELECT file_id, CAST(0 AS BIGINT) AS i, '' AS cur, false AS own, CAST(0 AS BIGINT) AS clen, '' AS rep, CAST(NULL AS VARCHAR) AS e1, '' AS o1, CAST(NULL AS VARCHAR) AS e2, '' AS o2 FROM (SELECT DISTINCT file_id FROM units)
   UNION ALL
@@ -370,18 +404,23 @@ emitted AS (
   UNION ALL SELECT file_id, i, 3, cur, rep FROM pack JOIN (SELECT file_id, max(i) AS i FROM units GROUP BY file_id) USING (file_id, i) WHERE own)"""
 
 
+def _segments(packed: str) -> str:
+    """Chunks with their numbers, the pages of their stretches and their page ranges, as CTEs ending in ranges."""
+    return f"""{packed},
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, CASE WHEN part = 1 THEN i - 1 ELSE i END AS last FROM emitted),
+spans AS (SELECT *, lag(last, 1, 0) OVER (PARTITION BY file_id ORDER BY chunk_index) AS before FROM numbered),
+stretches AS (
+  SELECT s.file_id, chunk_index, u.page_number AS page, length(u.text) AS n FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i > before AND u.i <= last
+  UNION ALL SELECT s.file_id, chunk_index, u.page_number, length(overlap) FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i = before WHERE overlap <> ''),
+segments AS (SELECT file_id, chunk_index, page, CAST(sum(n) + 2 * (count(*) - 1) AS INT) AS chars FROM stretches GROUP BY file_id, chunk_index, page),
+islands AS (SELECT *, page - row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page) AS island FROM segments WHERE page IS NOT NULL),
+ranges AS (
+  SELECT file_id, chunk_index, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS page_range, min(a) AS start_page, max(b) AS end_page
+  FROM (SELECT file_id, chunk_index, min(page) AS a, max(page) AS b FROM islands GROUP BY file_id, chunk_index, island) GROUP BY file_id, chunk_index)"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name; queries of folds without a short SQL form, of models and of strict JSON have none."""
-    word = r"[\p{L}\p{N}_]"
-    numeral = "一二三四五六七八九十百千零〇"
-    s = _strip("text")
-    opens = " OR ".join([
-        f"regexp_matches(s, {_quote(rf'^({chr(92)}p{{Nd}}+({chr(92)}.{chr(92)}p{{Nd}}+)*|[A-Z])[).]{T.BLANK}+[^{chr(92)}s]')})",
-        f"regexp_matches(s, {_quote(rf'^(第[{numeral}{chr(92)}p{{Nd}}]+[章节部分篇条讲]|[{numeral}]+[、．]|[（(][{numeral}{chr(92)}p{{Nd}}]+[）)]|{chr(92)}p{{Nd}}+({chr(92)}.{chr(92)}p{{Nd}}+)*[、．])')})",
-        f"regexp_matches(s, {_quote(rf'^[•·▪◦●○■□‣*–—-]{T.BLANK}[^{chr(92)}s]')})",
-        "(s LIKE '%:' AND length(s) <= 90)", "(s LIKE '%：' AND length(s) <= 40)",
-        f"regexp_matches(s, {_quote(rf'^(?i:Dear{T.BLANK}+{word}+|Best regards,?)$')})",
-    ])
     return {
         "text_counts": f"SELECT line_id, CAST({_words('text')} AS INT) AS words, CAST(length(text) + {_count('text', T.IDEOGRAPH)} AS INT) AS size FROM extract_page_lines WHERE text IS NOT NULL",
         "normalized_lines": f"SELECT line_id, {_normalize('t')} AS text FROM (SELECT line_id, {_unmapped('text')} AS t FROM extract_page_lines WHERE text IS NOT NULL)",
@@ -394,20 +433,16 @@ def statements() -> dict[str, str]:
         "documents_rollup": _with(_CLEAN, "SELECT file_id, count(*) AS page_count, count(*) FILTER (has_text) AS text_pages, count(*) FILTER (needs_ocr) AS ocr_pages, count(extraction_error) AS warnings, CAST(sum(repeated_lines_removed) AS BIGINT) AS repeated_lines_removed, CAST(sum(low_information_lines_removed) AS BIGINT) AS low_information_lines_removed, CAST(sum(unmapped_glyphs_removed) AS BIGINT) AS unmapped_glyphs_removed FROM clean GROUP BY file_id"),
         "ocr_pages": _with(_CLEAN, "SELECT file_id, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) AS pages FROM clean WHERE needs_ocr GROUP BY file_id"),
         "source_hashes": "SELECT file_id, arg_max(sha256, registered_at) AS sha256, arg_max(size_bytes, registered_at) AS size_bytes, count(*) AS registrations FROM source_files GROUP BY file_id",
-        "unit_starts": _with(_LINES, f"SELECT line_id FROM (SELECT line_id, {s} AS s FROM lines) WHERE {opens}"),
+        "content_digests": "SELECT chunk_no, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM chunks WHERE text IS NOT NULL",
+        "unit_starts": _with(_LINES, f"SELECT line_id FROM (SELECT line_id, {_strip('text')} AS s FROM lines) WHERE {_opens('s')}"),
         "unit_texts": f"SELECT chunk_no, {_unit('text')} AS unit FROM chunks WHERE text IS NOT NULL",
         "chunk_pack": _with(_packed(), "SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, text, CAST(length(text) AS INT) AS char_count, overlap AS overlap_from_previous FROM emitted", True),
-        "chunk_segments": _with(f"""{_packed()},
-numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i, part) - 1 AS INT) AS chunk_index, CASE WHEN part = 1 THEN i - 1 ELSE i END AS last FROM emitted),
-spans AS (SELECT *, lag(last, 1, 0) OVER (PARTITION BY file_id ORDER BY chunk_index) AS before FROM numbered),
-stretches AS (
-  SELECT s.file_id, chunk_index, u.page_number AS page, length(u.text) AS n FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i > before AND u.i <= last
-  UNION ALL SELECT s.file_id, chunk_index, u.page_number, length(overlap) FROM spans s JOIN units u ON u.file_id = s.file_id AND u.i = before WHERE overlap <> ''),
-segments AS (SELECT file_id, chunk_index, page, CAST(sum(n) + 2 * (count(*) - 1) AS INT) AS chars FROM stretches GROUP BY file_id, chunk_index, page),
-islands AS (SELECT *, page - row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page) AS island FROM segments WHERE page IS NOT NULL),
-ranges AS (
-  SELECT file_id, chunk_index, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS page_range, min(a) AS start_page, max(b) AS end_page
-  FROM (SELECT file_id, chunk_index, min(page) AS a, max(page) AS b FROM islands GROUP BY file_id, chunk_index, island) GROUP BY file_id, chunk_index)""", "SELECT file_id, chunk_index, CAST(row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page NULLS FIRST) - 1 AS INT) AS place, page, chars, coalesce(page_range, '') AS page_range, start_page, end_page FROM segments LEFT JOIN ranges USING (file_id, chunk_index)", True),
+        "chunk_segments": _with(_segments(_packed()), "SELECT file_id, chunk_index, CAST(row_number() OVER (PARTITION BY file_id, chunk_index ORDER BY page NULLS FIRST) - 1 AS INT) AS place, page, chars, coalesce(page_range, '') AS page_range, start_page, end_page FROM segments LEFT JOIN ranges USING (file_id, chunk_index)", True),
+        "chunk_runs": _with(_packed(_page_units()), "SELECT file_id, count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM emitted GROUP BY file_id", True),
+        "chunks_built": _with(f"""{_segments(_packed(_page_units()))},
+stems AS (SELECT file_id, regexp_replace(coalesce(arg_max(file_name, registered_at), CAST(file_id AS VARCHAR)), '\\.[^.]*$', '') AS stem FROM source_files GROUP BY file_id),
+counted AS (SELECT file_id, chunk_index, CAST(count(*) AS INT) AS n_segments FROM segments GROUP BY file_id, chunk_index)""", f"""SELECT coalesce(stem, CAST(n.file_id AS VARCHAR)) || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INT), '0') AS chunk_id, n.file_id, chunk_index, text, CAST(length(text) AS INT) AS char_count, CAST({_words('text')} AS INT) AS word_count, coalesce(page_range, '') AS page_range, start_page, end_page, overlap AS overlap_from_previous, n_segments
+          FROM numbered n JOIN counted USING (file_id, chunk_index) LEFT JOIN ranges USING (file_id, chunk_index) LEFT JOIN stems ON stems.file_id = n.file_id""", True),
         "unit_parts": _with(_parts("(SELECT chunk_no, text FROM chunks)", "chunk_no", "text", MAXIMUM), "SELECT chunk_no, place, part FROM parts", True),
         "unit_parts_narrow": _with(_parts("(SELECT chunk_no, text FROM chunks)", "chunk_no", "text", 60), "SELECT chunk_no, place, part FROM parts", True),
         "sentence_splits": f"SELECT chunk_no, CAST(row_number() OVER (PARTITION BY chunk_no ORDER BY i) - 1 AS INT) AS place, s AS sentence FROM (SELECT chunk_no, i, {_strip('part')} AS s FROM (SELECT chunk_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT chunk_no, {_after('text', (T.CJK_STOP, T.BLANK + '*'), (T.STOP, T.BLANK + '+'))} AS parts FROM chunks WHERE text IS NOT NULL))) WHERE s <> ''",
@@ -420,6 +455,7 @@ ranges AS (
         "tfidf_topk": _with(_TFIDF, "SELECT query_id, rank, chunk_id, similarity FROM ranked WHERE rank <= 3"),
         "tfidf_first_chunks": _with(_TFIDF.replace(_CORPUS, _CORPUS.replace("corpus AS", "whole AS") + ", corpus AS (SELECT * FROM whole ORDER BY file_id, chunk_index, chunk_id LIMIT 10)"), "SELECT query_id, rank, chunk_id, similarity FROM ranked WHERE rank <= 3"),
         "tfidf_dimensions": _with(_TFIDF, "SELECT query_id, place, token, round(w, 8) AS weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, token) AS INT) AS place FROM qw) WHERE place <= 12"),
+        "tfidf_dimension_counts": _with(_TFIDF, "SELECT query_id, count(*) AS dimensions FROM qw WHERE w > 0 GROUP BY query_id"),
         "tfidf_shared_dimensions": _with(_TFIDF, "SELECT query_id, chunk_id, place, token, round(p, 8) AS contribution FROM (SELECT r.query_id, r.chunk_id, token, c.w * q.w AS p, CAST(row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY round(c.w * q.w, 12) DESC, token) AS INT) AS place FROM ranked r JOIN cw c ON c.chunk_id = r.chunk_id JOIN qw q USING (query_id, token) WHERE r.rank = 1) WHERE place <= 8"),
         "distractor_ranks": _with(_TFIDF.replace(_CORPUS, _CORPUS_AND_DISTRACTOR), "SELECT count(*) FILTER (chunk_id = 'distractor') AS distractor_hits, count(*) AS hits FROM ranked WHERE rank <= 3"),
         "dense_topk": _with(_DENSE, "SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 10"),
@@ -434,6 +470,7 @@ ranges AS (
         "context_sources": _with(_CITED, "SELECT query_id, source_id, chunk_id, CAST(length(body) AS INT) AS included_chars, truncated, CAST(length(header) AS INT) AS header_chars FROM sources", True),
         "context_budgets": _with(_CITED, "SELECT query_id, CAST(coalesce(n_sources, 0) AS INT) AS n_sources, CAST(coalesce(length(context), 0) AS INT) AS used_chars FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id)", True),
         "prompts": _with(_CITED, f"SELECT query_id, {_quote(RULES)} || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') AS prompt FROM (SELECT DISTINCT query_id FROM numbered) LEFT JOIN contexts USING (query_id) JOIN qs USING (query_id)", True),
+        "answer_outcomes": _with(_ANSWERS, "SELECT query_id, len(coalesce(relevant_chunk_ids, [])) > 0 AS answerable, asked_model, CASE WHEN expected_in_answer IS NOT NULL THEN CAST(contains(answer, expected_in_answer) AS VARCHAR) END AS has_expected FROM answered JOIN eval_cases ON id = query_id", True),
         "evidence_gate": _with(_ANSWERS, f"SELECT query_id, answer, asked_model, CASE WHEN asked_model THEN CAST({_split_words('answer')} AS BIGINT) ELSE 0 END AS total_tokens, CAST(NULL AS VARCHAR) AS error FROM answered", True),
         "agent_answers": _with(f"asked_cases AS (SELECT id, left({_strip('query')}, {MAX_QUERY}) AS query FROM eval_cases), {_ANSWERS.replace('eval_cases', 'asked_cases')}, {_status('corpus', True)}, {_checked('(SELECT query_id, query_id AS of, answer FROM answered)')}", f"""SELECT a.query_id, 'retrieve_pdf' AS tool, {_strip('any_value(a.query)')} AS argument, any_value(a.answer) AS answer, CAST(NULL AS VARCHAR) AS error, CAST(coalesce(any_value(n.n_sources), 0) AS INT) AS source_count, count(c.item) AS citation_count, {_INVALID} AS invalid
           FROM answered a LEFT JOIN contexts n USING (query_id) LEFT JOIN checked c ON c.query_id = a.query_id GROUP BY a.query_id

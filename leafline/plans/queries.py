@@ -119,6 +119,12 @@ def source_hashes(spark, d):
     return files.groupBy("file_id").agg(F.max_by("sha256", "registered_at").alias("sha256"), F.max_by("size_bytes", "registered_at").alias("size_bytes"), F.count("*").alias("registrations"))
 
 
+@query
+def content_digests(spark, d):
+    """Digest and size in bytes of every chunk's text, made as those of files are."""
+    return table(spark, d, "chunks").where("text is not null").select("chunk_no", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
 # ------------------------------------------------------------------ units and chunks
 
 
@@ -243,6 +249,13 @@ def tfidf_dimensions(spark, d):
     return retrieval.top_dimensions(q, "query_id")
 
 
+@query
+def tfidf_dimension_counts(spark, d):
+    """How many dimensions of the corpus each question has."""
+    _, q = retrieval.tfidf_vectors(_chunks(spark, d), _cases(spark, d))
+    return q.where("weight > 0").groupBy("query_id").agg(F.count("*").alias("dimensions"))
+
+
 @query
 def tfidf_shared_dimensions(spark, d):
     """What the best chunk of each question shares with it."""
@@ -406,6 +419,13 @@ def answers_checked(spark, d):
     return found.select("query_id", "answer", "asked_model", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), "citation_count", _joined("invalid").alias("invalid"))
 
 
+@query
+def answer_outcomes(spark, d):
+    """Whether the answers hold the expected words, and whether the unanswerable questions were declined."""
+    found = evaluate.answer_checks(answers.answer_questions(_cases(spark, d), _contexts(spark, d)), _cases(spark, d))
+    return found.withColumn("has_expected", F.col("has_expected").cast("string"))
+
+
 @query
 def document_status(spark, d):
     """What is known of each file."""
