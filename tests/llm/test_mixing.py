@@ -21,7 +21,7 @@ def test_shares_are_exact_and_caps_hold(spark):
     assert out.count() == 3000 and max(r.most_repeats for r in rows.values()) >= 2
 
 
-def test_the_split_into_ranges_equals_a_plain_prefix_sum(spark):
+def test_the_rounds_equal_a_plain_pass_in_order(spark):
     df, targets = make(spark)
     out = {r.doc_id: r.repeats for r in X.mix(df, targets, weight_col="w", total_tokens=9000).collect()}
     u = (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -30,10 +30,11 @@ def test_the_split_into_ranges_equals_a_plain_prefix_sum(spark):
         own = sorted((r for r in keys if r.source == s), key=lambda r: (r.key, r.doc_id))
         total = sum(r.n_tokens for r in own)
         budget = int(min(total * {"a": 2, "b": 4, "c": 2}[s], 9000 * share / 0.9) + 1e-6)
-        upto = 0
+        left = budget % total
         for r in own:
-            upto += r.n_tokens
-            assert out[r.doc_id] == budget // total + (upto <= budget % total), (s, r)
+            fits = r.n_tokens <= left
+            left -= r.n_tokens if fits else 0
+            assert out[r.doc_id] == budget // total + fits, (s, r)
 
 
 def test_same_draw_for_any_partitioning_and_nothing_from_nothing(spark):
@@ -60,6 +61,22 @@ def test_no_range_holds_much_of_a_source_whatever_the_weights(spark):
             assert (out.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] or 0) == total // 3 * 3
 
 
+def test_one_huge_record_does_not_end_the_draw(spark):
+    import math
+
+    rows = [(i, "a", 5000 if i % 50 == 7 else 3 + i % 9) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    for total in (4000, 9000):
+        got = {r.doc_id: r.repeats for r in X.mix(df, targets, total_tokens=total).collect()}
+        keys = {r[0]: r[1] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).collect()}
+        left, want = total, {}
+        for i, _, n in sorted(rows, key=lambda r: (-math.log(keys[r[0]]), r[0])):
+            want[i] = int(n <= left)
+            left -= n * want[i]
+        assert got == want and (left < 3 or total == 9000)
+
+
 def test_equal_keys_and_equal_records(spark):
     df = spark.createDataFrame([(1, "a", 2)] * 50 + [(2, "a", 2)] * 50, "doc_id long, source string, n_tokens int")
     out = X.mix(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), total_tokens=120)
