@@ -6,13 +6,18 @@ source, taken in order of the key as they fit, fill the rest of its budget after
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from leafline.session import cut
 
-PARTS = 128  # ranges of about equal numbers of records that the place of the last record is narrowed down to, twice
+PARTS = 128  # ranges of about equal numbers of records, one of which is run through in order
+SPREAD = 64  # tasks over which the records of one size are spread
+ORDER = ("key", "id", "size", "n")
 
 
 def plan(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -40,68 +45,61 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", size_col
     Every record of a source is used budget // tokens times; of the remaining budget each record, in
     the order of the keys, takes its size if that is still left. Records without tokens, or of a
     source without a budget, have no row; null or non-positive weights count as the least weight;
-    equal keys are ordered by id. Keys depend on id and seed alone, so lost tasks repeat the same draw.
-
-    In rounds: a round sums the records that are small enough for what is left, in order, up to the
-    first that does not fit; larger ones can never fit again, so the next round goes on behind it with
-    the smaller ones, until nothing fits. The prefix sum of a round never runs over a source in one
-    task: the keys' quantiles cut the records into PARTS ranges of about as many, whatever the
-    weights; their sums, combined before the shuffle, tell in which of them the budget runs out. That
-    range is cut once more, and only the records of the last one are summed in order.
+    equal keys are ordered by id, equal ids by size. Keys depend on id and seed alone, so lost tasks repeat the same draw.
+
+    The order is never run through in one task: the quantiles of its keys cut a source into PARTS
+    ranges of about as many records, whatever the weights. Their sums, combined before the shuffle,
+    tell in which of them the budget runs out; only that range is run through, and what is left then
+    is less than some record's size. As less and less is left, the records of one size that are
+    taken from there on are the first ones of that size, no more than would fill what is left
+    alone: these are all that is still to be looked at, at most left * (1 + ln left) records.
     """
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-3)) if weight_col else F.lit(1.0)
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = cut(records.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), "source", F.col(size_col).cast("long").alias("size"), (-F.log(u) / weight).alias("key")))
-    totals = rows.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("size").alias("n_tokens"))
-    planned = cut(plan(totals, targets, total_tokens).where("budget > 0").select("source", F.floor(F.col("budget") / F.col("n_tokens")).alias("epochs"), (F.col("budget") % F.col("n_tokens")).alias("rest")))
-
-    left = planned.select("source", "rest").where("rest > 0")
-    pool = rows.join(left, "source").where("size <= rest")
-    rules = None
-    while True:
-        pool = cut(pool.select("id", "source", "size", "key", "rest"))
-        if pool.isEmpty():
-            break
-        rule = cut(_round(pool))
-        rules = rule if rules is None else rules.unionByName(rule)
-        ahead = (F.col("key") > F.col("low")) & F.coalesce(F.struct("key", "id") > F.col("last"), F.lit(True))
-        pool = pool.drop("rest").join(rule.where("rest > used").select("source", (F.col("rest") - F.col("used")).alias("rest"), "low", "last"), "source").where(ahead & (F.col("size") <= F.col("rest")))
-    drawn = planned.select("source", "epochs")
-    if rules is None:
-        return rows.join(drawn, "source").select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), F.col("epochs").cast("int").alias("repeats"))
-    drawn = drawn.join(rules.groupBy("source").agg(F.collect_list(F.struct("rest", "low", "last")).alias("rules")), "source", "left")  # one entry per round
-    taken = F.exists(F.coalesce("rules", F.array()), lambda r: (F.col("size") <= r["rest"]) & ((F.col("key") <= r["low"]) | F.coalesce(F.struct("key", "id") <= r["last"], F.lit(False))))
-    return rows.join(drawn, "source").select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + taken.cast("int")).cast("int").alias("repeats"))
-
-
-def _round(pool: DataFrame) -> DataFrame:
-    """(source, rest, used, low, last): the tokens that the records of the pool (id, source, size, key, rest) take in order up to the first that does not fit; these are all with a key up to low, and those up to (key, id) last."""
+    rows = cut(records.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), "source", F.col(size_col).cast("long").alias("size"), (-F.log(u) / weight).alias("key"), F.monotonically_increasing_id().alias("n")))
     cuts = F.percentile_approx("key", [k / PARTS for k in range(1, PARTS)], 10000).alias("cuts")
-    found = cut(pool.groupBy("source", "rest").agg(F.sum("size").alias("total"), cuts))
-    short = found.where("total > rest").withColumns({"base": F.lit(0).cast("long"), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))}).drop("total")
-    wide = cut(_narrowed(pool, short))
-    inside = cut(_between(pool, wide))
-    close = cut(_narrowed(inside, wide.join(inside.groupBy("source").agg(cuts), "source")))
-    order = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = _between(inside, close).withColumn("upto", F.col("base") + F.sum("size").over(order)).where("upto <= rest")
-    last = summed.groupBy("source").agg(F.max(F.struct("key", "id")).alias("last"), F.max("upto").alias("upto"))
-    cut_off = close.join(last, "source", "left").select("source", "rest", F.coalesce("upto", "base").alias("used"), "low", "last")
-    whole = found.where("total <= rest").select("source", "rest", F.col("total").alias("used"), F.lit(float("inf")).alias("low"), F.lit(None).cast(cut_off.schema["last"].dataType).alias("last"))
-    return cut_off.unionByName(whole)
-
-
-def _narrowed(inside: DataFrame, cut_at: DataFrame) -> DataFrame:
-    """(source, rest, base, low, high): the range (low, high] of keys in which the budget runs out, and the tokens of the records before it; from the same of the range inside and its cuts."""
-    placed = inside.select("source", "size", "key").join(cut_at.select("source", "cuts"), "source").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("key"))))
-    upto = F.sum("sum").over(Window.partitionBy("source").orderBy("part"))  # PARTS rows per source
-    sums = placed.groupBy("source", "part").agg(F.sum("size").alias("sum")).withColumn("upto", upto).join(cut_at, "source").where("base + upto > rest")
-    first = sums.groupBy("source").agg(F.min_by(F.struct("rest", (F.col("base") + F.col("upto") - F.col("sum")).alias("base"), "part", "cuts", "low", "high"), "part").alias("x"))
-    low = F.when(F.col("x.part") > 0, F.try_element_at("x.cuts", F.greatest(F.col("x.part"), F.lit(1)))).otherwise(F.col("x.low"))
-    return first.select("source", "x.rest", "x.base", low.alias("low"), F.coalesce(F.try_element_at("x.cuts", F.col("x.part") + 1), F.col("x.high")).alias("high"))
+    totals = cut(rows.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("size").alias("n_tokens"), cuts))
+    planned = plan(totals.drop("cuts"), targets, total_tokens).where("budget > 0").select("source", F.floor(F.col("budget") / F.col("n_tokens")).alias("epochs"), (F.col("budget") % F.col("n_tokens")).alias("rest"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("part")
+    placed = cut(rows.join(planned.join(totals.select("source", "cuts"), "source"), "source").select("id", "source", "size", "key", "n", "epochs", "rest", part))
 
-
-def _between(df: DataFrame, limits: DataFrame) -> DataFrame:
-    return df.select("id", "source", "size", "key").join(limits, "source").where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+    pool = placed.where("size <= rest")
+    upto = F.sum("sum").over(Window.partitionBy("source").orderBy("part"))  # PARTS rows per source
+    sums = pool.groupBy("source", "rest", "part").agg(F.sum("size").alias("sum")).withColumn("upto", upto)
+    first = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("part", (F.col("rest") - F.col("upto") + F.col("sum")).alias("left")))).alias("first")
+    edge = cut(sums.groupBy("source").agg(first).select("source", F.coalesce("first.part", F.lit(PARTS)).alias("at"), "first.left"))
+
+    inside = cut(_taken(pool.join(edge, "source").where("part = at")))
+    used = inside.groupBy("source").agg(F.sum("size").alias("used"))
+    left = cut(edge.join(used, "source", "left").select("source", "at", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")).where("left > 0"))
+    after = pool.join(left, "source").where("part > at and size <= left")
+    for by in (["source", "size", F.pmod(F.xxhash64("n"), F.lit(SPREAD))], ["source", "size"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*ORDER))
+        after = after.withColumn("place", place).where(F.col("place") * F.col("size") <= F.col("left"))
+    taken = inside.unionByName(_taken(after)).select("n", F.lit(True).alias("taken"))
+
+    drawn = placed.join(edge.select("source", "at"), "source", "left").join(taken, "n", "left")
+    once = F.coalesce((F.col("part") < F.col("at")) & (F.col("size") <= F.col("rest")), F.lit(False)) | F.coalesce("taken", F.lit(False))
+    return drawn.select(F.col("id").alias(id_col), "source", F.col("size").alias("n_tokens"), (F.col("epochs") + once.cast("int")).cast("int").alias("repeats"))
+
+
+def _taken(pool: DataFrame) -> DataFrame:
+    """(source, n, size) of the records that, in their order, still fit what is left of their source; a source in one task, as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = None, 0
+        for batch in batches:
+            taken = []
+            for i, (source, size, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "size", "left")))):
+                if source != now:
+                    now, left = source, whole
+                if size <= left:
+                    left -= size
+                    taken.append(i)
+            yield batch.select(["source", "n", "size"]).take(pa.array(taken, pa.int64()))
+
+    ordered = pool.repartition("source").sortWithinPartitions("source", *ORDER)
+    return ordered.select("source", "n", "size", "left").mapInArrow(run, "source string, n long, size long")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -81,3 +81,29 @@ def test_equal_keys_and_equal_records(spark):
     df = spark.createDataFrame([(1, "a", 2)] * 50 + [(2, "a", 2)] * 50, "doc_id long, source string, n_tokens int")
     out = X.mix(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), total_tokens=120)
     assert out.count() == 100 and out.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] >= 100
+
+
+def test_many_sizes_take_few_jobs(spark):
+    """Every record that is passed over may be of another size; none of them costs the driver a round of its own."""
+    rows = [(i, s, 1 + (i * 7919) % 4001) for i in range(3000) for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int").repartition(3)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    spark.sparkContext.setJobGroup("mix", "mix")
+    got = {(r.doc_id, r.source): r.repeats for r in X.mix(df, targets, total_tokens=7_000_001).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mix"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    keys = {r[0]: r[1] for r in df.select("doc_id", -F.log((F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52))).collect()}
+    for source in "ab":
+        left, passed = 3_500_000, set()
+        for i, _, n in sorted((r for r in rows if r[1] == source), key=lambda r: keys[r[0]]):
+            assert got[i, source] == (n <= left)
+            passed |= {n} if n > left else set()
+            left -= n if n <= left else 0
+        assert len(passed) > 100
+    assert jobs <= 40
+
+
+def test_records_of_one_id_are_taken_one_by_one(spark):
+    df = spark.createDataFrame([(1, "a", 2)] * 50 + [(2, "a", 2)] * 50, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert X.mix(df, targets, total_tokens=120).agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] == 120
