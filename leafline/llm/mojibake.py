@@ -16,7 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, product
+from itertools import combinations
 from uuid import uuid4
 
 import numpy as np
@@ -89,9 +89,9 @@ def unread_bytes(encoding: str) -> frozenset:
     return frozenset(b for b in _ANY if bytes([b]).decode(encoding, "ignore") == "") or _ANY
 
 
-#: Nats of a byte that no reading takes, lead of the first reading over the second, states kept at a place, and readings that each of them tries.
-KEPT_BYTE, SURE, BEAM, WIDE = 12.0, 1.0, 8, 32
-SPELLINGS = 4096  # spellings of one word with lost letters that are looked up, the likeliest letters first
+#: Nats of a byte that no reading takes, and lead of the first reading over the second.
+KEPT_BYTE, SURE = 12.0, 1.0
+FEW, ROWS = 64, 512  # pairs of characters up to which costs are looked up one by one, and rows of a matrix of costs that are made at a time
 FLUSH = 1_000_000  # costs that a decoder remembers
 
 
@@ -183,6 +183,7 @@ _words = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 
 _joined = re.compile("[⺀-鿿가-힣豈-﫿！-￮“”‘’…—]{2,}")
 PAIRS_AT = SKETCH_ROWS * SKETCH_COLUMNS  # place in the sketch from which it counts pairs of characters
+STARTS_AT = 2 * PAIRS_AT  # and from which it counts how words start: at each of their letters
 
 
 def _runs(char: str) -> bool:
@@ -198,6 +199,25 @@ def _cells(word: str) -> list[int]:
     return [(h >> (32 * row)) % SKETCH_COLUMNS + row * SKETCH_COLUMNS for row in range(SKETCH_ROWS)]
 
 
+def _pair_cells(a, b):
+    """The cells of a pair of characters, given as numbers or as arrays of uint64."""
+    whole = (1 << 64) - 1 if isinstance(a, int) else np.uint64((1 << 64) - 1)
+    shift, half, cut = (29, 32, SKETCH_COLUMNS - 1) if isinstance(a, int) else map(np.uint64, (29, 32, SKETCH_COLUMNS - 1))
+    k1, k2, k3 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9) if isinstance(a, int) else map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+    h = a * k1 + b * k2 & whole
+    h = (h ^ h >> shift) * k3 & whole
+    h = h ^ h >> half
+    return h & cut, (h >> half & cut) + (SKETCH_COLUMNS if isinstance(a, int) else np.uint64(SKETCH_COLUMNS))
+
+
+def _starts(word: str) -> Iterator[int]:
+    """A number for each start of a word, the word itself last."""
+    h = 0
+    for char in word:
+        h = h * 0x100000001B3 + ord(char) + 1 & (1 << 64) - 1
+        yield h
+
+
 class Model:
     """Frequencies of characters, class pairs and words of the corpus's sound texts."""
 
@@ -233,20 +253,27 @@ class Model:
     def follow_cost(self, before: str, char: str) -> float:
         """Nats of a character after another: by the frequency of the two together where words run together, else by their classes."""
         apart = self.pair[char_class(before)][char_class(char)] + self.char_cost(char)
-        if self.words is None or len(self.words) < 2 * PAIRS_AT or not _runs(before) or not _runs(char):
+        if self.words is None or len(self.words) < STARTS_AT or not _runs(before) or not _runs(char):
             return apart
-        n = min(int(self.words[PAIRS_AT + c]) for c in _cells(before + char))
+        n = min(int(self.words[PAIRS_AT + c]) for c in _pair_cells(ord(before), ord(char)))
         return -math.log(0.9 * n / (self.counts.get(before, 0) + 1.0) + 0.1 * math.exp(-apart))
 
-    def has_word(self, word: str) -> bool:
-        """Whether the corpus has the word, as far as the sketch can tell."""
-        return self.words is not None and min(int(self.words[c]) for c in _cells(word)) > 0
+    def starts(self, start: str) -> int:
+        """How many words of the corpus start so, and how many are just that, at most; no word is more frequent than any of its starts."""
+        *_, h = _starts(start)
+        return min(int(self.words[STARTS_AT + c]) for c in _pair_cells(h, 0))
 
     def word_cost(self, word: str) -> float:
         """Nats of a word by its corpus frequency (count sketch of a fixed size); 0 without a sketch."""
         if self.words is None or not word:
             return 0.0
-        n = min(int(self.words[c]) for c in _cells(word))
+        return self.times_cost(self.times(word))
+
+    def times(self, word: str) -> int:
+        """How often the corpus has the word, as far as the sketch can tell."""
+        return min(min(int(self.words[c]) for c in _cells(word)), self.starts(word))
+
+    def times_cost(self, n: int) -> float:
         return -math.log((n + 0.05) / (self.n_words + 1.0))
 
 
@@ -285,8 +312,17 @@ def _count(batches: Iterator[pa.RecordBatch], with_words: bool) -> Iterator[pa.R
         for c in _cells(w):
             cells[c] += n
     for pair, n in joined.items():
-        for c in _cells(pair):
+        for c in _pair_cells(*map(ord, pair)):
             cells[PAIRS_AT + c] += n
+    starts: Counter = Counter()
+    for w, n in words.items():
+        if not any(map(_runs, w)):  # those are not looked up as words
+            for h in _starts(w):
+                starts[h] += n
+    marks = np.fromiter(starts, np.uint64, len(starts))
+    for row in _pair_cells(marks, np.uint64(0)):
+        for c, n in zip(row.tolist(), starts.values()):
+            cells[STARTS_AT + c] += n
     kind += [2] * len(cells)
     key += list(cells)
     count += list(cells.values())
@@ -306,7 +342,7 @@ def train(texts: list[DataFrame], with_words: bool = True) -> Model:
     parts = [counts[counts["kind"] == k] for k in range(3)]
     words = None
     if with_words:
-        words = np.zeros(2 * PAIRS_AT, np.int64)
+        words = np.zeros(STARTS_AT + PAIRS_AT, np.int64)
         words[parts[2]["key"].to_numpy(np.int64)] = parts[2]["n"].to_numpy(np.int64)
     return Model(dict(zip(parts[0]["key"].tolist(), parts[0]["n"].tolist())), dict(zip(parts[1]["key"].tolist(), parts[1]["n"].tolist())), words)
 
@@ -325,6 +361,43 @@ class Decoder:
         self.encoded: dict[str, dict[tuple, list[tuple[bytes, str]]]] = {}
         self.alphabets: dict[str, list[str]] = {}
         self.between: dict[tuple[str, str], str] = {}
+        self.filled: dict[tuple[str, str, str], str] = {}
+        self.points = np.full(0x110000, -1, np.int16), np.zeros(0x110000), np.zeros(0x110000), np.zeros(0x110000, bool)  # class, cost, count and _runs of characters met
+        self.pair = np.array(model.pair)
+
+    def _columns(self, chars: list[str]) -> np.ndarray:
+        """Code points of characters, whose facts are looked up."""
+        points = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, costs, counts, runs = self.points
+        for cp in points[kinds[points] < 0].tolist():
+            char = chr(cp)
+            kinds[cp], costs[cp], counts[cp], runs[cp] = char_class(char), self.model.char_cost(char), self.model.counts.get(char, 0), _runs(char)
+        return points
+
+    def _follow_costs(self, before: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The model's follow_cost of every character after every other, as a matrix."""
+        kinds, costs, counts, runs = self.points
+        out = self.pair[kinds[before][:, None], kinds[chars][None, :]] + costs[chars][None, :]
+        words = self.model.words
+        if words is not None and len(words) >= STARTS_AT:
+            rows, columns = np.flatnonzero(runs[before]), np.flatnonzero(runs[chars])
+            if len(rows) and len(columns):
+                a, b = _pair_cells(before[rows].astype(np.uint64)[:, None], chars[columns].astype(np.uint64)[None, :])
+                n = np.minimum(words[PAIRS_AT + a.astype(np.int64)], words[PAIRS_AT + b.astype(np.int64)])
+                at = np.ix_(rows, columns)
+                out[at] = -np.log(0.9 * n / (counts[before[rows]][:, None] + 1.0) + 0.1 * np.exp(-out[at]))
+        return out
+
+    def _best_before(self, costs: np.ndarray, before: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least cost of reaching each character from all before it, and from which."""
+        best, where = np.full(len(chars), np.inf), np.zeros(len(chars), np.int64)
+        for k in range(0, len(before), ROWS):
+            total = costs[k : k + ROWS, None] + self._follow_costs(before[k : k + ROWS], chars)
+            row = total.argmin(axis=0)
+            least = total[row, np.arange(len(chars))]
+            better = least < best
+            best[better], where[better] = least[better], row[better] + k
+        return best, where
 
     def _single(self, text: str, encoding: str) -> tuple[float, str, int]:
         """UTF-8 read with an encoding of one byte. Bytes that no reading takes stay as their characters."""
@@ -365,9 +438,8 @@ class Decoder:
     def _lattice(self, parts: list, encoding: str, lengths: tuple, before: str, after: str, stays: str | None = None) -> str:
         """Viterbi over a byte lattice: parts are bytes, sets of bytes (lost ones) and characters that are no bytes.
 
-        A state is a place and the character before it, so paths are scored with pairs; the likeliest
-        BEAM states of a place are kept, and of many readings the WIDE likeliest after the best of them.
-        Two lost bytes can stand behind one mark. Where several readings are left, the words of the
+        A state is a place and the character before it, so paths are scored with pairs; all states
+        of a place go on with all readings, where these are many as matrices. Two lost bytes can stand behind one mark. Where several readings are left, the words of the
         corpus decide; a character stays U+FFFD where neither they nor the pairs do. stays: what a
         byte is kept as that no reading takes.
         """
@@ -383,10 +455,10 @@ class Decoder:
         states: list[dict] = [{} for _ in range(n + 1)]
         states[0][before] = (0.0, None, "", ())
         for i in range(n):
-            here = sorted(states[i].items(), key=lambda x: x[1][0])[:BEAM]
-            states[i] = dict(here)
+            here = sorted(states[i].items(), key=lambda x: x[1][0])
             if not here:
                 continue
+            columns = None
             kept = parts[i] if isinstance(parts[i], str) else stays[i] if stays else LOST
             steps: list[tuple] = [(1, [kept], 0.0 if isinstance(parts[i], str) else KEPT_BYTE)]
             for length in lengths:
@@ -402,23 +474,28 @@ class Decoder:
                         if found := self._readings(encoding, pattern):
                             steps.append((taken, found, len(lost) * 1.0 + len(twice) * 4.0))
             for taken, found, paid in steps:
-                near = found
-                if len(found) > WIDE:
-                    near = sorted(found, key=lambda c: follow(here[0][0], c))[:WIDE]
-                for last, (cost, *_) in here:
-                    for char in near:
-                        total = cost + paid + (follow(last, char) if char != LOST else 0.0)
-                        old = states[i + taken].get(char)
-                        if old is None or total < old[0]:
-                            states[i + taken][char] = (total, i, last, tuple(found))
+                reached = states[i + taken]
+                if found == [LOST]:
+                    ways = [(LOST, here[0][1][0], 0)]
+                elif len(here) * len(found) <= FEW:
+                    ways = [(char, *min((cost + follow(last, char), k) for k, (last, (cost, *_)) in enumerate(here))) for char in found]
+                else:
+                    columns = columns or (np.array([x[0] for _, x in here]), self._columns([c for c, _ in here]))
+                    ways = zip(found, *map(np.ndarray.tolist, self._best_before(*columns, self._columns(found))))
+                for char, total, k in ways:
+                    old = reached.get(char)
+                    if old is None or total + paid < old[0]:
+                        reached[char] = (total + paid, i, here[k][0], found)
         if not states[n]:
             return ""
-        char = min(states[n], key=lambda c: states[n][c][0] + follow(c, after))
+        ends = self._follow_costs(self._columns([*states[n]]), self._columns([after]))[:, 0]
+        char = min(zip((x[0] for x in states[n].values()), ends.tolist(), states[n]), key=lambda x: x[0] + x[1])[2]
         out, at, then = [], n, after
         while at > 0:
             _, i, last, found = states[at][char]
             if len(found) > 1:
-                ranked = sorted((follow(last, c) + follow(c, then), c) for c in found)
+                points = self._columns(found)
+                ranked = sorted(zip((self._follow_costs(self._columns([last]), points)[0] + self._follow_costs(points, self._columns([then]))[:, 0]).tolist(), found))
                 sure = ranked[1][0] - ranked[0][0] > SURE and char == ranked[0][1]
                 out.append((char, sure, [c for _, c in ranked]))
             else:
@@ -443,16 +520,25 @@ class Decoder:
 
     def _spelling(self, letters: list[list[str]]) -> str | None:
         """The word of the corpus that the options for each letter can spell, if one is clearly the likeliest."""
-        if self.model.words is None:
+        model = self.model
+        if model.words is None:
             return None
-        options, n = [sorted(o, key=self.model.char_cost) for o in letters], math.prod(map(len, letters))
-        while n > SPELLINGS:  # the least likely letter of the place with most of them goes
-            longest = max(options, key=len)
-            n = n // len(longest) * (len(longest) - 1)
-            longest.pop()
-        ranked = sorted((self.model.word_cost(word), word) for word in map("".join, product(*options)))
-        lead = ranked[1][0] - ranked[0][0] if len(ranked) > 1 else math.inf
-        return ranked[0][1] if lead > SURE and self.model.has_word(ranked[0][1]) else None
+        # The most frequent start goes on first, so the first words that come out whole are the most frequent of all spellings.
+        queue, whole = [(-math.inf, 0, "", False)], []  # of equal ones the longest
+        while queue and len(whole) < 2 and not (whole and model.times_cost(-queue[0][0]) - model.times_cost(whole[0][0]) > SURE):
+            n, _, start, complete = heapq.heappop(queue)
+            if complete:
+                whole.append((-n, start))
+                continue
+            for char in letters[len(start)]:
+                longer = start + char
+                complete = len(longer) == len(letters)
+                if times := min(int(min(-n, 1 << 62)), model.times(longer) if complete else model.starts(longer)):
+                    heapq.heappush(queue, (-times, -len(longer), longer, complete))
+        if not whole:
+            return None
+        second = whole[1][0] if len(whole) > 1 else 0
+        return whole[0][1] if model.times_cost(second) - model.times_cost(whole[0][0]) > SURE else None
 
     def _pieces(self, text: str, runs: re.Pattern, decode, loose: re.Pattern | None = None, alone=None) -> tuple[float, str, int]:
         """(gain, text, passages) of decoding the runs that gain by it.
@@ -589,18 +675,61 @@ class Decoder:
             if len(scripts) > 1 or not scripts and not (before.isspace() or after.isspace()):
                 return word
             options = self._alphabet(scripts.pop() if scripts else "LATIN")
-            n = word.count(LOST)
-            likely = sorted(options, key=self.model.char_cost)[: max(int(SPELLINGS ** (1 / n)), 1)]
-            scored = []
-            for spelt in product(likely, repeat=n):
-                given = iter(spelt)
-                o = "".join(next(given) if c == LOST else c for c in word)
-                scored.append((words_cost(o) + self.model.cost(o, before, after), o))
-            scored = heapq.nsmallest(2, [*scored, (words_cost(word) + self.model.cost(word, before, after), word)])
-            return scored[0][1] if len(scored) > 1 and scored[1][0] - scored[0][0] > SURE else word
+            key = (word, before, after)
+            if key not in self.filled:
+                if len(self.filled) > FLUSH:
+                    self.filled.clear()
+                scored = self._fillings(word, before, after, options)
+                scored = heapq.nsmallest(2, [*scored, (words_cost(word) + self.model.cost(word, before, after), word)])
+                self.filled[key] = scored[0][1] if len(scored) > 1 and scored[1][0] - scored[0][0] > SURE else word
+            return self.filled[key]
 
         return _lost_words.sub(fill, text), passages
 
+    def _fillings(self, word: str, before: str, after: str, options: list[str]) -> list[tuple[float, str]]:
+        """(cost, text) of the two best ways of all to fill the lost letters of a word, the best first.
+
+        A search by least cost: what a start has cost so far, the least that the characters behind
+        it can cost, and the least that its last word can cost by how frequent words with this start are.
+        """
+        if not options:
+            return []
+        model, pair = self.model, self.model.pair
+        places = [options if c == LOST else [c] for c in word]
+        costs = {c: (char_class(c), model.char_cost(c)) for c in {*word, *options}}
+        ahead = [[row[char_class(after)] for row in pair]]  # of each place, by the class before it
+        for place in reversed(places):
+            least: dict[int, float] = {}
+            for c in place:
+                kind, cost = costs[c]
+                least[kind] = min(cost, least.get(kind, math.inf))
+            ahead.append([min(row[kind] + cost + ahead[-1][kind] for kind, cost in least.items()) for row in pair])
+        ahead.reverse()
+
+        def words_least(start: str, complete: bool) -> float:
+            words = list(_words.finditer(start))
+            total = 0.0
+            for m in words:
+                w = m.group()
+                if complete or m.end() < len(start):
+                    total += 8.0 if w.isascii() else model.word_cost(w)
+                else:
+                    least = model.times_cost(model.starts(w))
+                    total += min(least, 8.0) if w.isascii() else least
+            return total
+
+        queue, found = [(0.0, 0, "", 0.0, char_class(before), False)], []  # of equal ones the longest
+        while queue and len(found) < 2:
+            least, _, start, cost, previous, complete = heapq.heappop(queue)
+            if complete:
+                found.append((least, start))
+                continue
+            for char in places[len(start)]:
+                longer, (kind, own) = start + char, costs[char]
+                paid, complete = cost + pair[previous][kind] + own, len(longer) == len(places)
+                heapq.heappush(queue, (round(paid + ahead[len(longer)][kind] + words_least(longer, complete), 9), -len(longer), longer, paid, kind, complete))
+        return found
+
     def _between(self, word: str, before: str, after: str, options: list[str]) -> str:
         """Lost characters where words run together: those that the characters on both sides ask for clearly; a mark can stand for none at all."""
         out = list(word)

@@ -103,3 +103,38 @@ def test_two_models_in_one_session_do_not_mix(spark):
     for _ in range(2):
         a, b = ({r.record_id: r.restored for r in M.restore([("t", df, "id", "text")], how).collect()} for how in (first, second))
         assert a == {1: "Die Mühle", 2: "Мельни�а"} and b == {1: "Die M�hle", 2: "Мельница"}
+
+
+def test_no_reading_or_spelling_is_left_out(spark):
+    """A rare character that only the one behind it asks for, and rare letters among thousands of spellings of a word."""
+    import random
+
+    draw = random.Random(1)
+    often, rare, behind = [chr(0x5100 + k) for k in range(60)], "开", "缀"
+    letters, word = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "фъэщж"
+    rows = ["".join(draw.choices(often, k=40)) for _ in range(200)] + [f"{rare}{behind}"] * 100
+    rows += [" ".join("".join(draw.choices(letters, [3] * 20 + [2] * 12, k=5)) for _ in range(30)) for _ in range(100)] + [word, letters] * 30
+    model = M.train([spark.createDataFrame([(t,) for t in rows], "text string")])
+    decoder = M.Decoder(model)
+    assert decoder._lattice([0xE5, M._ANY, M._ANY, *behind.encode()], "utf-8", (2, 3, 4), " ", " ") == rare + behind
+    assert decoder._spelling([["ф"], *[list(letters)] * 4]) == word
+    assert decoder.repair(f"ф{M.LOST * 3}ж")[0] == word
+    assert decoder.repair(f"ф{M.LOST * 400}ж")[1] == 1
+    chars = [*often, rare, behind, *letters, "a", " "]
+    points = decoder._columns(chars)
+    costs = decoder._follow_costs(points, points)
+    assert all(abs(costs[i, j] - model.follow_cost(a, b)) < 1e-9 for i, a in enumerate(chars) for j, b in enumerate(chars))
+
+
+def test_the_two_best_fillings_equal_all_of_them(decoder):
+    from itertools import product
+
+    options = list("абвгдеийклмнопрстуьюя")
+    for word in (f"з{M.LOST}кры{M.LOST}{M.LOST}ет", f"{M.LOST}ост", f"п{M.LOST}р{M.LOST}"):
+        every = []
+        for spelt in product(options, repeat=word.count(M.LOST)):
+            given = iter(spelt)
+            o = "".join(next(given) if c == M.LOST else c for c in word)
+            every.append((sum(decoder.model.word_cost(w) for w in M._words.findall(o)) + decoder.model.cost(o, " ", "."), o))
+        got = decoder._fillings(word, " ", ".", options)
+        assert got[0][1] == min(every)[1] and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got, sorted(every)))
