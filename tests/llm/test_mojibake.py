@@ -138,3 +138,12 @@ def test_the_two_best_fillings_equal_all_of_them(decoder):
             every.append((sum(decoder.model.word_cost(w) for w in M._words.findall(o)) + decoder.model.cost(o, " ", "."), o))
         got = decoder._fillings(word, " ", ".", options)
         assert got[0][1] == min(every)[1] and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got, sorted(every)))
+
+
+def test_a_passage_is_weighed_once_for_all_channels(decoder, monkeypatch):
+    from collections import Counter
+
+    weighed, cost = Counter(), decoder.model.cost
+    monkeypatch.setattr(decoder.model, "cost", lambda text, before=" ", after=" ": weighed.update([text]) or cost(text, before, after))
+    assert decoder.repair("ÀÁÂÃÄÅ, then ÈÉÊËÌÍ")[1] >= 0
+    assert weighed and max(n for run, n in weighed.items() if run in ("ÀÁÂÃÄÅ", "ÈÉÊËÌÍ")) == 1
