@@ -13,6 +13,7 @@ import heapq
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -98,8 +99,9 @@ def unread_bytes(encoding: str) -> frozenset:
 
 #: Nats of a byte that no reading takes, and lead of the first reading over the second.
 KEPT_BYTE, SURE = 12.0, 1.0
-FEW, ROWS = 64, 512  # pairs of characters up to which costs are looked up one by one, and rows of a matrix of costs that are made at a time
+FEW, AT_ONCE = 64, 1 << 18  # pairs of characters up to which costs are looked up one by one, and costs of a matrix that are made at a time
 FLUSH = 1_000_000  # costs that a decoder remembers
+DEEP = 100_000  # starts that a search keeps open; beyond them it goes on depth first, which finds the same
 
 
 @lru_cache(maxsize=None)
@@ -191,6 +193,7 @@ _words = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _joined = re.compile("[⺀-鿿가-힣豈-﫿！-￮“”‘’…—]{2,}")
 PAIRS_AT = SKETCH_ROWS * SKETCH_COLUMNS  # place in the sketch from which it counts pairs of characters
 STARTS_AT = 2 * PAIRS_AT  # and from which it counts how words start: at each of their letters
+BITS_AT, BITS = STARTS_AT + PAIRS_AT, 1 << 20  # and from which it tells, in so many numbers of 64 bits, whether any word starts so
 
 
 def _runs(char: str) -> bool:
@@ -221,10 +224,23 @@ def _starts(word: str) -> Iterator[int]:
     """A number for each start of a word, the word itself last."""
     h = 0
     for char in word:
-        h = h * 0x100000001B3 + ord(char) + 1 & (1 << 64) - 1
+        h = h * STEP + ord(char) + 1 & (1 << 64) - 1
         yield h
 
 
+STEP = 0x100000001B3
+
+
+def _start_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and four bits for the number of each start."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    one, six, mask = np.uint64(1), np.uint64(63), np.uint64(0)
+    for k in (0, 6, 12, 18):
+        mask = mask | one << (h >> np.uint64(k) & six)
+    return (h >> np.uint64(44)).astype(np.int64), mask
+
+
 class Model:
     """Frequencies of characters, class pairs and words of the corpus's sound texts."""
 
@@ -265,10 +281,21 @@ class Model:
         n = min(int(self.words[PAIRS_AT + c]) for c in _pair_cells(ord(before), ord(char)))
         return -math.log(0.9 * n / (self.counts.get(before, 0) + 1.0) + 0.1 * math.exp(-apart))
 
+    def started(self, h: np.ndarray) -> np.ndarray:
+        """How many words of the corpus start so, at most, given the numbers of the starts; 0 where none does."""
+        a, b = _pair_cells(h, np.uint64(0))
+        n = np.minimum(self.words[STARTS_AT + a.astype(np.int64)], self.words[STARTS_AT + b.astype(np.int64)])
+        place, mask = _start_bits(h)
+        return np.where(self.words[BITS_AT + place].view(np.uint64) & mask == mask, n, 0)
+
+    def goes_on(self, h: int, points: np.ndarray) -> tuple[list[int], list[int]]:
+        """Numbers and counts of a start with each of the characters behind it."""
+        longer = np.uint64(h * STEP + 1 & (1 << 64) - 1) + points
+        return longer.tolist(), self.started(longer).tolist()
+
     def starts(self, start: str) -> int:
         """How many words of the corpus start so, and how many are just that, at most; no word is more frequent than any of its starts."""
-        *_, h = _starts(start)
-        return min(int(self.words[STARTS_AT + c]) for c in _pair_cells(h, 0))
+        return int(self.started(np.fromiter(_starts(start), np.uint64)).min())
 
     def word_cost(self, word: str) -> float:
         """Nats of a word by its corpus frequency (count sketch of a fixed size); 0 without a sketch."""
@@ -278,7 +305,11 @@ class Model:
 
     def times(self, word: str) -> int:
         """How often the corpus has the word, as far as the sketch can tell."""
-        return min(min(int(self.words[c]) for c in _cells(word)), self.starts(word))
+        return min(self.wholes(word), self.starts(word))
+
+    def wholes(self, word: str) -> int:
+        """The same, if the word has a start that the corpus has."""
+        return min(int(self.words[c]) for c in _cells(word))
 
     def times_cost(self, n: int) -> float:
         return -math.log((n + 0.05) / (self.n_words + 1.0))
@@ -333,25 +364,46 @@ def _count(batches: Iterator[pa.RecordBatch], with_words: bool) -> Iterator[pa.R
     kind += [2] * len(cells)
     key += list(cells)
     count += list(cells.values())
+    places, bits = _start_bits(marks)
+    order = np.argsort(places)
+    places, first = np.unique(places[order], return_index=True)
+    if len(places):
+        kind += [3] * len(places)
+        key += (BITS_AT + places).tolist()
+        count += np.bitwise_or.reduceat(bits[order], first).view(np.int64).tolist()
     yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(count, pa.int64())], ["kind", "key", "n"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums as one row of bytes, in order and compressed: as rows they would fill the driver's memory."""
+    parts = [[np.asarray(column) for column in batch.columns] for batch in batches if batch.num_rows]
+    if parts:
+        kind, key, n = map(np.concatenate, zip(*parts))
+        order = np.lexsort((key, kind))
+        columns = kind[order].astype(np.int8), np.diff(key[order], prepend=0), n[order]
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in columns], ["kind", "key", "n"])
+
+
 def train(texts: list[DataFrame], with_words: bool = True) -> Model:
     """The model of all sound texts of the given one-column tables.
 
     Every task counts its part; the sums that reach the driver are bounded whatever the corpus:
-    one per code point, per pair of classes, and per cell of the word sketch.
+    one per code point, per pair of classes, per cell of the word sketch and per number of its bits.
     """
     union = texts[0].toDF("text")
     for df in texts[1:]:
         union = union.unionByName(df.toDF("text"))
-    counts = union.mapInArrow(lambda batches: _count(batches, with_words), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
-    parts = [counts[counts["kind"] == k] for k in range(3)]
-    words = None
-    if with_words:
-        words = np.zeros(STARTS_AT + PAIRS_AT, np.int64)
-        words[parts[2]["key"].to_numpy(np.int64)] = parts[2]["n"].to_numpy(np.int64)
-    return Model(dict(zip(parts[0]["key"].tolist(), parts[0]["n"].tolist())), dict(zip(parts[1]["key"].tolist(), parts[1]["n"].tolist())), words)
+    counts = union.mapInArrow(lambda batches: _count(batches, with_words), "kind int, key long, n long").groupBy("kind", "key").agg(F.coalesce(F.sum(F.when(F.col("kind") < 3, F.col("n"))), F.bit_or("n")).alias("n"))
+    chars, pairs = {}, {}
+    words = np.zeros(BITS_AT + BITS, np.int64) if with_words else None
+    for row in counts.mapInArrow(_pack, "kind binary, key binary, n binary").collect():
+        kind, key, n = (np.frombuffer(zlib.decompress(x), t) for x, t in zip(row, (np.int8, np.int64, np.int64)))
+        key = np.cumsum(key)
+        for k, part in enumerate((chars, pairs)):
+            part.update(zip(key[kind == k].tolist(), n[kind == k].tolist()))
+        if with_words:
+            words[key[kind > 1]] = n[kind > 1]
+    return Model(chars, pairs, words)
 
 
 # ------------------------------------------------------------------ the search
@@ -400,8 +452,9 @@ class Decoder:
     def _best_before(self, costs: np.ndarray, before: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least cost of reaching each character from all before it, and from which."""
         best, where = np.full(len(chars), np.inf), np.zeros(len(chars), np.int64)
-        for k in range(0, len(before), ROWS):
-            total = costs[k : k + ROWS, None] + self._follow_costs(before[k : k + ROWS], chars)
+        rows = max(1, AT_ONCE // len(chars))
+        for k in range(0, len(before), rows):
+            total = costs[k : k + rows, None] + self._follow_costs(before[k : k + rows], chars)
             row = total.argmin(axis=0)
             least = total[row, np.arange(len(chars))]
             better = least < best
@@ -532,22 +585,21 @@ class Decoder:
         model = self.model
         if model.words is None:
             return None
-        # The most frequent start goes on first, so the first words that come out whole are the most frequent of all spellings.
-        queue, whole = [(-math.inf, 0, "", False)], []  # of equal ones the longest
-        while queue and len(whole) < 2 and not (whole and model.times_cost(-queue[0][0]) - model.times_cost(whole[0][0]) > SURE):
-            n, _, start, complete = heapq.heappop(queue)
-            if complete:
-                whole.append((-n, start))
+        # Depth first, the most frequent start first; no start goes on that leads neither to the most frequent word nor to one near it.
+        points = [np.array([ord(c) for c in o], np.uint64) for o in letters]
+        first, second, best, open_ = 0, 0, None, [(1 << 62, "", 0)]
+        while open_:
+            n, start, h = open_.pop()
+            if n <= second or first and model.times_cost(n) - model.times_cost(first) > SURE:
                 continue
-            for char in letters[len(start)]:
-                longer = start + char
-                complete = len(longer) == len(letters)
-                if times := min(int(min(-n, 1 << 62)), model.times(longer) if complete else model.starts(longer)):
-                    heapq.heappush(queue, (-times, -len(longer), longer, complete))
-        if not whole:
-            return None
-        second = whole[1][0] if len(whole) > 1 else 0
-        return whole[0][1] if model.times_cost(second) - model.times_cost(whole[0][0]) > SURE else None
+            if len(start) < len(letters):
+                k = len(start)
+                open_ += sorted((min(n, m), start + c, g) for c, g, m in zip(letters[k], *model.goes_on(h, points[k])) if m)
+            elif (n := min(n, model.wholes(start))) > first:
+                first, second, best = n, first, start
+            else:
+                second = max(n, second)
+        return best if first and model.times_cost(second) - model.times_cost(first) > SURE else None
 
     def _pieces(self, text: str, runs: re.Pattern, decode, loose: re.Pattern | None = None, alone=None) -> tuple[float, str, int]:
         """(gain, text, passages) of decoding the runs that gain by it.
@@ -703,44 +755,84 @@ class Decoder:
         """(cost, text) of the two best ways of all to fill the lost letters of a word, the best first.
 
         A search by least cost: what a start has cost so far, the least that the characters behind
-        it can cost, and the least that its last word can cost by how frequent words with this start are.
+        it can cost with the words that they begin, and the least that its last word can cost by how
+        frequent words with this start are. Of starts that go on alike, with the same last word or
+        with one that no word of the corpus starts like, the two cheapest are enough.
         """
         if not options:
             return []
         model, pair = self.model, self.model.pair
         places = [options if c == LOST else [c] for c in word]
-        costs = {c: (char_class(c), model.char_cost(c)) for c in {*word, *options}}
-        ahead = [[row[char_class(after)] for row in pair]]  # of each place, by the class before it
+        unknown, ascii_least = model.times_cost(0), min(8.0, model.times_cost(0))
+        none, live_ascii, live, dead_ascii, dead = range(5)  # what the last word is
+
+        def least_of(status: int, n: int) -> float:
+            """The least that a last word can cost."""
+            return (0.0, min(8.0, model.times_cost(n)), model.times_cost(n), ascii_least, unknown)[status]
+
+        def closed(status: int, n: int, last: str) -> float:
+            """What the last word costs as it is."""
+            return (0.0, 8.0, model.times_cost(min(n, model.wholes(last))) if status == live else 0.0, 8.0, unknown)[status]
+
+        every = [*dict.fromkeys((*word, *options))]
+        begun = dict(zip(every, model.goes_on(0, np.array([ord(c) for c in every], np.uint64))[1]))
+        facts = {}  # class, cost, whether it begins a word, whether it goes on in one, the least of a word that it begins
+        for c in every:
+            letter = bool(_words.fullmatch(c))
+            facts[c] = (char_class(c), model.char_cost(c), letter, letter or "\u0300" <= c <= "\u036f", least_of(live_ascii if c.isascii() else live, begun[c]) if letter else 0.0)
+        ahead = [[[row[char_class(after)] for row in pair]] * 2]  # of each place, outside of words and inside, by the class before it
         for place in reversed(places):
-            least: dict[int, float] = {}
+            ways: list[dict[int, float]] = [{}, {}]
             for c in place:
-                kind, cost = costs[c]
-                least[kind] = min(cost, least.get(kind, math.inf))
-            ahead.append([min(row[kind] + cost + ahead[-1][kind] for kind, cost in least.items()) for row in pair])
+                kind, own, letter, joins, start = facts[c]
+                for inside, way in enumerate(ways):
+                    x = own + (ahead[-1][1][kind] + (0.0 if inside else start) if (joins if inside else letter) else ahead[-1][0][kind])
+                    way[kind] = min(x, way.get(kind, math.inf))
+            ahead.append([[min(row[kind] + x for kind, x in way.items()) for row in pair] for way in ways])
         ahead.reverse()
-
-        def words_least(start: str, complete: bool) -> float:
-            words = list(_words.finditer(start))
-            total = 0.0
-            for m in words:
-                w = m.group()
-                if complete or m.end() < len(start):
-                    total += 8.0 if w.isascii() else model.word_cost(w)
-                else:
-                    least = model.times_cost(model.starts(w))
-                    total += min(least, 8.0) if w.isascii() else least
-            return total
-
-        queue, found = [(0.0, 0, "", 0.0, char_class(before), False)], []  # of equal ones the longest
-        while queue and len(found) < 2:
-            least, _, start, cost, previous, complete = heapq.heappop(queue)
-            if complete:
-                found.append((least, start))
+        points = [np.array([ord(c) for c in place], np.uint64) for place in places]
+
+        found: list[tuple[float, str]] = []
+        best: dict[tuple, list[float]] = {}  # the two least costs of starts that go on alike
+        queue, deep = [(0.0, 0, "", 0.0, char_class(before), none, 0, 0, 0)], []
+        while queue or deep:
+            least, at, start, cost, previous, status, begin, n, h = deep.pop() if deep else heapq.heappop(queue)
+            second = found[1][0] if len(found) > 1 else math.inf
+            if least >= second:
                 continue
-            for char in places[len(start)]:
-                longer, (kind, own) = start + char, costs[char]
-                paid, complete = cost + pair[previous][kind] + own, len(longer) == len(places)
-                heapq.heappush(queue, (round(paid + ahead[len(longer)][kind] + words_least(longer, complete), 9), -len(longer), longer, paid, kind, complete))
+            at = -at  # of equal ones the longest is first
+            ends = cost + closed(status, n, start[begin:])
+            goes_on = model.goes_on(h if status in (live_ascii, live) else 0, points[at]) if status < dead_ascii else ([0] * len(places[at]),) * 2
+            more = []
+            for char, g, m in zip(places[at], *goes_on):
+                kind, own, letter, joins, _ = facts[char]
+                if joins if status else letter:
+                    m = min(n, m) if status else m
+                    plain = char.isascii() and status in (none, live_ascii, dead_ascii)
+                    now = ((live_ascii if plain else live) if m else dead_ascii if plain else dead)
+                    paid, where = cost, begin if status else at
+                else:
+                    now, paid, where = none, ends, 0
+                paid += pair[previous][kind] + own
+                longer = start + char
+                if at + 1 == len(places):
+                    total = round(paid + closed(now, m, longer[where:]) + ahead[-1][0][kind], 9)
+                    found = sorted([*found, (total, longer)])[:2]
+                    continue
+                bound = round(paid + least_of(now, m) + ahead[at + 1][now > none][kind], 9)
+                if bound >= second:
+                    continue
+                alike = best.setdefault((at, longer[where:]) if now in (live_ascii, live) else (at, now, kind), [])
+                if len(alike) < 2 or paid < alike[1]:
+                    alike[:] = sorted([*alike, paid])[:2]
+                    more.append((bound, -at - 1, longer, paid, kind, now, where, m, g))
+            if deep or len(queue) > DEEP:
+                deep += sorted(more, reverse=True)
+            else:
+                for x in more:
+                    heapq.heappush(queue, x)
+            if len(best) > DEEP:
+                best.clear()
         return found
 
     def _between(self, word: str, before: str, after: str, options: list[str]) -> str:

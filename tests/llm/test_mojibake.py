@@ -147,3 +147,48 @@ def test_a_passage_is_weighed_once_for_all_channels(decoder, monkeypatch):
     monkeypatch.setattr(decoder.model, "cost", lambda text, before=" ", after=" ": weighed.update([text]) or cost(text, before, after))
     assert decoder.repair("ÀÁÂÃÄÅ, then ÈÉÊËÌÍ")[1] >= 0
     assert weighed and max(n for run, n in weighed.items() if run in ("ÀÁÂÃÄÅ", "ÈÉÊËÌÍ")) == 1
+
+
+def test_the_two_best_fillings_with_words_split_by_signs_equal_all_of_them(decoder, monkeypatch):
+    from itertools import product
+
+    options = list("üéôßäàç’«„–́")
+    for deep in (M.DEEP, 0):  # with the open starts in a queue, and depth first
+        monkeypatch.setattr(M, "DEEP", deep)
+        for word in (f"M{M.LOST}hle", f"m{M.LOST * 2}rz", f"{M.LOST}{M.LOST}cole", f"d{M.LOST}j{M.LOST}", f"{M.LOST * 3}", f"l{M.LOST * 2}t{M.LOST}x", f"schlie{M.LOST}t"):
+            every = []
+            for spelt in product(options, repeat=word.count(M.LOST)):
+                given = iter(spelt)
+                o = "".join(next(given) if c == M.LOST else c for c in word)
+                every.append((sum(8.0 if w.isascii() else decoder.model.word_cost(w) for w in M._words.findall(o)) + decoder.model.cost(o, " ", "."), o))
+            got = decoder._fillings(word, " ", ".", options)
+            assert len(got) == 2 and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got, sorted(every))), word
+            assert len({o for _, o in got}) == 2 and all(abs(n - dict((b, a) for a, b in every)[o]) < 1e-6 for n, o in got)
+
+
+def test_a_corpus_of_many_words_does_not_swell_the_search(spark, monkeypatch):
+    """With as many words as fill the count sketch, words with many lost letters keep few starts open and known ones are still found."""
+    import random
+    from types import SimpleNamespace
+
+    draw, plain, high = random.Random(2), "abcdefghijklmnoprstuvz", "äöüßéèçñ"
+    letters = plain + high
+    words = ["".join([*draw.choices(plain, k=k), draw.choice(high), *draw.choices(plain, k=8 - k)]) for k in draw.choices(range(1, 8), k=60_000)] + ["Mühlenstraße", "größer"] * 300
+    model = M.train([spark.createDataFrame([(" ".join(words[k : k + 200]),) for k in range(0, len(words), 200)], "text string")])
+    cells = model.words[M.STARTS_AT : M.STARTS_AT + M.SKETCH_COLUMNS]
+    assert (cells > 0).mean() > 0.4
+    pushed = [0]
+
+    def push(queue, x):
+        pushed[0] += 1
+        assert pushed[0] < 100_000
+        M_heapq.heappush(queue, x)
+
+    M_heapq = M.heapq
+    monkeypatch.setattr(M, "heapq", SimpleNamespace(heappush=push, heappop=M_heapq.heappop, nsmallest=M_heapq.nsmallest))
+    decoder = M.Decoder(model)
+    for word in (f"M{M.LOST * 6}e", f"{M.LOST * 12}a", f"k{M.LOST * 9}", f"{M.LOST * 5}e{M.LOST * 5}"):
+        pushed[0] = 0
+        assert decoder.repair(f"xx {word} yy")[1] == 1
+    assert decoder.repair(f"xx M{M.LOST}hlenstra{M.LOST}e gr{M.LOST * 2}er")[0] == "xx Mühlenstraße größer"
+    assert decoder._spelling([list(letters)] * 6) == "größer"
